@@ -4,22 +4,100 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, mixing, sharding, simhash_dedup
 from tidemark.llm.common import table
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.cluster(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_simhash": op5_simhash,
+    "op7_sharding": op7_sharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 SQL = {
+    "op7_sharding": """
+        WITH RECURSIVE rows AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+            FROM documents
+        ), buckets AS (
+            SELECT 0 AS depth, 0::BIGINT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM rows
+            UNION ALL
+            SELECT depth, prefix, sum(n_bytes)::BIGINT, count(*)
+            FROM (SELECT b.depth + 1 AS depth, r.place >> (59 - b.depth) AS prefix, n_bytes
+                  FROM buckets b JOIN rows r ON r.place >> (60 - b.depth) = b.prefix
+                  WHERE b.shard_bytes > 16777216 AND b.shard_docs > 1 AND b.depth < 60)
+            GROUP BY depth, prefix
+        )
+        SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
+               depth, shard_bytes, shard_docs
+        FROM rows JOIN buckets ON place >> (60 - depth) = prefix AND (shard_bytes <= 16777216 OR shard_docs = 1)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_mixing": """
+        WITH docs AS (
+            SELECT doc_id, CASE WHEN n < 5 THEN 'web' WHEN n < 10 THEN 'reference' WHEN n < 15 THEN 'news' ELSE 'forum' END AS domain,
+                   coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+            FROM (SELECT *, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS n FROM documents)
+        ), leaves AS (
+            SELECT domain, lang, source, sum(n_tokens)::BIGINT AS avail, sum(n_tokens)::DOUBLE * 2 AS supply FROM docs GROUP BY ALL
+        ), top AS (
+            SELECT domain, sum(supply) AS supply, floor(sum(sum(avail)) OVER () * 3 / 5)::DOUBLE AS budget,
+                   CASE domain WHEN 'web' THEN 4 WHEN 'reference' THEN 3 WHEN 'news' THEN 2 ELSE 1 END::DOUBLE AS weight
+            FROM leaves GROUP BY domain
+        ), top_rate AS (
+            SELECT *, (budget - coalesce(sum(supply) OVER (ORDER BY supply / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(weight) OVER (ORDER BY supply / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+            FROM top
+        ), top_alloc AS (
+            SELECT domain, least(supply, max(rate) OVER () * weight) AS budget FROM top_rate
+        ), mid AS (
+            SELECT domain, lang, sum(supply) AS supply, any_value(a.budget) AS budget,
+                   CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END::DOUBLE AS weight
+            FROM leaves JOIN top_alloc a USING (domain) GROUP BY domain, lang
+        ), mid_rate AS (
+            SELECT *, (budget - coalesce(sum(supply) OVER (PARTITION BY domain ORDER BY supply / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(weight) OVER (PARTITION BY domain ORDER BY supply / weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+            FROM mid
+        ), mid_alloc AS (
+            SELECT domain, lang, least(supply, max(rate) OVER (PARTITION BY domain) * weight) AS budget FROM mid_rate
+        ), low_rate AS (
+            SELECT l.*, (budget - coalesce(sum(supply) OVER (PARTITION BY domain, lang ORDER BY supply, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / count(*) OVER (PARTITION BY domain, lang ORDER BY supply, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+            FROM leaves l JOIN mid_alloc USING (domain, lang)
+        ), low AS (
+            SELECT domain, lang, source, avail, floor(least(supply, max(rate) OVER (PARTITION BY domain, lang)))::BIGINT AS target FROM low_rate
+        ), budgets AS (
+            SELECT *, CASE WHEN avail > 0 THEN target // avail ELSE 0 END AS epochs FROM low
+        ), placed AS (
+            SELECT d.*, target, epochs, target - epochs * avail AS rest,
+                   ('0x' || substr(md5('17|' || epochs || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+            FROM docs d JOIN budgets USING (domain, lang, source)
+        )
+        SELECT doc_id, domain, lang, source, n_tokens, target,
+               epochs + (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) <= rest)::BIGINT AS copies
+        FROM placed
+    """,
 }
