@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, sharding, simhash_dedup
+from tidemark.llm import exact_dedup, mixing, sharding, simhash_dedup, substring_dedup
 from tidemark.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.cluster(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_simhash": op5_simhash,
     "op7_sharding": op7_sharding,
     "op9_exact_dedup": op9_exact_dedup,
@@ -32,6 +37,23 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM docs, unnest(range(1, len(w) - 48)) u(i)
+        ), repeated AS (
+            SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM starts) WHERE doc_id > low
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(0, 50) r(k)
+        ), kept AS (
+            SELECT doc_id, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (g.i IS NULL), '') AS rest
+            FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs) LEFT JOIN gone g USING (doc_id, i)
+            GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id)
+    """,
     "op7_sharding": """
         WITH RECURSIVE rows AS (
             SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
