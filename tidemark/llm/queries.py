@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, sharding, simhash_dedup, substring_dedup
+from tidemark.llm import bpe, exact_dedup, mixing, sharding, simhash_dedup, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -20,6 +21,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_simhash": op5_simhash,
     "op7_sharding": op7_sharding,
+    "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
