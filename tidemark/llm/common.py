@@ -45,3 +45,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words(text: Column) -> Column:
     """The words of a text in order; none for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def sized(small: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``small``, a written table of narrow rows, marked for broadcasting only if it has no more than ``rows`` of them.
+
+    Beyond that it is returned as it is and joins by a shuffle.
+    """
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, sharding, simhash_dedup, substring_dedup
+from tidemark.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -13,10 +14,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -35,7 +45,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
@@ -60,6 +72,85 @@ SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (doc_id)
     """,
+    "op4_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, i, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+        ), leaves AS (
+            SELECT len(t) AS n, t[1:3] AS head FROM lines WHERE len(t) > 0 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10
+        ), masked AS (
+            SELECT n, head, t, count(DISTINCT doc_id) AS docs FROM lines JOIN leaves ON len(t) = n AND t[1:3] = head GROUP BY ALL
+        ), placed AS (
+            SELECT n, head, t, docs, i, t[i] AS token FROM masked, range(4, n + 1) r(i)
+        ), constant AS (
+            SELECT n, head, i, token FROM placed WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10
+        ), rest AS (
+            SELECT n, head, t, list(CASE WHEN c.token IS NULL THEN '<*>' ELSE p.token END ORDER BY i) AS rest
+            FROM placed p LEFT JOIN constant c USING (n, head, i, token) GROUP BY ALL
+        ), templates AS (
+            SELECT n, head, t, docs, list_concat(head, coalesce(rest, [])) AS template FROM masked LEFT JOIN rest USING (n, head, t)
+        ), often AS (
+            SELECT template FROM templates WHERE 2 * len(list_filter(template, lambda x: x <> '<*>')) >= len(template)
+            GROUP BY template HAVING sum(docs) >= 10
+        ), dropped AS (
+            SELECT DISTINCT t FROM templates SEMI JOIN often USING (template)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(d.t) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (d.t IS NULL), '')) AS kept_sha256
+        FROM lines LEFT JOIN dropped d ON lines.t = d.t GROUP BY doc_id
+    """,
+    "op6_quality_rules": r"""
+        WITH common(lang, own) AS (
+            VALUES ('en', ['the', 'of', 'and', 'to', 'in', 'a', 'is', 'that', 'for', 'it', 'as', 'was', 'with', 'be', 'by', 'on', 'are', 'this', 'from', 'not']),
+                   ('de', ['der', 'die', 'und', 'in', 'den', 'von', 'zu', 'das', 'mit', 'sich', 'des', 'auf', 'für', 'ist', 'im', 'dem', 'nicht', 'ein', 'eine', 'als']),
+                   ('fr', ['de', 'la', 'le', 'et', 'les', 'des', 'en', 'un', 'du', 'une', 'que', 'est', 'pour', 'qui', 'dans', 'par', 'sur', 'au', 'pas', 'plus']),
+                   ('es', ['de', 'la', 'que', 'el', 'en', 'y', 'a', 'los', 'se', 'del', 'las', 'un', 'por', 'con', 'no', 'una', 'su', 'para', 'es', 'al'])
+        ), docs AS (
+            SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS h FROM docs, range(1, len(w) - 6) r(i)
+        ), repeated AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+            FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS n FROM windows), range(0, 8) r(k) WHERE n > 1 GROUP BY doc_id
+        ), s1 AS (SELECT doc_id, length(text) AS l0, regexp_replace(text, '[a-z]+', '', 'g') AS r FROM docs
+        ), s2 AS (SELECT *, length(r) AS l1, regexp_replace(r, '[A-Z]+', '', 'g') AS r2 FROM s1
+        ), s3 AS (SELECT *, length(r2) AS l2, regexp_replace(r2, '[0-9]+', '', 'g') AS r3 FROM s2
+        ), s4 AS (SELECT *, length(r3) AS l3, regexp_replace(r3, '[ \t\n]+', '', 'g') AS r4 FROM s3
+        ), s5 AS (SELECT *, length(r4) AS l4, regexp_replace(r4, '[.,;:!?''"()-]+', '', 'g') AS r5 FROM s4
+        ), s6 AS (SELECT *, length(r5) AS l5, regexp_replace(r5, '[#*$%&|<>]+', '', 'g') AS r6 FROM s5
+        ), s7 AS (SELECT *, length(r6) AS l6, length(regexp_replace(r6, '[^\x00-\x7F]+', '', 'g')) AS l7 FROM s6
+        ), measured AS (
+            SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                   [l0 - l1, l1 - l2, l2 - l3, l3 - l4, l4 - l5, l5 - l6, l6 - l7, l7] AS class_bins,
+                   list_transform(own, lambda c: len(list_filter(w, lambda x: length(x) <= 6 AND lower(x) = c))) AS own_bins
+            FROM docs d JOIN s7 USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN common USING (lang)
+        ), bins AS (
+            SELECT doc_id, lang, n_words, 'class' AS kind, unnest(class_bins) AS b, generate_subscripts(class_bins, 1) AS i FROM measured WHERE own_bins IS NOT NULL
+            UNION ALL
+            SELECT doc_id, lang, n_words, 'word', unnest(own_bins || [n_words - list_sum(own_bins)]),
+                   generate_subscripts(own_bins || [n_words - list_sum(own_bins)], 1) FROM measured WHERE own_bins IS NOT NULL
+        ), refs AS (
+            SELECT lang, kind, i, sum(b) / sum(sum(b)) OVER (PARTITION BY lang, kind) AS q FROM bins WHERE n_words >= 80 GROUP BY lang, kind, i
+        ), shares AS (
+            SELECT doc_id, kind, q, b / greatest(sum(b) OVER (PARTITION BY doc_id, kind), 1) AS p FROM bins JOIN refs USING (lang, kind, i)
+        ), distances AS (
+            SELECT doc_id, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+                                                  + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2) / ln(2), 0)) AS d
+            FROM shares GROUP BY doc_id, kind
+        ), far AS (
+            SELECT doc_id FROM distances JOIN measured USING (doc_id)
+            WHERE n_words >= 80 AND d > CASE kind WHEN 'class' THEN 0.30 ELSE 0.60 END GROUP BY doc_id
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND f.doc_id IS NULL AS kept
+        FROM measured LEFT JOIN far f USING (doc_id)
+    """,
     "op7_sharding": """
         WITH RECURSIVE rows AS (
             SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
