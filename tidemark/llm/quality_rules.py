@@ -34,7 +34,7 @@ MAX_REPEAT_PERCENT = 30
 #: Words from which on a document is compared, and the largest distances of a document that is kept.
 JUDGED_WORDS = 80
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.60
+MAX_WORD_DISTANCE = 0.32
 
 
 def _repeat_words(w: Column) -> Column:

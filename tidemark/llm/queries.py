@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup
+from tidemark.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -45,6 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
@@ -144,7 +150,7 @@ SQL = {
             FROM shares GROUP BY doc_id, kind
         ), far AS (
             SELECT doc_id FROM distances JOIN measured USING (doc_id)
-            WHERE n_words >= 80 AND d > CASE kind WHEN 'class' THEN 0.30 ELSE 0.60 END GROUP BY doc_id
+            WHERE n_words >= 80 AND d > CASE kind WHEN 'class' THEN 0.30 ELSE 0.32 END GROUP BY doc_id
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
