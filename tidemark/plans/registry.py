@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import telemetry
+
+PARTS = (telemetry,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return telemetry.queries()["causal_features"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in PARTS for name, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in PARTS for name, text in part.oracle_sql().items()}
