@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import telemetry
+from tidemark.plans import evaluation, policies, quality, telemetry, trading
 
-PARTS = (telemetry,)
+PARTS = (telemetry, quality, evaluation, trading, policies)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
