@@ -112,7 +112,7 @@ def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).where("p_c IS NOT NULL").withColumn("one", F.lit("x"))
     rows = rows.join(X.halves(rows, "close_us", ["one"]).select("close_us", "half"), "close_us")
     rows = rows.withColumn("alpha", F.explode(F.array(*map(F.lit, C.ALPHAS)))).withColumn("delta", M.overlay_delta(F.col("p_c"), F.col("p_b")))
-    rows = rows.withColumn("p_i", F.round(M.blend(F.col("p"), F.col("delta"), F.col("alpha")), 8)).withColumn("ask", (45 + F.col("row_id") % 50).cast("double"))
+    rows = rows.withColumn("p_i", F.round(M.blend(F.col("p"), F.col("delta"), F.col("alpha")), 10)).withColumn("ask", (45 + F.col("row_id") % 50).cast("double"))
     return rows.withColumn("overlay", M.overlay_decision(F.col("p_i"), F.col("fav"), F.col("ask"), F.col("row_id") % 17 != 0))
 
 
@@ -221,7 +221,7 @@ HALVES_SQL = """halved AS (SELECT close_us, CASE WHEN 2 * before < total THEN 't
         SELECT close_us, coalesce(sum(n) OVER (ORDER BY close_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM (SELECT close_us, count(*) AS n FROM {rows} GROUP BY close_us)))"""
 _GROUPED = "grouped AS (SELECT 'ALL' AS grp, * FROM scored WHERE conflict IS NOT NULL UNION ALL SELECT coin, * FROM scored WHERE conflict IS NOT NULL)"
 _GRID = "grid AS (SELECT grp, unnest([5, 10, 15, 20, 25])::INT AS quantile, unnest(quantile_cont(conflict, [0.05, 0.1, 0.15, 0.2, 0.25])) AS threshold FROM grouped GROUP BY grp)"
-_BLEND = "round(greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p)) + alpha * delta)), 8)"
+_BLEND = "round(greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p)) + alpha * delta)), 10)"
 OVERLAID_SQL = f"""usable AS (SELECT * FROM scored WHERE p_c IS NOT NULL), {HALVES_SQL.format(rows="usable")},
     graded AS (SELECT u.*, half, alpha, greatest(-0.05::DOUBLE, least(0.05::DOUBLE, p_c - p_b)) AS delta, (45 + row_id % 50)::DOUBLE AS ask FROM usable u JOIN halved USING (close_us), (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 1.0::DOUBLE]) AS alpha)),
     blended AS (SELECT *, {_BLEND} AS p_i FROM graded),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evaluation, policies, quality, telemetry, trading
+from tidemark.plans import evaluation, modeling, policies, quality, telemetry, trading
 
-PARTS = (telemetry, quality, evaluation, trading, policies)
+PARTS = (telemetry, quality, evaluation, trading, policies, modeling)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
