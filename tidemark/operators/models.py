@@ -163,23 +163,37 @@ def out_of_fold(design: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]
     return test.select(*keys, "ticker", "y", *[_sigmoid(linear_of(f"beta_{m}", x)).alias(f"p{m}") for m, x in NESTED.items()]), betas
 
 
-def poisson_weight(seed: str, cluster: Column, rep: Column) -> Column:
-    """A Poisson(1) draw from 52 bits of the MD5 of seed, cluster and replicate."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), cluster.cast("string"), rep.cast("string"))), 1, 13), 16, 10).cast("long")
-    u, out, below, term = bits / float(1 << 52), F.lit(0), 0.0, float(np.exp(-1))
+#: Modulus and multiplier of the minimal standard generator (fixed values).
+PRIME, FACTOR = 2147483647, 48271
+
+
+def poisson_weight(seed: int, cluster: Column, rep: Column) -> Column:
+    """A Poisson(1) draw seeded by cluster and replicate, in whole-number arithmetic that any engine repeats."""
+    h = ((cluster % 1000003) * 7919 + rep * 104729 + seed) % PRIME
+    h = (h * FACTOR + rep * 16807) % PRIME
+    h = (h * h + cluster % 65537) % PRIME
+    u = (h * FACTOR) % PRIME / float(PRIME)
+    below, total, term = [], 0.0, float(np.exp(-1))
     for k in range(1, 12):
-        # a sum of tests, not nested ones: then the hash is worked out once a row
-        below += term
-        out = out + (u >= below).cast("int")
+        total += term
+        below.append(total)
         term /= k
-    return out
+    # the number of values of the distribution function that the draw passes; the array holds the draw once
+    passed = lambda v: F.size(F.filter(F.array(*map(F.lit, below)), lambda x: x <= v))
+    return F.transform(F.array(u), passed)[0]
+
+
+def replicated(sums: DataFrame, cluster: str, reps: int) -> DataFrame:
+    """Cluster sums once for each replicate, spread over all partitions first: they are small before, not after."""
+    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sums.repartition(parts, cluster).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
 
-def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, seed: str, reps: int = REPS) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, seed: int, reps: int = REPS) -> DataFrame:
     """Per group: mean of ``value``, its 95 % interval over resampled clusters and the one-sided p that it is not above 0."""
     sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(seed, F.col(cluster), F.col("rep")))
-    stats = drawn.where("w > 0").groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("v"))
+    drawn = replicated(sums, cluster, reps).withColumn("w", poisson_weight(seed, F.col(cluster), F.col("rep")))
+    stats = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("v"))
     ends = stats.groupBy(*by).agg(F.percentile("v", 0.025).alias("ci_low"), F.percentile("v", 0.975).alias("ci_high"), ((F.count_if(F.col("v") <= 0) + 1) / (F.count("*") + 1.0)).alias("p_value"))
     means = sums.groupBy(*by).agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean"))
     return means.join(ends, by)
@@ -198,7 +212,7 @@ def screen(rows: DataFrame, by: list[str], control: str, feature: str, reliabili
         F.count("*").alias("oof_n"), *[F.avg((F.col(f"p{k}") - y) ** 2).alias(f"brier_{k}") for k in "abc"], *[F.avg(ll(F.col(f"p{k}"))).alias(f"logloss_{k}") for k in "abc"],
     )
     gain = oof.withColumn("gain", (F.col("pb") - y) ** 2 - (F.col("pc") - y) ** 2)
-    boot = cluster_bootstrap(gain, by, "ticker", "gain", f"{C.SEED}|screen", reps).drop("mean")
+    boot = cluster_bootstrap(gain, by, "ticker", "gain", C.SEED, reps).drop("mean")
     kinds = design.groupBy(*by).agg(F.max("reliability").alias("reliability"))
     gamma = F.when(F.col("reliability"), F.col("beta_c")[4]).otherwise(F.col("beta_c")[3])
     signs = betas.join(kinds, by).groupBy(*by).agg(F.count("*").alias("valid_folds"), F.count_if(gamma > C.ZERO_VARIANCE).alias("positive"), F.count_if(gamma < -C.ZERO_VARIANCE).alias("negative"))
