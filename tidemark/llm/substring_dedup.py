@@ -195,10 +195,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     marked = written(marked.select("doc_id", "text_key", "n_words", "digest", F.col("least").isNotNull().alias("first"), F.when(F.col("least").isNotNull(), F.col("anchors")).alias("anchors")))
     anchored = marked.where("first").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("anchor")
+    # written, so that the join has a shuffle of its own on both sides and a hot key can be split
+    shared = written(shared)
     flagged = anchored.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
     candidates = written(docs.join(flagged, ["doc_id", "text_key"]))
     found = _windows(candidates, size, gram)
-    owners = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top")
+    owners = written(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").drop("top"))
     repeats = found.join(owners, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("at"))
     unique = candidates.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "text")
     cut = _cut(unique.join(repeats, ["doc_id", "text_key"]), size)
