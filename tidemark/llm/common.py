@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
+__all__ = ["SPACE", "WORD", "bounded_sample", "let", "sized", "table", "words", "written"]
+
 #: ASCII white space; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder.
-
-    Cuts the lineage: what follows reads the table, so a lost executor never recomputes what came before it.  The
-    table lives as long as Spark's own checkpoints do.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, however often the body (or a lambda in it) names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -53,3 +36,19 @@ def sized(small: DataFrame, rows: int = 100_000) -> DataFrame:
     Beyond that it is returned as it is and joins by a shuffle.
     """
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+def bounded_sample(df: DataFrame, place: str, size: int) -> DataFrame:
+    """The ``size`` rows with the least hash in column ``place`` (a 64-bit hash), or all rows if there are fewer.
+
+    A first cut by the hash leaves about twice that many, so that what is sorted stays small however many partitions
+    the table has.
+    """
+    total = df.count()
+    if total > 2 * size:
+        share = F.shiftrightunsigned(F.col(place), 11) / float(1 << 53)
+        df = df.where(share < 2 * size / total)
+        place_order = share
+    else:
+        place_order = F.col(place)
+    return df.orderBy(place_order, place).limit(size)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_sample
 from tidemark.llm.html_blocks import Block, blocks
 from tidemark.llm.lstm import Labeller, padded
 from tidemark.llm.wordhash import spans, word_hashes
@@ -172,7 +173,8 @@ class Layouts:
 def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
     """Fits the labeller to at most ``sample`` pages and to pages laid out from their texts."""
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("pages"))
-    rows = df.where(F.length(html_col) <= SAMPLE_CHARS).select(order.alias("place"), F.col(html_col).alias("html")).orderBy("place").limit(sample).collect()
+    known = df.where(F.length(html_col) <= SAMPLE_CHARS).select(order.alias("place"), F.col(html_col).alias("html"))
+    rows = bounded_sample(known, "place", sample).collect()
     own, marks, prose, short = [], [], [], []
     for r in rows:
         page = blocks(r["html"])

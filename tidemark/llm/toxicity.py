@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import Trees, fit_isotonic, fit_trees, sigmoid
-from tidemark.llm.common import written
+from tidemark.llm.common import bounded_sample, written
 from tidemark.shipping import ship
 
 #: Labelled rows that fit the model, at most; those with the least hash of their id.
@@ -193,7 +193,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     order = F.xxhash64(F.col("id").cast("string"), F.lit("toxicity"))
-    chosen = known.select("id", "label", order.alias("place")).orderBy("place", "id").limit(sample)
+    chosen = known.select("id", "label", order.alias("place"))
+    chosen = bounded_sample(chosen, "place", sample)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample has a fixed bound
     rows = written(texts.join(F.broadcast(chosen), "id").withColumn("fold", F.pmod(F.shiftright("place", 7), F.lit(FOLDS)).cast("int")))
