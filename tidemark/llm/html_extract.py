@@ -34,7 +34,8 @@ PATH_BINS, NEAR_BINS, WORD_BINS, RATES = 128, 32, 24, 8
 WIDTH = PATH_BINS + NEAR_BINS + WORD_BINS + RATES
 #: Blocks that are labelled together, padding included.
 CELLS = 60_000
-ARTICLE, OTHER = "", ""
+#: Marks in laid-out texts (private-use characters, taken out of what pages hold themselves).
+ARTICLE, OTHER = "\ue000", "\ue001"
 
 _paths: dict[tuple[str, ...], np.ndarray] = {}
 
@@ -170,6 +171,10 @@ class Layouts:
         return f"<html><body>{opened}{''.join(parts)}{'</div>' * wraps if self.chance(0.9) else ''}</body></html>"
 
 
+def _unmarked(text: str) -> str:
+    return text.replace(ARTICLE, "").replace(OTHER, "")
+
+
 def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
     """Fits the labeller to at most ``sample`` pages and to pages laid out from their texts."""
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("pages"))
@@ -183,12 +188,12 @@ def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample
             own.append(page)
             marks.append(inside.astype(np.float32))
         for b in page:
-            (prose if len(b.text) > 60 else short).append(b.text[:2000])
+            (prose if len(b.text) > 60 else short).append(_unmarked(b.text[:2000]))
     layouts = Layouts(prose, short, SEED)
     for _ in range(LAID_OUT):
         page = blocks(layouts.page())
         if page:
-            own.append([Block(b.text.replace(ARTICLE, "").replace(OTHER, ""), b.path, b.link_chars) for b in page])
+            own.append([Block(_unmarked(b.text), b.path, b.link_chars) for b in page])
             marks.append(np.array([ARTICLE in b.text for b in page], np.float32))
     model = Labeller(WIDTH, HIDDEN, SEED)
     model.fit([vectors([p]) for p in own], marks, EPOCHS, SEED)
