@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
@@ -18,11 +18,17 @@ def r4(x: F.Column) -> F.Column:
     return F.round(x, DIGITS)
 
 
+RUNNING = ("i", "sum_r2", "gaps")
+
+
 def _vol_inputs(df: DataFrame, value: str, second: int) -> DataFrame:
+    """Adds the running columns that ``realized_vol`` needs."""
     w = series("coin")
     step = F.log(F.col(value) / F.lag(value).over(w))
-    wide = (F.col("us") - F.lag("us").over(w) > C.RV_GAP * second).cast("int")
-    return df.withColumn("r2", F.coalesce(step * step, F.lit(0.0))).withColumn("wide", F.coalesce(wide, F.lit(0)))
+    wide = F.coalesce((F.col("us") - F.lag("us").over(w) > C.RV_GAP * second).cast("long"), F.lit(0))
+    df = df.withColumns({"r2": F.coalesce(step * step, F.lit(0.0)), "wide": wide})
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({"i": F.row_number().over(w), "sum_r2": F.sum("r2").over(so_far), "gaps": F.sum("wide").over(so_far)}).drop("r2", "wide")
 
 
 def perp_features(snapshots: DataFrame, scale: int) -> DataFrame:
@@ -32,7 +38,7 @@ def perp_features(snapshots: DataFrame, scale: int) -> DataFrame:
 
     def windows(df: DataFrame) -> DataFrame:
         df, w = _vol_inputs(df, "mid", second), series("coin")
-        out = [c for c in df.columns if c not in ("r2", "wide")]
+        out = [c for c in df.columns if c not in RUNNING]
         for h in C.HORIZONS:
             past = lambda v, h=h: value_before(v, w, h * second, C.TOLERANCE * second)
             out.append(r4(M.return_bps(F.col("mid"), past("mid"))).alias(f"perp_ret_{h}"))
@@ -46,8 +52,9 @@ def perp_features(snapshots: DataFrame, scale: int) -> DataFrame:
             out.append(F.when(F.col("premium").isNotNull(), n).otherwise(0).cast("long").alias(f"premium_z_{name}_n"))
         for window, (least, span) in C.RV_WINDOWS.items():
             out.append(r4(realized_vol(w, window * second, least, span * second, second)).alias(f"perp_rv_{window}"))
-        frame = w.rangeBetween(-C.SPREAD_WINDOW * second, -1)
-        n, reach = F.count("spread").over(frame), F.max("us").over(frame) - F.min("us").over(frame)
+        # every fresh row with a mid has a spread; the frame ends at the row before
+        begin = F.first(F.struct("us", "i")).over(w.rangeBetween(-C.SPREAD_WINDOW * second, -1))
+        n, reach = F.coalesce(F.col("i") - begin["i"], F.lit(0)).cast("long"), F.lag("us").over(w) - begin["us"]
         median = F.when((n >= C.SPREAD_MIN_N) & (reach >= C.SPREAD_MIN_SPAN * second), F.expr(
             f"percentile(spread, 0.5) OVER (PARTITION BY coin, bucket ORDER BY us RANGE BETWEEN {C.SPREAD_WINDOW * second} PRECEDING AND 1 PRECEDING)"
         ))
@@ -63,7 +70,7 @@ def spot_features(spots: DataFrame, scale: int) -> DataFrame:
 
     def windows(df: DataFrame) -> DataFrame:
         df, w = _vol_inputs(df, "spot", second), series("coin")
-        out = [c for c in df.columns if c not in ("r2", "wide")]
+        out = [c for c in df.columns if c not in RUNNING]
         for h in C.HORIZONS:
             out.append(r4(M.return_bps(F.col("spot"), value_before("spot", w, h * second, C.TOLERANCE * second))).alias(f"spot_ret_{h}"))
         for window, (least, span) in C.RV_WINDOWS.items():

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[DataFrame], DataFrame], width: int | None = None) -> DataFrame:
+def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[DataFrame], DataFrame], width: int | None = None, key: str = "coin") -> DataFrame:
     """Applies windowed columns that look back at most ``lookback``, over buckets of ``width`` (default 4 lookbacks).
 
     ``apply`` must put ``bucket`` in the partitioning of its windows and keep ``bucket`` and ``in_halo``.
@@ -23,6 +23,8 @@ def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[DataFram
     first, last = F.floor(F.col(time) / width), F.floor((F.col(time) + lookback) / width)
     spread = df.withColumn("bucket", F.explode(F.sequence(first, last)))
     spread = spread.withColumn("in_halo", F.col("bucket") != first)
+    # windows cost far more than the bytes they read suggest: these partitions are not to be merged at run time
+    spread = spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "bucket")
     return apply(spread).where(~F.col("in_halo")).drop("bucket", "in_halo")
 
 
@@ -53,12 +55,13 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, width: int) ->
 
 
 def realized_vol(w: WindowSpec, window: int, least_n: int, least_span: int, second: int) -> Column:
-    """Bps per square root of a minute over [t - window, t]; needs columns r2 (squared log return to the row before),
-    wide (1 where the gap to the row before is too long) and us."""
-    frame = w.rangeBetween(-window, 0)
-    n, span = F.count("r2").over(frame), F.col("us") - F.first("us").over(frame)
-    # the first row's return reaches out of the frame
-    total = F.sum("r2").over(frame) - F.first("r2").over(frame)
-    gaps = F.sum("wide").over(frame) - F.first("wide").over(frame)
-    enough = (n >= least_n) & (span >= least_span) & (span > 0) & (gaps == 0)
-    return F.when(enough, F.sqrt(F.greatest(total, F.lit(0.0)) * 60.0 * second / span) * 10000)
+    """Bps per square root of a minute over [t - window, t].
+
+    Needs us and the running columns i (row number), sum_r2 (squared log returns so far) and gaps (steps so far that were
+    too long).  Differences to the frame's first row leave out its own return, which reaches out of the frame, and one
+    look at that row stands for six sums over the frame.
+    """
+    begin = F.first(F.struct("us", "i", "sum_r2", "gaps")).over(w.rangeBetween(-window, 0))
+    n, span = F.col("i") - begin["i"] + 1, F.col("us") - begin["us"]
+    enough = (n >= least_n) & (span >= least_span) & (span > 0) & (F.col("gaps") == begin["gaps"])
+    return F.when(enough, F.sqrt(F.greatest(F.col("sum_r2") - begin["sum_r2"], F.lit(0.0)) * 60.0 * second / span) * 10000)
