@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import near_copies
 from tidemark.llm.common import written
 from tidemark.llm.graph import components
 from tidemark.shipping import ship
@@ -181,8 +182,10 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component; rows with a null id stay."""
-    kept = cluster(df, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    lone = df.where(F.col(id_col).isNull())
-    return df.join(kept, df[id_col] == kept["__id"], "left_semi").unionByName(lone)
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its group of near copies; rows with a null id stay.
+
+    Near copies share ``similarity`` or more of their shingles, which is far beyond two bits of one fingerprint; see
+    ``near_copies``.  The distance and shingles of ``cluster`` are those of op5 alone.
+    """
+    return near_copies.drop_near_copies(df, id_col, text_col, shingle, similarity)
