@@ -94,7 +94,7 @@ def leadlag_anchors(features: DataFrame, horizon: int, scale: int, tolerance: in
     target = F.col("us") + horizon * second
     nearest = F.array_min(F.transform("ahead", lambda x: F.struct(far(x.us - target).alias("d"), x.us.alias("us"), x.spot.alias("spot"))))
     labelled = seen.withColumn("n", nearest).withColumn("usable", F.col("ready") & F.col("n").isNotNull())
-    labelled = labelled.select(*key, "us", "event_id", "spot", F.col("n.us").alias("label_us"), ((F.col("n.spot") / F.col("spot") - 1) * 10000).alias("y"), "usable", *[c for c in ("gap_60", "perp_ret_30", "premium_z_5m", "spot_ret_30") if c in features.columns])
+    labelled = labelled.select(*key, "us", "event_id", "spot", F.col("n.us").alias("label_us"), ((F.col("n.spot") / F.col("spot") - 1) * 10000).alias("y"), "usable", *[c for c in (*C.LEADLAG_FEATURES, "premium_z_5m", *sorted(set(C.LEADLAG_CONTROL.values()))) if c in features.columns])
     ship(features.sparkSession)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,13 +8,17 @@ statistically equivalent to drawing clusters with replacement, not draw for draw
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions.market import clamp_p
 from tidemark.operators import metrics as X
+from tidemark.shipping import ship
 from tidemark.storage import written
 
 REPS = 200
@@ -183,17 +187,63 @@ def poisson_weight(seed: int, cluster: Column, rep: Column) -> Column:
     return F.transform(F.array(u), passed)[0]
 
 
+def _poisson_weights(seed: int, cluster: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """The same draws in numpy."""
+    h = ((cluster % 1000003) * 7919 + rep * 104729 + seed) % PRIME
+    h = (h * FACTOR + rep * 16807) % PRIME
+    h = (h * h + cluster % 65537) % PRIME
+    u = (h * FACTOR) % PRIME / float(PRIME)
+    below, total, term = [], 0.0, float(np.exp(-1))
+    for k in range(1, 12):
+        total += term
+        below.append(total)
+        term /= k
+    return np.searchsorted(below, u, side="right")
+
+
 def replicated(sums: DataFrame, cluster: str, reps: int) -> DataFrame:
     """Cluster sums once for each replicate, spread over all partitions first: they are small before, not after."""
     parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sums.repartition(parts, cluster).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
 
+def _resampled(sums: DataFrame, by: list[str], cluster: str, seed: int, reps: int) -> DataFrame:
+    """(by, rep, s, n): the cluster sums weighted by each replicate's draws.
+
+    Each task adds up all replicates of its clusters, so that one row per group and task moves, however many draws.
+    """
+    ship(sums.sparkSession)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        rep = np.arange(1, reps + 1, dtype=np.int64)
+        for frame in frames:
+            for i in range(0, len(frame), 1000):
+                part = frame.iloc[i : i + 1000]
+                ids, place = np.unique(part[cluster].to_numpy(np.int64), return_inverse=True)
+                w = _poisson_weights(seed, ids[:, None], rep)
+                for key, at in part.groupby(by, dropna=False).indices.items():
+                    x = part[["s", "n"]].to_numpy(float)[at].T @ w[place[at]]
+                    key = key if isinstance(key, tuple) else (key,)
+                    total[key] = total[key] + x if key in total else x
+        if total:
+            out = pd.DataFrame(list(total), columns=by)
+            yield out.assign(s=[x[0].tolist() for x in total.values()], n=[x[1].tolist() for x in total.values()])
+
+    kinds = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by)
+    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sums.repartition(parts, cluster).mapInPandas(work, f"{kinds}, s array<double>, n array<double>")
+    each = drawn.select(*by, F.posexplode(F.arrays_zip("s", "n")).alias("rep", "v")).groupBy(*by, "rep")
+    return each.agg(F.sum("v.s").alias("s"), F.sum("v.n").alias("n"))
+
+
 def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, seed: int, reps: int = REPS) -> DataFrame:
-    """Per group: mean of ``value``, its 95 % interval over resampled clusters and the one-sided p that it is not above 0."""
+    """Per group: mean of ``value``, its 95 % interval over resampled clusters and the one-sided p that it is not above 0.
+
+    Replicates that draw no cluster of a group are left out.
+    """
     sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = replicated(sums, cluster, reps).withColumn("w", poisson_weight(seed, F.col(cluster), F.col("rep")))
-    stats = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("v"))
+    stats = _resampled(sums, by, cluster, seed, reps).where("n > 0").withColumn("v", F.col("s") / F.col("n"))
     ends = stats.groupBy(*by).agg(F.percentile("v", 0.025).alias("ci_low"), F.percentile("v", 0.975).alias("ci_high"), ((F.count_if(F.col("v") <= 0) + 1) / (F.count("*") + 1.0)).alias("p_value"))
     means = sums.groupBy(*by).agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean"))
     return means.join(ends, by)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.operators import cohorts
+from tidemark.operators import metrics as X
 from tidemark.operators import models as Z
 from tidemark.plans.evaluation import GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, horizon_cohort, with_market
 from tidemark.plans.policies import SCORED_SQL, scored
@@ -32,30 +35,76 @@ def interaction_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.classify(Z.screen(rows, [*BY, "feature"], "f3", "x", F.lit(False)), BY)
 
 
-def leadlag_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(anchors of all horizons, time scale)."""
     _, _, scale = inputs(spark, sf_dir)
-    out = cohorts.leadlag_anchors(features(spark, sf_dir), 60, scale)
-    return out.select("session", "coin", "us", "event_id", "label_us", F.round("y", 4).alias("y"))
+    rows = written(features(spark, sf_dir))
+    each = [cohorts.leadlag_anchors(rows, h, scale).withColumn("horizon", F.lit(h)) for h in C.LEADLAG_HORIZONS]
+    return reduce(DataFrame.unionByName, each), scale
+
+
+def leadlag_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _anchors(spark, sf_dir)
+    return out.select("horizon", "session", "coin", "us", "event_id", "label_us", F.round("y", 4).alias("y"))
 
 
 def leadlag_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Future spot return on the past one, and on the momentum gap besides: out-of-fold errors by group.
+    """What each feature adds to the past spot return in forecasting the future one, by group, horizon and feature.
 
-    Training rows whose label reaches into the test period are left out.
+    Each result stands in the output, with null figures where there is too little data.
     """
-    _, _, scale = inputs(spark, sf_dir)
-    anchors = cohorts.leadlag_anchors(features(spark, sf_dir), 60, scale).where("spot_ret_30 IS NOT NULL AND gap_60 IS NOT NULL")
-    rows = anchors.withColumn("grp", F.explode(F.array(F.lit("ALL"), "coin"))).withColumn("ticker", F.col("event_id"))
-    folds = written(Z.fold_rows(rows, ["grp"], "us"))
-    begins = folds.where("is_test").groupBy("grp", "fold").agg(F.min("us").alias("begins"))
-    folds = folds.join(begins, ["grp", "fold"]).where("is_test OR label_us < begins")
-    scalers = Z.fit_scalers(folds.where(~F.col("is_test")), ["grp", "fold", "coin"], ["spot_ret_30", "gap_60"])
-    design = folds.join(scalers, ["grp", "fold", "coin"]).select("grp", "fold", "is_test", "y", Z.standardized("spot_ret_30").alias("zc"), Z.standardized("gap_60").alias("zf"))
+    anchors, scale = _anchors(spark, sf_dir)
+    return leadlag_screen(anchors, scale)
+
+
+def leadlag_screen(anchors: DataFrame, scale: int, least: int = 300, least_folds: int = 3, q_max: float = 0.05, sign_pct: float = 75) -> DataFrame:
+    """Out-of-fold errors and R2 of both models, the gain's interval, p- and q-value, sign consistency and status.
+
+    Training rows whose label reaches into the test period are left out.  Clusters are the coins' market periods.
+    """
+    by = ["grp", "horizon", "feature"]
+    keys = [*by, "fold"]
+    control = F.coalesce(*[F.when(F.col("horizon") == h, F.col(c)) for h, c in C.LEADLAG_CONTROL.items()])
+    coin = sum((F.when(F.col("coin") == c, i).otherwise(0) for i, c in enumerate(C.COINS)), F.lit(0))
+    period = F.floor(F.col("us") / (C.MARKET_SECONDS * scale * V.SECOND)).cast("long") * len(C.COINS) + coin
+    rows = anchors.withColumns({"grp": F.explode(F.array(F.lit("ALL"), "coin")), "control": control, "ticker": period})
+    rows = rows.unpivot(["grp", "horizon", "ticker", "coin", "us", "label_us", "y", "control"], list(C.LEADLAG_FEATURES), "feature", "x")
+    rows = written(rows.where("control IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n_anchors"))
+    enough = counts.where(F.col("n_anchors") >= max(least, C.MIN_TRAIN + C.MIN_TEST)).select(*by)
+    folds = written(Z.fold_rows(rows.join(F.broadcast(enough), by, "left_semi"), by, "us"))
+    begins = folds.where("is_test").groupBy(*keys).agg(F.min("us").alias("begins"))
+    folds = folds.join(begins, keys).where("is_test OR label_us < begins")
+    scalers = Z.fit_scalers(folds.where(~F.col("is_test")), [*keys, "coin"], ["control", "x"])
+    design = written(folds.join(scalers, [*keys, "coin"]).select(*keys, "is_test", "ticker", "y", Z.standardized("control").alias("zc"), Z.standardized("x").alias("zf")))
+    sizes = design.groupBy(*keys).agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test"), F.avg(F.when(~F.col("is_test"), F.col("y"))).alias("ybar"))
+    sizes = sizes.where((F.col("train") >= C.MIN_TRAIN) & (F.col("test") >= C.MIN_TEST)).drop("train", "test")
+    design = design.join(F.broadcast(sizes), keys)
     models = {"b": ["zc"], "c": ["zc", "zf"]}
-    fits = Z.linear_fits(design.where(~F.col("is_test")), ["grp", "fold"], models)
-    test = design.where("is_test").join(F.broadcast(Z.coefficients(design, fits, ["grp", "fold"], list(models))), ["grp", "fold"])
+    betas = Z.coefficients(design, Z.linear_fits(design.where(~F.col("is_test")), keys, models), keys, list(models))
     e = {m: F.col("y") - Z.linear_of(f"beta_{m}", x) for m, x in models.items()}
-    return test.groupBy("grp").agg(F.count("*").alias("n"), F.avg(e["b"] * e["b"]).alias("mse_base"), F.avg(e["c"] * e["c"]).alias("mse_with_gap"), F.avg(F.abs(e["b"])).alias("mae_base"), F.avg(F.abs(e["c"])).alias("mae_with_gap"))
+    test = design.where("is_test").join(F.broadcast(betas), keys)
+    oof = written(test.select(*by, "ticker", e["b"].alias("eb"), e["c"].alias("ec"), (F.col("y") - F.col("ybar")).alias("e0")))
+    square = lambda c: F.col(c) * F.col(c)
+    r2 = lambda c: (1 - F.try_divide(F.sum(square(c)), F.sum(square("e0"))))
+    errors = oof.groupBy(*by).agg(
+        F.count("*").alias("oof_n"), F.avg(square("eb")).alias("mse_base"), F.avg(square("ec")).alias("mse_with_feature"), F.avg(F.abs("eb")).alias("mae_base"),
+        F.avg(F.abs("ec")).alias("mae_with_feature"), r2("eb").alias("r2_base"), r2("ec").alias("r2_with_feature"),
+    )
+    boot = Z.cluster_bootstrap(oof.withColumn("gain", square("eb") - square("ec")), by, "ticker", "gain", C.SEED, C.LEADLAG_REPS)
+    gamma = F.col("beta_c")[2]
+    signs = betas.groupBy(*by).agg(F.count("*").alias("valid_folds"), F.count_if(gamma > C.ZERO_VARIANCE).alias("positive"), F.count_if(gamma < -C.ZERO_VARIANCE).alias("negative"))
+    signs = signs.select(*by, "valid_folds", (100 * F.greatest("positive", "negative") / F.col("valid_folds")).alias("sign_pct"))
+    spark = anchors.sparkSession
+    grid = spark.createDataFrame([(g, h, f) for g in ("ALL", *C.COINS) for h in C.LEADLAG_HORIZONS for f in C.LEADLAG_FEATURES], "grp string, horizon int, feature string")
+    out = grid
+    for part in (counts, errors, boot.drop("mean"), signs):
+        out = out.join(part, by, "left")
+    out = X.bh_qvalues(out.fillna(0, ["n_anchors", "valid_folds"]), ["grp", "horizon"])
+    gain = F.col("mse_base") - F.col("mse_with_feature")
+    found = (gain > 0) & (F.col("ci_low") > 0) & (F.col("q_value") <= q_max) & (F.col("sign_pct") >= sign_pct)
+    status = F.when((F.col("n_anchors") < least) | (F.col("valid_folds") < least_folds), "INSUFFICIENT").when(found, "SIGNAL").otherwise("NO_SIGNAL")
+    return out.withColumns({"mse_gain": gain, "status": status})
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
