@@ -12,6 +12,8 @@ INLINE = frozenset(
 )
 #: Elements whose content is no text of the page (fixed values).
 SKIPPED = frozenset("script style noscript template title svg math iframe object canvas audio video textarea select option datalist head".split())
+#: Skipped elements whose content is never markup: without an end tag they reach to the end of the page (fixed values).
+RAW = frozenset("script style textarea".split())
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag ends an open element of these kinds (fixed values).
@@ -19,7 +21,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements that no implied end reaches beyond (fixed values).
 FENCES = frozenset("table ul ol dl div article section main aside nav header footer form body html blockquote".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*?)>)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -100,7 +102,7 @@ def blocks(page: str | None) -> list[Block]:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 if stop:
                     at = stop.end()
-                elif tag not in ("head", "title"):
+                elif tag in RAW:
                     at = end
             continue
         if tag == "br":
