@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import Trees, fit_isotonic, fit_trees, sigmoid
-from tidemark.llm.common import bounded_sample, written
+from tidemark.llm.common import bounded_sample, lean, written
 from tidemark.shipping import ship
 
 #: Labelled rows that fit the model, at most; those with the least hash of their id.
@@ -40,7 +40,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _RUN = re.compile(r"(.)\1\1")
-CACHE = 400_000
+#: Words whose facts a task keeps.
+CACHE = 100_000
 FEATURES = 24
 
 
@@ -131,16 +132,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _featured(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
-    """(label, x) of labelled rows, each by the lexicon that has not seen its fold."""
+    """(label, x, place, id) of labelled rows, each by the lexicon that has not seen its fold."""
+    kind = rows.schema["id"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(lexicons)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = [Codes(x) for x in shared.value]
         for b in batches:
             x = [features(t.as_py() or "", codes[f]) for t, f in zip(b.column(2), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(3), b.column(4)], ["label", "x", "place", "id"])
 
-    return rows.select("label", "fold", "text").mapInArrow(work, "label int, x array<double>")
+    return rows.select("label", "fold", "text", "place", "id").mapInArrow(lean(work), f"label int, x array<double>, place long, id {kind}")
 
 
 def _counted(rows: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
@@ -157,7 +159,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame
             names, folds = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(folds, pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "fold", "n"])
 
-    counts = rows.select("fold", "text").mapInArrow(work, "term string, fold int, n long")
+    counts = rows.select("fold", "text").mapInArrow(lean(work), "term string, fold int, n long")
     return counts.groupBy("term").agg(*(F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"f{i}") for i in range(FOLDS)))
 
 
@@ -187,7 +189,9 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits the model to at most ``sample`` labelled rows that are not held out.
 
-    Without both labels the score is the share of label 1 among the rows (0 without rows).
+    Without both labels the score is the share of label 1 among the rows (0 without rows).  The lexicon has at most
+    ``TERMS`` entries, the best of ``CANDIDATES`` terms that toxic rows hold most often.  Null and empty texts count as
+    texts without words; null ids and labels other than 0 and 1 are left out; an id with both labels counts as 1.
     """
     ship(df.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
@@ -196,10 +200,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.select("id", "label", order.alias("place"))
     chosen = bounded_sample(chosen, "place", sample)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # the sample has a fixed bound
-    rows = written(texts.join(F.broadcast(chosen), "id").withColumn("fold", F.pmod(F.shiftright("place", 7), F.lit(FOLDS)).cast("int")))
+    # the sample has a fixed bound: of rows that repeat an id, the least text stands for it
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "place").agg(F.min("text").alias("text"))
+    rows = written(found.withColumn("fold", F.pmod(F.shiftright("place", 7), F.lit(FOLDS)).cast("int")))
     lexicons = learn_lexicons(rows)
-    fitted = _featured(rows, lexicons).collect() if lexicons else []
+    # in the order of the hash, so that the fit does not depend on how rows lie in partitions
+    fitted = sorted(_featured(rows, lexicons).collect(), key=lambda r: (r["place"], r["id"])) if lexicons else []
     lexicon = lexicons[-1] if lexicons else {}
     y, x = np.array([r["label"] for r in fitted], float), np.array([r["x"] for r in fitted], float).reshape(-1, FEATURES)
     last = np.arange(len(y)) % 10 >= 7
@@ -213,8 +219,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Null text counts as empty and gets the score of a text without words.  A null id is not held out.  Repeated rows
-    score alike.  An empty table gives an empty result.
+    Null text counts as empty and gets the score of a text without words.  A null id is not held out.  Very long texts
+    are scored whole.  Repeated rows score alike.  An empty table gives an empty result; other columns are not read.
     """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -228,11 +234,15 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(work), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are not predicted toxic, with their own columns, in one pass and without a join."""
+    """The rows of ``df`` that are not predicted toxic, with their own columns, in one pass and without a join.
+
+    Null and empty texts are scored as texts without words; repeated rows stay or go together; an empty table gives an
+    empty result; no column is added, so none can clash.
+    """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text_col)
@@ -243,4 +253,4 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             x = np.array([features(t.as_py() or "", codes) for t in b.column(place)], float).reshape(-1, FEATURES)
             yield b.filter(pa.array(shared.value.score(x) < THRESHOLD))
 
-    return df.mapInArrow(work, df.schema)
+    return df.mapInArrow(lean(work), df.schema)
