@@ -155,17 +155,17 @@ def brute_lines(docs, least, leading=3):
         for m in {mask(x) for x in own} - {()}:
             seen.setdefault(m, set()).add(i)
             leaves.setdefault(leaf(m), set()).add(i)
-    often = {m: len(d) for m, d in seen.items() if len(leaves[leaf(m)]) >= least}
+    often = {m: d for m, d in seen.items() if len(leaves[leaf(m)]) >= least}
     at = {}
-    for m, n in often.items():
+    for m, d in often.items():
         for k in range(leading, len(m)):
             if m[k] != "<*>":
-                at[leaf(m), k, m[k]] = at.get((leaf(m), k, m[k]), 0) + n
-    template = {m: m[:leading] + tuple(x if at.get((leaf(m), leading + k, x), 0) >= least else "<*>" for k, x in enumerate(m[leading:])) for m in often}
+                at.setdefault((leaf(m), k, m[k]), set()).update(d)
+    template = {m: m[:leading] + tuple(x if len(at.get((leaf(m), leading + k, x), ())) >= least else "<*>" for k, x in enumerate(m[leading:])) for m in often}
     total = {}
     for m, t in template.items():
-        total[t] = total.get(t, 0) + often[m]
-    dropped = {m for m, t in template.items() if total[t] >= least and 2 * sum(x != "<*>" for x in t) >= len(t)}
+        total.setdefault(t, set()).update(often[m])
+    dropped = {m for m, t in template.items() if len(total[t]) >= least and 2 * sum(x != "<*>" for x in t) >= len(t)}
     return {i: (len(own), sum(mask(x) in dropped for x in own), "\n".join(x for x in own if mask(x) not in dropped)) for i, own in lines.items()}
 
 
@@ -178,6 +178,19 @@ def test_line_dedup(make, prose):
     assert got[1][1] >= 2
 
 
+def test_line_dedup_counts_documents(make):
+    """A document with many lines of one template does not make it recur; ten documents with one each do."""
+    alone = "\n".join(f"Job step {'abcdefghijkl'[i] * 3} of the nightly run has ended well" for i in range(12))
+    shared = [f"Backup of disk {'abcdefghij'[i] * 4} on host main was made today\nOwn line {i} x" for i in range(10)]
+    both = ["Backup of disk zzzz on host main was made today\nBackup of disk yyyy on host main was made today"]
+    docs = list(enumerate([alone, *shared, *both]))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup(make(docs), min_docs=10).collect()}
+    assert got == brute_lines(docs, 10)
+    assert got[0][1] == 0 and all(got[i][1] == 2 for i in range(1, 11)) and got[11][1] == 2
+    nine = list(enumerate([*shared[:8], *both]))
+    assert all(r.n_removed == 0 for r in line_dedup.dedup(make(nine), min_docs=10).collect())
+
+
 def test_line_dedup_edges(make):
     df = make([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None)])
     assert sorted((r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup(df, min_docs=3).collect()) == [(1, 0, ""), (1, 1, ""), (1, 1, ""), (1, 1, "")]

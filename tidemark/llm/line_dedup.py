@@ -5,9 +5,13 @@ the variable field ``<*>``.  In a leaf, a token stays constant at its position i
 documents hold it there, and becomes ``<*>`` otherwise.  What results is the line's template.  A template with constants
 in at least half its positions that lines of ``MIN_DOCS`` documents share is recurring, and its lines are dropped.
 
-A leaf seen in fewer documents cannot hold a recurring template, so only lines of frequent leaves are looked at closely,
-and each distinct masked line once, with its number of documents.  Counts combine on the map side.  What is joined to
-all lines is a pair of hashes; it is broadcast only where a count has shown it to be small.
+Documents are counted, not lines.  A leaf seen in fewer documents cannot hold a recurring template, so only lines of
+frequent leaves are looked at closely, and each distinct masked line once, with its number of documents.  Adding these up
+counts a document twice where it holds several different lines of one leaf; such lines are few, and what they count too
+often is taken off again.  So no token moves with its document but theirs.
+
+Texts are parsed into hashes once, and once more for the tokens of frequent leaves.  Counts combine on the map side.
+What is joined to all lines is a pair of hashes; it is broadcast only where a count has shown it to be small.
 """
 
 from __future__ import annotations
@@ -20,58 +24,85 @@ from tidemark.llm.common import let, sized, words, written
 LEADING = 3
 MIN_DOCS = 10
 FIELD = "<*>"
+#: A word with a digit; it is looked for at word beginnings only, so that the search is linear.
+_VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _masked(line: Column) -> Column:
-    """The tokens of a line with variable fields masked."""
-    return F.transform(words(line), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+def _masked_lines(text: Column) -> Column:
+    """The tokens of each line, variable fields masked."""
+    masked = F.regexp_replace(F.coalesce(text, F.lit("")), _VARIABLE, FIELD)
+    return F.transform(F.split(masked, "\n"), words)
 
 
 def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def _parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key (of the text), row, and per line its leaf and line hashes (null for blank lines)."""
+    entry = lambda t: F.when(F.size(t) > 0, F.struct(_leaf(t).alias("leaf"), F.xxhash64(t).alias("line")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"), F.transform(_masked_lines(text), entry).alias("entries"))
+    return written(rows)
+
+
+def _excess(several: DataFrame, keys: list[str]) -> DataFrame:
+    """How many times too often the sum over lines counts documents under each of ``keys``."""
+    per_doc = several.groupBy("row", *keys).agg((F.count("*") - 1).alias("excess")).where("excess > 0")
+    return per_doc.groupBy(*keys).agg(F.sum("excess").alias("excess"))
+
+
+def _often(counted: DataFrame, several: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """The ``keys`` that lines of ``min_docs`` documents share; ``counted`` has the documents of each line (docs)."""
+    sums = counted.groupBy(*keys).agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    sums = sums.join(_excess(several, keys), keys, "left")
+    return sums.where(F.col("n") - F.coalesce("excess", F.lit(0)) >= min_docs).select(*keys)
 
 
-def recurring_lines(df: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(parsed: DataFrame, df: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, line) hashes of the masked lines whose template recurs; a row of ``df`` is a document."""
-    entry = lambda x: let(_masked(x), lambda t: F.when(F.size(t) > 0, F.struct(_leaf(t).alias("leaf"), F.xxhash64(t).alias("line"))))
-    once = lambda keys: F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
-    leaves = df.select(F.explode(once(F.transform(_lines(F.col(text_col)), lambda x: entry(x).leaf))).alias("leaf"))
+    known = F.array_distinct(F.filter("entries", lambda e: e.isNotNull()))
+    leaves = parsed.select(F.explode(F.array_distinct(F.transform(known, lambda e: e.leaf))).alias("leaf"))
     leaves = written(leaves.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    # distinct masked lines of frequent leaves, by hash, with their documents
-    seen = df.select(F.explode(once(F.transform(_lines(F.col(text_col)), lambda x: let(_masked(x), lambda t: F.when(F.size(t) > 0, F.struct(_leaf(t).alias("leaf"), F.array_join(t, " ").alias("text"))))))).alias("k")).select("k.leaf", "k.text")
-    distinct = written(seen.join(sized(leaves), "leaf", "left_semi").groupBy("leaf", "text").agg(F.count("*").alias("docs")))
-    tokens = distinct.select("leaf", "text", "docs", F.split("text", " ").alias("t"))
-    placed = tokens.select("leaf", "text", "docs", F.posexplode(F.slice("t", LEADING + 1, 1 << 30)).alias("place", "token"))
-    constant = placed.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
-    kept = placed.join(constant.select("leaf", "place", "token", F.lit(True).alias("constant")), ["leaf", "place", "token"], "left")
-    rest = kept.groupBy("leaf", "text").agg(
+    frequent = sized(leaves)
+    # distinct masked lines of frequent leaves with their documents
+    entry = lambda t: F.when(F.size(t) > 0, F.struct(_leaf(t).alias("leaf"), F.array_join(t, " ").alias("text")))
+    seen = df.select(F.explode(F.array_distinct(F.filter(F.transform(_masked_lines(F.col(text_col)), entry), lambda e: e.isNotNull()))).alias("k")).select("k.leaf", "k.text")
+    distinct = seen.join(frequent, "leaf", "left_semi").groupBy("leaf", "text").agg(F.count("*").alias("docs"))
+    distinct = written(distinct.withColumn("tokens", F.split("text", " ")).select("leaf", F.xxhash64("tokens").alias("line"), "docs", "tokens"))
+    # lines of documents that hold more than one line of the leaf
+    beside = lambda s: F.filter(s, lambda x, j: F.coalesce((F.get(s, j - 1).leaf == x.leaf) | (F.get(s, j + 1).leaf == x.leaf), F.get(s, j - 1).leaf == x.leaf, F.get(s, j + 1).leaf == x.leaf, F.lit(False)))
+    several = parsed.select("row", F.explode(let(F.array_sort(known), beside)).alias("e")).select("row", "e.*")
+    several = written(several.join(frequent, "leaf", "left_semi"))
+    place = F.posexplode(F.slice("tokens", LEADING + 1, 1 << 30)).alias("place", "token")
+    placed = distinct.select("leaf", "line", "docs", place).where(F.col("token") != FIELD)
+    several_placed = several.join(distinct.drop("docs"), ["leaf", "line"]).select("row", "leaf", place).where(F.col("token") != FIELD)
+    constant = _often(placed, several_placed, ["leaf", "place", "token"], min_docs)
+    kept = distinct.select("leaf", "line", place).join(constant.withColumn("constant", F.lit(True)), ["leaf", "place", "token"], "left")
+    rest = kept.groupBy("leaf", "line").agg(
         F.array_sort(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token")))).alias("rest")
     )
-    head = tokens.select("leaf", "text", "docs", F.slice("t", 1, LEADING).alias("head"))
-    templates = head.join(rest, ["leaf", "text"], "left")
-    template = F.concat("head", F.coalesce(F.transform("rest", lambda x: x.token), F.array().cast("array<string>")))
-    templates = templates.select("leaf", "text", "docs", template.alias("template"))
+    templates = distinct.join(rest, ["leaf", "line"], "left")
+    template = F.concat(F.slice("tokens", 1, LEADING), F.coalesce(F.transform("rest", lambda x: x.token), F.array().cast("array<string>")))
+    templates = templates.select("leaf", "line", "docs", template.alias("template"))
     templates = templates.where(2 * F.size(F.filter("template", lambda x: x != FIELD)) >= F.size("template"))
-    lines = templates.select("leaf", F.xxhash64(F.split("text", " ")).alias("line"), "docs", F.xxhash64("template").alias("template"))
-    often = lines.groupBy("leaf", "template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
+    lines = written(templates.select("leaf", "line", "docs", F.xxhash64("template").alias("template")))
+    often = _often(lines, several.join(lines.drop("docs"), ["leaf", "line"]), ["leaf", "template"], min_docs)
     return lines.join(often, ["leaf", "template"], "left_semi").select("leaf", "line").distinct()
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, kept_text (the other lines, joined by \\n).
 
-    Blank lines never recur.  Null text is one blank line.  Each row counts as a document, repeated rows too.  An empty
-    table gives an empty result.
+    Blank lines never recur.  Null text is one blank line.  Each row counts as a document, repeated rows too; null ids
+    are equal.  Very long texts and lines are read whole.  An empty table gives an empty result; other columns are not
+    read.
     """
-    dropped = written(recurring_lines(df, text_col, min_docs))
+    parsed = _parsed(df, id_col, text_col)
+    dropped = written(recurring_lines(parsed, df, text_col, min_docs))
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
-    entry = lambda x, i: let(_masked(x), lambda t: F.struct(i.alias("i"), _leaf(t).alias("leaf"), F.when(F.size(t) > 0, F.xxhash64(t)).alias("line")))
-    places = docs.select("doc_id", "key", F.explode(F.transform(_lines(F.col("text")), entry)).alias("x")).select("doc_id", "key", "x.*")
+    places = parsed.select("doc_id", "key", F.posexplode("entries").alias("i", "e")).select("doc_id", "key", "i", "e.*").where("line IS NOT NULL")
     # repeated rows of one id and text would name a line twice: a set
     gone = places.join(sized(dropped), ["leaf", "line"], "left_semi").groupBy("doc_id", "key").agg(F.collect_set("i").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "gone")
@@ -85,5 +116,5 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_doc
         stays = lambda s: F.filter(s, lambda x, j: (x.is_line == 1) & F.coalesce(F.get(s, j - 1).is_line == 1, F.lit(True)))
         return F.struct(F.size(lines).cast("long").alias("n_lines"), F.transform(let(F.array_sort(F.concat(marks, entries)), stays), lambda x: x.line).alias("kept"))
 
-    parts = found.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), let(_lines(F.col("text")), cut).alias("c"))
+    parts = found.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), let(F.split("text", "\n"), cut).alias("c"))
     return parts.select("doc_id", "c.n_lines", "n_removed", F.array_join("c.kept", "\n").alias("kept_text"))
