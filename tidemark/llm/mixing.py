@@ -9,7 +9,8 @@ the lesser of its supply and rate x weight.  The tree holds one row per (languag
 
 A leaf is then filled from seeded epochs: whole passes first, and a prefix of one more pass in the order of a seeded
 hash.  The prefix is found without sorting a leaf in one task: tokens are summed per slice of the hash range, running
-sums over the slices settle all slices but one, and only that slice's documents are ranked.
+sums over blocks of slices and over the slices of a block settle all slices but one, and only that slice's documents are
+ranked.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, written
+from tidemark.llm.common import WORD, unused, written
 
 LEAF = ("domain", "lang", "source")
 
@@ -95,8 +96,9 @@ def mix(df: DataFrame, plan: MixPlan = PLAN, id_col: str = "doc_id", text_col: s
     """One row per input row: doc_id, domain, lang, source, n_tokens, target (tokens of its leaf), copies.
 
     Tokens are words.  Null lang and source are leaves of their own, named "".  Texts without words cost nothing and go
-    with their place in the order.  Repeated rows of an id stand at one place and are taken together.  An empty table
-    gives an empty result.
+    with their place in the order of a pass that is begun; where no token is left for a further pass, none is begun, so
+    that no document is taken more than ``max_epochs`` times.  Repeated rows of an id in a leaf stand at one place and are
+    taken together.  Very long texts count whole.  An empty table gives an empty result; other columns are not read.
     """
     docs = written(
         df.select(
@@ -113,10 +115,15 @@ def mix(df: DataFrame, plan: MixPlan = PLAN, id_col: str = "doc_id", text_col: s
     placed = docs.join(budgets, list(LEAF)).withColumn("h", epoch_hash(plan.seed, F.col("epochs"), F.col("doc_id")))
     placed = written(placed.withColumn("slice", F.shiftright("h", 60 - plan.slice_bits)))
     slices = placed.groupBy(*LEAF, "slice").agg(F.sum("n_tokens").alias("in_slice"), F.first("rest").alias("rest"))
-    run = Window.partitionBy(*LEAF).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = slices.withColumn("upto", F.sum("in_slice").over(run)).withColumn("before", F.col("upto") - F.col("in_slice"))
-    # all slices that end within the rest are taken; the one that the rest ends in is ranked
-    slices = slices.where("before <= rest").select(*LEAF, "slice", "before", (F.col("upto") <= F.col("rest")).alias("inside"))
+    half = plan.slice_bits // 2
+    slices = written(slices.withColumn("block", F.shiftright("slice", half)))
+    run_of = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = slices.groupBy(*LEAF, "block").agg(F.sum("in_slice").alias("in_block"))
+    blocks = blocks.withColumn("ahead", F.sum("in_block").over(run_of(LEAF, "block")) - F.col("in_block")).drop("in_block")
+    slices = slices.withColumn("within", F.sum("in_slice").over(run_of((*LEAF, "block"), "slice"))).join(blocks, [*LEAF, "block"])
+    slices = slices.withColumn("upto", F.col("ahead") + F.col("within")).withColumn("before", F.col("upto") - F.col("in_slice"))
+    # all slices that end within the rest are taken; the one that the rest ends in is ranked; no rest, no further pass
+    slices = slices.where("rest > 0 AND before <= rest").select(*LEAF, "slice", "before", (F.col("upto") <= F.col("rest")).alias("inside"))
     found = placed.join(slices, [*LEAF, "slice"], "left")
     inside = F.coalesce("inside", F.lit(False))
     edge = (F.col("before").isNotNull()) & ~inside
@@ -127,8 +134,14 @@ def mix(df: DataFrame, plan: MixPlan = PLAN, id_col: str = "doc_id", text_col: s
 
 
 def draw(df: DataFrame, plan: MixPlan = PLAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` as often as the plan takes them, with their own columns."""
-    copies = mix(df, plan, id_col, text_col).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    copies = copies.groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    rows = df.join(copies, df[id_col].eqNullSafe(copies["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*df.columns)
+    """The rows of ``df`` as often as the plan takes them, with their own columns.
+
+    Rows that repeat an id in one leaf are drawn alike; in other leaves the id has a number of its own.  Null ids are one
+    id.  An empty table gives an empty result; clashing columns do no harm.
+    """
+    own, times, copy = unused(df, "__id"), unused(df, "__copies"), unused(df, "__copy")
+    lang, source = unused(df, "__lang"), unused(df, "__source")
+    taken = mix(df, plan, id_col, text_col).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias(own), F.col("lang").alias(lang), F.col("source").alias(source)).agg(F.max("copies").alias(times))
+    same = df[id_col].eqNullSafe(taken[own]) & (F.coalesce(df["lang"], F.lit("")) == taken[lang]) & (F.coalesce(df["source"], F.lit("")) == taken[source])
+    return df.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*(df[c] for c in df.columns))

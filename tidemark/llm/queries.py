@@ -91,20 +91,22 @@ SQL = {
                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
         ), leaves AS (
             SELECT len(t) AS n, t[1:3] AS head FROM lines WHERE len(t) > 0 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10
+        ), inside AS (
+            SELECT DISTINCT n, head, t, doc_id FROM lines JOIN leaves ON len(t) = n AND t[1:3] = head
         ), masked AS (
-            SELECT n, head, t, count(DISTINCT doc_id) AS docs FROM lines JOIN leaves ON len(t) = n AND t[1:3] = head GROUP BY ALL
+            SELECT DISTINCT n, head, t FROM inside
         ), placed AS (
-            SELECT n, head, t, docs, i, t[i] AS token FROM masked, range(4, n + 1) r(i)
+            SELECT n, head, t, i, t[i] AS token FROM masked, range(4, n + 1) r(i)
         ), constant AS (
-            SELECT n, head, i, token FROM placed WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10
+            SELECT n, head, i, token FROM placed JOIN inside USING (n, head, t) WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10
         ), rest AS (
             SELECT n, head, t, list(CASE WHEN c.token IS NULL THEN '<*>' ELSE p.token END ORDER BY i) AS rest
             FROM placed p LEFT JOIN constant c USING (n, head, i, token) GROUP BY ALL
         ), templates AS (
-            SELECT n, head, t, docs, list_concat(head, coalesce(rest, [])) AS template FROM masked LEFT JOIN rest USING (n, head, t)
+            SELECT n, head, t, list_concat(head, coalesce(rest, [])) AS template FROM masked LEFT JOIN rest USING (n, head, t)
         ), often AS (
-            SELECT template FROM templates WHERE 2 * len(list_filter(template, lambda x: x <> '<*>')) >= len(template)
-            GROUP BY template HAVING sum(docs) >= 10
+            SELECT template FROM templates JOIN inside USING (n, head, t) WHERE 2 * len(list_filter(template, lambda x: x <> '<*>')) >= len(template)
+            GROUP BY template HAVING count(DISTINCT doc_id) >= 10
         ), dropped AS (
             SELECT DISTINCT t FROM templates SEMI JOIN often USING (template)
         )
@@ -228,7 +230,7 @@ SQL = {
             FROM docs d JOIN budgets USING (domain, lang, source)
         )
         SELECT doc_id, domain, lang, source, n_tokens, target,
-               epochs + (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) <= rest)::BIGINT AS copies
+               epochs + (rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) <= rest)::BIGINT AS copies
         FROM placed
     """,
 }
