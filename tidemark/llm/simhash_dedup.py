@@ -10,8 +10,8 @@ about 18 for each distinct fingerprint, and no link is lost.
 Keys are counted first.  A key held by few fingerprints is verified pair by pair within its row.  A key held by many (a
 large group of near copies) is settled without pairs: each of its fingerprints emits the 65 words of its radius-one
 ball, two fingerprints are within two bits exactly if they share such a word, and no word has more than 65 owners.
-Links join the smallest document of each fingerprint; components come from alternating large-star and small-star
-steps over the links, all in Spark.
+Each fingerprint is a node, whatever rows hold it; components come from alternating large-star and small-star steps over
+the links, all in Spark, and are then named by the smallest id of their rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_copies
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, written
 from tidemark.llm.graph import components
 from tidemark.shipping import ship
 
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, fp long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(work), f"doc_id {kind}, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -171,14 +171,18 @@ def links(distinct: DataFrame) -> DataFrame:
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
-    Null and blank texts have fingerprint zero and link like any other.  Rows with a null id get the component of their
-    fingerprint and never name one, unless all ids of a component are null (then component_id is null).
-    Repeated rows are kept.
+    Null and blank texts have fingerprint zero and link like any other.  Rows with a null id link others and get their
+    component, but never name one, unless all ids of a component are null (then component_id is null).  Ids may be of any
+    type with an order.  Repeated rows are kept; very long texts are read whole; an empty table gives an empty result;
+    other columns are not read.
     """
     rows = written(fingerprints(df, id_col, text_col))
-    nodes = written(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")))
-    labels = components(links(nodes))
-    known = nodes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = written(components(links(nodes.select("fp", F.col("fp").alias("node")))))
+    tied = nodes.join(labels, nodes["fp"] == labels["node"]).select("fp", "least", "label")
+    named = tied.groupBy("label").agg(F.min("least").alias("component_id"))
+    known = nodes.join(tied.join(named, "label").select("fp", "component_id"), "fp", "left")
+    known = known.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
