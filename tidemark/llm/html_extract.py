@@ -21,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample
+from tidemark.llm.common import bounded_sample, lean
 from tidemark.llm.html_blocks import Block, blocks
 from tidemark.llm.lstm import Labeller, padded
 from tidemark.llm.wordhash import spans, word_hashes
 from tidemark.shipping import ship
 
-#: Pages that fit the model, at most (those with the least hash of their id), and characters of such a page, at most.
-SAMPLE, SAMPLE_CHARS = 250, 60_000
-LAID_OUT, EPOCHS, HIDDEN, SEED = 900, 10, 20, 5
+#: Pages that fit the model, at most: those with the least hash of their id, whole and of any length.
+SAMPLE = 250
+#: Blocks of a training sequence: a longer page gives several, one after the other.
+SEQUENCE = 2_000
+LAID_OUT, EPOCHS, HIDDEN, SEED = 1200, 12, 20, 5
 PATH_BINS, NEAR_BINS, WORD_BINS, RATES = 128, 32, 24, 8
 WIDTH = PATH_BINS + NEAR_BINS + WORD_BINS + RATES
 #: Blocks that are labelled together, padding included.
-CELLS = 60_000
+CELLS = 20_000
 #: Marks in laid-out texts (private-use characters, taken out of what pages hold themselves).
 ARTICLE, OTHER = "\ue000", "\ue001"
 
@@ -55,8 +57,8 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return _paths[path]
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """One row per block of all pages, in order."""
+def vectors(pages: list[list[Block]], begin: int = 0, total: int = 0) -> np.ndarray:
+    """One row per block of all pages, in order; ``begin`` and ``total`` tell where blocks stand that are part of a page."""
     every = [b for p in pages for b in p]
     if not every:
         return np.zeros((0, WIDTH), np.float32)
@@ -73,7 +75,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     out[:, : PATH_BINS + NEAR_BINS] = [_path_vector(b.path) for b in every]
     chars = np.array([len(b.text) for b in every], np.float32)
     sizes = np.array([len(t) for t in texts], np.float32)
-    place = np.concatenate([np.arange(len(p), dtype=np.float32) / len(p) for p in pages if p])
+    place = np.concatenate([(begin + np.arange(len(p), dtype=np.float32)) / (total or len(p)) for p in pages if p])
     out[:, -RATES:] = np.stack(
         [
             np.log1p(chars) / 8, np.log1p(n_words) / 6, np.array([b.link_chars for b in every], np.float32) / np.maximum(chars, 1),
@@ -87,16 +89,18 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
 
 def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page, which of its blocks are article."""
-    x = vectors(pages)
-    ends = np.cumsum([0] + [len(p) for p in pages])
     out: list[np.ndarray] = [np.zeros(len(p), bool) for p in pages]
     order, i = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k])), 0
+    while order and len(pages[order[-1]]) > CELLS:
+        # a page of very many blocks, read in slices
+        own = pages[k := order.pop()]
+        out[k] = model.margins_in_slices(len(own), CELLS, lambda a, b, own=own: vectors([own[a:b]], a, len(own))) > 0
     while i < len(order):
         j = i + 1
         while j < len(order) and (j + 1 - i) * len(pages[order[j]]) <= CELLS:
             j += 1
         some = order[i:j]
-        margins = model.margins(*padded([x[ends[k] : ends[k + 1]] for k in some]))
+        margins = model.margins(*padded([vectors([pages[k]]) for k in some]))
         for column, k in enumerate(some):
             out[k] = margins[: len(pages[k]), column] > 0
         i = j
@@ -135,6 +139,8 @@ class Layouts:
 
     def furniture(self, kind: str) -> str:
         opened = self.one(self.FURNITURE[kind])
+        if kind in ("menu", "header", "footer") and self.chance(0.15):
+            opened = f'<div class="{self.name()}">'
         tag = opened[1:].split(" ")[0].rstrip(">")
         inner = []
         for _ in range(int(self.rng.integers(1, 7 if kind in ("menu", "comments", "sidebar") else 4))):
@@ -150,8 +156,16 @@ class Layouts:
                 inner.append(self.one(["<p>{}</p>", "{}", "<div>{}</div>", "<p><b>{}</b></p>"]).format(text))
         return f"{opened}{''.join(inner)}</{tag}>"
 
+    def name(self) -> str:
+        """A name that says nothing."""
+        return "".join(self.one(list("bcdfgklmnprstvz")) + self.one(list("aeiou")) for _ in range(int(self.rng.integers(2, 5))))
+
     def article(self) -> str:
-        opened = self.one(self.HOLDERS).format(self.one(self.HOLDER_NAMES))
+        if self.chance(0.12):
+            return self.bare()
+        opened = self.one(self.HOLDERS).format(self.one(self.HOLDER_NAMES) if self.chance(0.6) else self.name())
+        if self.chance(0.15):
+            opened = self.one(["<div>", "<section>", '<section role="main">', "<center>"])
         tag = opened[1:].split(" ")[0].rstrip(">")
         parts = [f"<h1>{self.words(ARTICLE, False)}</h1>"] if self.chance(0.7) else []
         for _ in range(int(self.rng.integers(1, 12))):
@@ -162,10 +176,28 @@ class Layouts:
                 parts.append(self.furniture(self.one(["advert", "sidebar", "form", "notice", "menu"])))
         return f"{opened}{''.join(parts)}</{tag}>"
 
+    def bare(self) -> str:
+        """An article without an element of its own."""
+        parts = [f"<h1>{self.words(ARTICLE, False)}</h1>"] if self.chance(0.6) else []
+        forms = ["<p>{}</p>", "<p>{}", "{}<br><br>", "<div>{}</div>", "<font size=2>{}</font><p>"]
+        form = self.one(forms)
+        return "".join([*parts, *(form.format(self.words(ARTICLE, True)) for _ in range(int(self.rng.integers(1, 8))))])
+
+    def table(self, before: list[str], article: str, after: list[str]) -> str:
+        """A page laid out as a table: menu cells beside or above the article's cell."""
+        links = lambda: "".join(self.one(['<a href="/x">{}</a><br>', '<a href="/x">{}</a> | ', "<b>{}</b><br>", '<font size=1><a href="/x">{}</a></font> ', "{} "]).format(self.words(OTHER, False)) for _ in range(int(self.rng.integers(1, 7))))
+        menu, body, side = f"<td>{links()}</td>", f"<td>{article}</td>", f"<td>{links()}</td>" if self.chance(0.4) else ""
+        top = f"<tr><td>{links()}</td></tr>" if self.chance(0.5) else ""
+        bottom = f"<tr><td>{self.one(['<center>{}</center>', '<font size=1>{}</font>', '{}']).format(self.words(OTHER, self.chance(0.3)))}</td></tr>" if self.chance(0.5) else ""
+        rows = f"<tr>{menu}{body}{side}</tr>" if self.chance(0.7) else f"<tr>{menu}</tr><tr>{body}</tr>"
+        return f"<html><body>{''.join(before)}<table width='100%'>{top}{rows}{bottom}</table>{''.join(after)}</body></html>"
+
     def page(self) -> str:
         before = [k for k in ("notice", "header", "menu", "advert", "form", "sidebar", "menu") if self.chance(0.4)]
         after = [k for k in ("comments", "sidebar", "advert", "form", "menu", "notice", "footer") if self.chance(0.45)]
         parts = [*map(self.furniture, before), self.article() if self.chance(0.97) else "", *map(self.furniture, after)]
+        if self.chance(0.12):
+            return self.table([*map(self.furniture, before)], self.article() if self.chance(0.3) else self.bare(), [*map(self.furniture, after)])
         wraps = int(self.rng.integers(0, 3))
         opened = "".join(f'<div class="{self.one(self.NEUTRAL)}">' for _ in range(wraps))
         return f"<html><body>{opened}{''.join(parts)}{'</div>' * wraps if self.chance(0.9) else ''}</body></html>"
@@ -178,7 +210,7 @@ def _unmarked(text: str) -> str:
 def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
     """Fits the labeller to at most ``sample`` pages and to pages laid out from their texts."""
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("pages"))
-    known = df.where(F.length(html_col) <= SAMPLE_CHARS).select(order.alias("place"), F.col(html_col).alias("html"))
+    known = df.where(F.length(html_col) > 0).select(order.alias("place"), F.col(html_col).alias("html"))
     rows = bounded_sample(known, "place", sample).collect()
     own, marks, prose, short = [], [], [], []
     for r in rows:
@@ -188,7 +220,7 @@ def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample
             own.append(page)
             marks.append(inside.astype(np.float32))
         for b in page:
-            (prose if len(b.text) > 60 else short).append(_unmarked(b.text[:2000]))
+            (prose if len(b.text) > 60 else short).append(_unmarked(b.text))
     layouts = Layouts(prose, short, SEED)
     for _ in range(LAID_OUT):
         page = blocks(layouts.page())
@@ -196,14 +228,17 @@ def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample
             own.append([Block(_unmarked(b.text), b.path, b.link_chars) for b in page])
             marks.append(np.array([ARTICLE in b.text for b in page], np.float32))
     model = Labeller(WIDTH, HIDDEN, SEED)
-    model.fit([vectors([p]) for p in own], marks, EPOCHS, SEED)
+    cut = [(p, m, a) for p, m in zip(own, marks) for a in range(0, len(p), SEQUENCE)]
+    model.fit([vectors([p[a : a + SEQUENCE]], a, len(p)) for p, _, a in cut], [m[a : a + SEQUENCE] for _, m, a in cut], EPOCHS, SEED)
     return model
 
 
 def extract(df: DataFrame, model: Labeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text (article blocks joined by \\n), n_chars.
 
-    Null, empty and textless pages have an empty text.  Repeated rows give equal texts; an empty table an empty result.
+    Null, empty and textless pages have an empty text; null ids and urls stay null.  Very long pages are read whole, in
+    time linear in their length.  Repeated rows give equal texts; an empty table gives an empty result; other columns are
+    not read.
     """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -225,4 +260,4 @@ def extract(df: DataFrame, model: Labeller, id_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(work, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return rows.mapInArrow(lean(work), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
