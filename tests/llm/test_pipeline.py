@@ -5,7 +5,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tidemark.llm import mixing, simhash_dedup, toxicity  # noqa: E402
+from tidemark.llm import mixing, near_copies, toxicity  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -44,9 +44,9 @@ def test_stages(spark, folder):
         if name == "exact_dedup":
             assert sorted(seen[name]) == sorted({t or "": i for i, t in sorted(before.items())}.values())
         if name == "simhash_dedup":
-            fps = {i: simhash_dedup.fingerprint(t) for i, t in before.items()}
-            lowest = [i for i in fps if not any(j < i and (fps[i] ^ fps[j]).bit_count() <= 2 for j in fps)]
-            assert sorted(seen[name]) == lowest
+            sets = {i: near_copies.shingles(t, 5) for i, t in before.items()}
+            lowest = [i for i in sets if not any(j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in sets)]
+            assert sorted(seen[name]) == sorted(lowest)
     assert len(seen["mixing"]) > 20
 
 
