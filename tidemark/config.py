@@ -45,6 +45,6 @@ MARKET_SECONDS = 900
 SETTLE_WAIT, SETTLE_GIVE_UP = 20, 1800
 GATE_WINDOW, GATE_MIN, GATE_MAX_BLOCK, GATE_MAX_OPEN = 50, 30, 0.35, 0.50
 
-#: Ticks per day at the cadence that the windows above are meant for, over the ticks per day of the events table:
-#: market seconds are stretched by this, so that windows hold as many points.
-TICKS_FOR_UNIT_SCALE = 10_000_000
+#: Seconds of the events table to a second of market time: its smallest useful table is about a thousand times sparser than
+#: a live feed.  Fixed, so that a row's features never depend on how many rows there are.
+TIME_SCALE = 1000

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import market as M
-from tidemark.operators.timewin import asof, realized_vol, series, value_before, with_halo
+from tidemark.operators.timewin import Series, asof, realized_vol, with_halo
 from tidemark.sources.views import SECOND
 
 DIGITS = 4
@@ -18,66 +20,63 @@ def r4(x: F.Column) -> F.Column:
     return F.round(x, DIGITS)
 
 
-RUNNING = ("i", "sum_r2", "gaps")
-
-
-def _vol_inputs(df: DataFrame, value: str, second: int) -> DataFrame:
-    """Adds the running columns that ``realized_vol`` needs."""
-    w = series("coin")
-    step = F.log(F.col(value) / F.lag(value).over(w))
-    wide = F.coalesce((F.col("us") - F.lag("us").over(w) > C.RV_GAP * second).cast("long"), F.lit(0))
-    df = df.withColumns({"r2": F.coalesce(step * step, F.lit(0.0)), "wide": wide})
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"i": F.row_number().over(w), "sum_r2": F.sum("r2").over(so_far), "gaps": F.sum("wide").over(so_far)}).drop("r2", "wide")
+def _doubles(*names: str) -> str:
+    return "".join(f", {n} double" for n in names)
 
 
 def perp_features(snapshots: DataFrame, scale: int) -> DataFrame:
     """One row per fresh snapshot with a mid: its trailing features, which depend on nothing later."""
     second = scale * SECOND
-    fresh = snapshots.where(F.col("fresh") & F.col("mid").isNotNull())
+    fresh = snapshots.where(F.col("fresh") & F.col("mid").isNotNull()).select("event_id", "coin", "us", "mid", "premium", "spread")
 
-    def windows(df: DataFrame) -> DataFrame:
-        df, w = _vol_inputs(df, "mid", second), series("coin")
-        out = [c for c in df.columns if c not in RUNNING]
+    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
+        us, mid, premium = pdf["us"].to_numpy(), pdf["mid"].to_numpy(), pdf["premium"].to_numpy(float)
+        mids, premiums = Series(us, mid), Series(us, premium)
+        out = {"event_id": pdf["event_id"].to_numpy(), "spread": pdf["spread"].to_numpy(float)}
         for h in C.HORIZONS:
-            past = lambda v, h=h: value_before(v, w, h * second, C.TOLERANCE * second)
-            out.append(r4(M.return_bps(F.col("mid"), past("mid"))).alias(f"perp_ret_{h}"))
-            out.append(r4(F.col("premium") - past("premium")).alias(f"premium_change_{h}"))
+            out[f"perp_ret_{h}"] = (mid / mids.before(h * second, C.TOLERANCE * second) - 1) * 10000
+            out[f"premium_change_{h}"] = premium - premiums.before(h * second, C.TOLERANCE * second)
         for name, (window, least, span) in C.Z_WINDOWS.items():
-            frame = w.rangeBetween(-window * second + 1, 0)
-            n, sd = F.count("premium").over(frame), F.stddev_samp("premium").over(frame)
-            begun = F.min(F.when(F.col("premium").isNotNull(), F.col("us"))).over(frame)
-            usable = F.col("premium").isNotNull() & (n >= least) & (F.col("us") - begun >= span * second) & (sd > C.ZERO_VARIANCE)
-            out.append(r4(F.when(usable, (F.col("premium") - F.avg("premium").over(frame)) / sd)).alias(f"premium_z_{name}"))
-            out.append(F.when(F.col("premium").isNotNull(), n).otherwise(0).cast("long").alias(f"premium_z_{name}_n"))
+            n, mean, sd, begun = premiums.trailing(window * second)
+            known = ~np.isnan(premium)
+            usable = known & (n >= least) & (us - begun >= span * second) & (sd > C.ZERO_VARIANCE)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[f"premium_z_{name}"] = np.where(usable, (premium - mean) / sd, np.nan)
+            out[f"premium_z_{name}_n"] = np.where(known, n, 0)
         for window, (least, span) in C.RV_WINDOWS.items():
-            out.append(r4(realized_vol(w, window * second, least, span * second, second)).alias(f"perp_rv_{window}"))
-        # every fresh row with a mid has a spread; the frame ends at the row before
-        begin = F.first(F.struct("us", "i")).over(w.rangeBetween(-C.SPREAD_WINDOW * second, -1))
-        n, reach = F.coalesce(F.col("i") - begin["i"], F.lit(0)).cast("long"), F.lag("us").over(w) - begin["us"]
-        median = F.when((n >= C.SPREAD_MIN_N) & (reach >= C.SPREAD_MIN_SPAN * second), F.expr(
-            f"percentile(spread, 0.5) OVER (PARTITION BY coin, bucket ORDER BY us RANGE BETWEEN {C.SPREAD_WINDOW * second} PRECEDING AND 1 PRECEDING)"
-        ))
-        out += [r4(median).alias("spread_median"), n.alias("spread_n")]
-        return df.select(*out)
-
-    out = with_halo(fresh, "us", LONGEST * second, windows)
-    return out.withColumn("spread_ratio", r4(M.spread_ratio(r4(F.col("spread")), F.col("spread_median"))))
+            out[f"perp_rv_{window}"] = realized_vol(us, mid, window * second, least, span * second, C.RV_GAP * second, second)
+        # every fresh row with a mid has a spread; the frame ends before the row
+        a, b = np.searchsorted(us, us - C.SPREAD_WINDOW * second, "left"), np.searchsorted(us, us, "left")
+        spreads = pd.Series(out["spread"], index=pd.to_datetime(us, unit="us"))
+        median = spreads.rolling(pd.Timedelta(C.SPREAD_WINDOW * second, "us"), closed="left", min_periods=1).median().to_numpy()
+        enough = (b - a >= C.SPREAD_MIN_N) & (us[np.maximum(b - 1, 0)] - us[np.minimum(a, len(us) - 1)] >= C.SPREAD_MIN_SPAN * second)
+        out["spread_median"], out["spread_n"] = np.where(enough, median, np.nan), b - a
+        return pd.DataFrame(out)
+
+    values = [*(x for h in C.HORIZONS for x in (f"perp_ret_{h}", f"premium_change_{h}")), *(f"premium_z_{n}" for n in C.Z_WINDOWS), *(f"perp_rv_{w}" for w in C.RV_WINDOWS), "spread_median"]
+    counts = [*(f"premium_z_{n}_n" for n in C.Z_WINDOWS), "spread_n"]
+    out = with_halo(fresh, "us", LONGEST * second, windows, f"event_id long{_doubles('spread', *values)}{''.join(f', {n} long' for n in counts)}")
+    out = out.select("event_id", "spread", *(r4(F.col(v)).alias(v) for v in values), *counts)
+    return out.withColumn("spread_ratio", r4(M.spread_ratio(r4(F.col("spread")), F.col("spread_median")))).drop("spread")
 
 
 def spot_features(spots: DataFrame, scale: int) -> DataFrame:
     second = scale * SECOND
+    values = [*(f"spot_ret_{h}" for h in C.HORIZONS), *(f"spot_rv_{w}" for w in C.RV_WINDOWS)]
 
-    def windows(df: DataFrame) -> DataFrame:
-        df, w = _vol_inputs(df, "spot", second), series("coin")
-        out = [c for c in df.columns if c not in RUNNING]
+    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
+        us, spot = pdf["us"].to_numpy(), pdf["spot"].to_numpy(float)
+        own = Series(us, spot)
         for h in C.HORIZONS:
-            out.append(r4(M.return_bps(F.col("spot"), value_before("spot", w, h * second, C.TOLERANCE * second))).alias(f"spot_ret_{h}"))
+            pdf[f"spot_ret_{h}"] = (spot / own.before(h * second, C.TOLERANCE * second) - 1) * 10000
         for window, (least, span) in C.RV_WINDOWS.items():
-            out.append(r4(realized_vol(w, window * second, least, span * second, second)).alias(f"spot_rv_{window}"))
-        return df.select(*out)
+            pdf[f"spot_rv_{window}"] = realized_vol(us, spot, window * second, least, span * second, C.RV_GAP * second, second)
+        return pdf[[*columns, *values]]
 
-    return with_halo(spots, "us", LONGEST * second, windows)
+    columns = spots.columns
+    kinds = ", ".join(f"{n} {k}" for n, k in spots.dtypes)
+    out = with_halo(spots, "us", LONGEST * second, windows, kinds + _doubles(*values))
+    return out.select(*columns, *(r4(F.col(v)).alias(v) for v in values))
 
 
 PERP_VALUES = [*(f"perp_ret_{h}" for h in C.HORIZONS), *(f"premium_change_{h}" for h in C.HORIZONS), "premium_z_5m", "premium_z_5m_n", "premium_z_15m", "premium_z_15m_n",
@@ -87,7 +86,7 @@ PERP_VALUES = [*(f"perp_ret_{h}" for h in C.HORIZONS), *(f"premium_change_{h}" f
 def paired(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataFrame:
     """Spot rows with the newest snapshot at or before them, of whatever status, and what that pair allows."""
     second = scale * SECOND
-    rows = asof(spots, snapshots, "coin", "us", 4 * LONGEST * second)
+    rows = asof(spots, snapshots, "coin", "us", LONGEST * second // 4)
     lag = F.col("us") - F.col("match.us")
     status = F.col("match.source_status")
     ok = F.coalesce(lag <= C.MAX_LAG * second, F.lit(False))

@@ -1,8 +1,8 @@
 """Trailing windows and as-of joins over irregular time.
 
 There may be few keys (coins) and very long series, so partitioning by key alone would leave a handful of huge tasks.
-Series are cut into (key, time bucket) partitions.  Windows look back a bounded time, so each bucket also gets the rows
-of that time before it (a halo), which are dropped after the window is computed.  As-of joins may look back without
+Series are cut into (key, time bucket) groups.  Windows look back a bounded time, so each bucket also gets the rows of
+that time before it (a halo), which are dropped after the window is computed.  As-of joins may look back without
 bound: the last row of all earlier buckets is carried into a bucket through a table with one row per bucket.
 """
 
@@ -10,31 +10,77 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shipping import ship
 
-def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[DataFrame], DataFrame], width: int | None = None, key: str = "coin") -> DataFrame:
-    """Applies windowed columns that look back at most ``lookback``, over buckets of ``width`` (default 4 lookbacks).
 
-    ``apply`` must put ``bucket`` in the partitioning of its windows and keep ``bucket`` and ``in_halo``.
+def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "coin") -> DataFrame:
+    """Rows of ``apply``, called with each bucket of ``lookback`` and the rows of that time before it, in order of time.
+
+    ``apply`` gives a row for each row it gets, in the same order; those of the halo are dropped after it.  A sliding
+    frame in SQL is worked out anew for every row; arrays with running sums and binary search take n log n.  A bucket is
+    bounded by the rate of the series, not by its length.
     """
-    width = width or 4 * lookback
-    first, last = F.floor(F.col(time) / width), F.floor((F.col(time) + lookback) / width)
+    first, last = F.floor(F.col(time) / lookback), F.floor((F.col(time) + lookback) / lookback)
     spread = df.withColumn("bucket", F.explode(F.sequence(first, last)))
     spread = spread.withColumn("in_halo", F.col("bucket") != first)
-    # windows cost far more than the bytes they read suggest: these partitions are not to be merged at run time
-    spread = spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "bucket")
-    return apply(spread).where(~F.col("in_halo")).drop("bucket", "in_halo")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([time, "in_halo"], kind="stable", ignore_index=True)
+        return apply(pdf)[~pdf["in_halo"].to_numpy()]
+
+    ship(df.sparkSession)
+    return spread.groupBy(key, "bucket").applyInPandas(run, schema)
+
+
+class Series:
+    """A value over sorted times, with what trailing frames of it need; missing values are left out."""
+
+    def __init__(self, us: np.ndarray, value: np.ndarray) -> None:
+        there = ~np.isnan(value)
+        self.at, self.us, self.value = us, us[there], value[there]
+        self.middle = self.value.mean() if len(self.value) else 0.0
+        shifted = self.value - self.middle
+        self.sums, self.squares = _running(shifted), _running(shifted**2)
+
+    def before(self, horizon: int, tolerance: int) -> np.ndarray:
+        """The newest value at or before ``horizon`` ago, if no more than ``tolerance`` older."""
+        i = np.searchsorted(self.us, self.at - horizon, "right") - 1
+        out = np.full(len(self.at), np.nan)
+        ok = i >= 0
+        ok[ok] = self.us[i[ok]] >= self.at[ok] - horizon - tolerance
+        out[ok] = self.value[i[ok]]
+        return out
 
-def series(*keys: str, order: str = "us") -> WindowSpec:
-    return Window.partitionBy(*keys, "bucket").orderBy(order)
+    def trailing(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Over (t - window, t]: number, mean, sample deviation and first time; nan or -1 where there is none."""
+        a, b = np.searchsorted(self.us, self.at - window, "right"), np.searchsorted(self.us, self.at, "right")
+        n = b - a
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = (self.sums[b] - self.sums[a]) / n
+            deviation = np.sqrt(np.maximum(self.squares[b] - self.squares[a] - n * mean**2, 0) / (n - 1))
+        begun = np.where(n > 0, self.us[np.minimum(a, len(self.us) - 1)], -1) if len(self.us) else np.full(len(n), -1)
+        return n, mean + self.middle, deviation, begun
 
 
-def value_before(value: str, w: WindowSpec, horizon: int, tolerance: int) -> Column:
-    """The newest non-null value at or before ``horizon`` ago, if no more than ``tolerance`` older."""
-    return F.last(value, ignorenulls=True).over(w.rangeBetween(-(horizon + tolerance), -horizon))
+def _running(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(x)))
+
+
+def realized_vol(us: np.ndarray, value: np.ndarray, window: int, least_n: int, least_span: int, gap: int, second: int) -> np.ndarray:
+    """Bps per square root of a minute over [t - window, t]; the first point's own return reaches out of it and is left out."""
+    step = np.concatenate(([0.0], np.diff(np.log(value)))) if len(value) else value
+    wide = _running(np.concatenate(([0], np.diff(us) > gap))) if len(us) else np.zeros(1)
+    sums = _running(step**2)
+    a, b = np.searchsorted(us, us - window, "left"), np.searchsorted(us, us, "right")
+    span = us - us[a] if len(us) else us
+    enough = (b - a >= least_n) & (span >= least_span) & (span > 0) & (wide[b] == wide[np.minimum(a + 1, len(us))])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(enough, np.sqrt(np.maximum(sums[b] - sums[np.minimum(a + 1, len(us))], 0) * 60 * second / span) * 10000, np.nan)
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, time: str, width: int) -> DataFrame:
@@ -52,16 +98,3 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, width: int) ->
     w = Window.partitionBy(key, "bucket").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
     return found.join(carried, [key, "bucket"], "left").select("__l.*", F.coalesce("__m", "__carried").alias("match"))
-
-
-def realized_vol(w: WindowSpec, window: int, least_n: int, least_span: int, second: int) -> Column:
-    """Bps per square root of a minute over [t - window, t].
-
-    Needs us and the running columns i (row number), sum_r2 (squared log returns so far) and gaps (steps so far that were
-    too long).  Differences to the frame's first row leave out its own return, which reaches out of the frame, and one
-    look at that row stands for six sums over the frame.
-    """
-    begin = F.first(F.struct("us", "i", "sum_r2", "gaps")).over(w.rangeBetween(-window, 0))
-    n, span = F.col("i") - begin["i"] + 1, F.col("us") - begin["us"]
-    enough = (n >= least_n) & (span >= least_span) & (span > 0) & (F.col("gaps") == begin["gaps"])
-    return F.when(enough, F.sqrt(F.greatest(F.col("sum_r2") - begin["sum_r2"], F.lit(0.0)) * 60.0 * second / span) * 10000)

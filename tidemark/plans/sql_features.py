@@ -1,8 +1,9 @@
-"""DuckDB text of the causal features, at the time scale of ten thousand events."""
+"""DuckDB text of the causal features."""
 
+from tidemark.config import TIME_SCALE
 from tidemark.sources.views import SQL
 
-S = 1000 * 1_000_000
+S = TIME_SCALE * 1_000_000
 
 
 def _before(value: str, h: int) -> str:

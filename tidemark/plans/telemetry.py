@@ -12,9 +12,8 @@ from tidemark.sources import views as V
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    scale = V.time_scale(spark, sf_dir)
     ticks = V.ticks(spark, sf_dir)
-    return V.spots(ticks), V.snapshots(ticks, scale), scale
+    return V.spots(ticks), V.snapshots(ticks, C.TIME_SCALE), C.TIME_SCALE
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

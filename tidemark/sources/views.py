@@ -32,12 +32,6 @@ def coin_of(key: Column) -> Column:
     return out
 
 
-def time_scale(spark: SparkSession, sf_dir: str) -> int:
-    """How far market seconds are stretched over the events table, which is sparser than a live feed."""
-    n = table(spark, sf_dir, "events").count()
-    return max(1, round(C.TICKS_FOR_UNIT_SCALE / max(n, 1)))
-
-
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("value > 0")
     us = micros(F.col("ts"))
@@ -129,7 +123,7 @@ def candles(spots: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-#: The same views for DuckDB, at the time scale of ten thousand events.
+#: The same views for DuckDB.
 SQL = {
     "ticks": """ticks AS (
         SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'SOL' ELSE 'XRP' END AS coin, epoch_us(ts) AS us, value AS px,
