@@ -21,7 +21,8 @@ from tidemark.operators import metrics as X
 from tidemark.shipping import ship
 from tidemark.storage import written
 
-REPS = 200
+#: Replicates of a bootstrap.
+REPS = 1000
 
 
 class Singular(ValueError):
@@ -59,17 +60,15 @@ def _sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
-def logistic_fits(rows: DataFrame, by: list[str], models: dict[str, list[str]], y: str = "y", ridge: float = C.RIDGE, steps: int = 30, tolerance: float = C.STEP_TOLERANCE) -> dict[tuple, dict[str, np.ndarray]]:
+def logistic_fits(rows: DataFrame, by: list[str], models: dict[str, list[str]], y: str = "y", ridge: float = C.RIDGE, steps: int = C.MAX_STEPS, tolerance: float = C.STEP_TOLERANCE) -> dict[tuple, dict[str, np.ndarray]]:
     """Newton fits of several models (name: columns besides the intercept) over the rows of each group.
 
-    Slopes carry a ridge.  A step that does not lower the loss is halved.  Groups with a singular fit are left out.
+    Slopes carry a ridge.  A step that does not lower the loss is halved, which counts as no step of its own.  Groups with
+    a fit that is singular or has not converged after ``steps`` steps are left out.
     """
     keys = [tuple(r) for r in rows.select(*by).distinct().collect()]
-    state = {(k, m): {"beta": np.zeros(len(x) + 1), "loss": np.inf, "step": None, "done": False, "failed": False} for k in keys for m, x in models.items()}
-    for _ in range(steps):
-        live = {k for (k, _), s in state.items() if not s["done"]}
-        if not live:
-            break
+    state = {(k, m): {"beta": np.zeros(len(x) + 1), "loss": np.inf, "step": None, "done": False, "failed": False, "taken": 0} for k in keys for m, x in models.items()}
+    while live := {k for (k, _), s in state.items() if not s["done"]}:
         betas = coefficients(rows, {k: {m: state[k, m]["beta"] for m in models} for k in live}, by, list(models))
         joined = rows.join(F.broadcast(betas), by)  # one row for each group
         joined = joined.withColumns({f"z_{m}": linear_of(f"beta_{m}", x) for m, x in models.items()})
@@ -97,6 +96,9 @@ def logistic_fits(rows: DataFrame, by: list[str], models: dict[str, list[str]],
                 g = np.array([r[f"g_{m}_{i}"] for i in range(n)]) - penalty * s["beta"]
                 try:
                     s["step"] = solve(h + np.diag(penalty), g)
+                    s["taken"] += 1
+                    if s["taken"] > steps:
+                        raise Singular("no convergence")
                 except Singular:
                     s["done"] = s["failed"] = True
                     continue
@@ -201,14 +203,8 @@ def _poisson_weights(seed: int, cluster: np.ndarray, rep: np.ndarray) -> np.ndar
     return np.searchsorted(below, u, side="right")
 
 
-def replicated(sums: DataFrame, cluster: str, reps: int) -> DataFrame:
-    """Cluster sums once for each replicate, spread over all partitions first: they are small before, not after."""
-    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sums.repartition(parts, cluster).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-
-
-def _resampled(sums: DataFrame, by: list[str], cluster: str, seed: int, reps: int) -> DataFrame:
-    """(by, rep, s, n): the cluster sums weighted by each replicate's draws.
+def resampled(sums: DataFrame, by: list[str], cluster: str, values: list[str], seed: int, reps: int) -> DataFrame:
+    """(by, rep, values): the cluster sums weighted by each replicate's draws.
 
     Each task adds up all replicates of its clusters, so that one row per group and task moves, however many draws.
     """
@@ -223,18 +219,18 @@ def _resampled(sums: DataFrame, by: list[str], cluster: str, seed: int, reps: in
                 ids, place = np.unique(part[cluster].to_numpy(np.int64), return_inverse=True)
                 w = _poisson_weights(seed, ids[:, None], rep)
                 for key, at in part.groupby(by, dropna=False).indices.items():
-                    x = part[["s", "n"]].to_numpy(float)[at].T @ w[place[at]]
+                    x = part[values].to_numpy(float)[at].T @ w[place[at]]
                     key = key if isinstance(key, tuple) else (key,)
                     total[key] = total[key] + x if key in total else x
         if total:
             out = pd.DataFrame(list(total), columns=by)
-            yield out.assign(s=[x[0].tolist() for x in total.values()], n=[x[1].tolist() for x in total.values()])
+            yield out.assign(**{c: [x[i].tolist() for x in total.values()] for i, c in enumerate(values)})
 
     kinds = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by)
     parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = sums.repartition(parts, cluster).mapInPandas(work, f"{kinds}, s array<double>, n array<double>")
-    each = drawn.select(*by, F.posexplode(F.arrays_zip("s", "n")).alias("rep", "v")).groupBy(*by, "rep")
-    return each.agg(F.sum("v.s").alias("s"), F.sum("v.n").alias("n"))
+    drawn = sums.repartition(parts, cluster).mapInPandas(work, kinds + "".join(f", `{c}` array<double>" for c in values))
+    each = drawn.select(*by, F.posexplode(F.arrays_zip(*values)).alias("rep", "v")).groupBy(*by, "rep")
+    return each.agg(*(F.sum(f"v.{c}").alias(c) for c in values))
 
 
 def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, seed: int, reps: int = REPS) -> DataFrame:
@@ -243,7 +239,7 @@ def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str,
     Replicates that draw no cluster of a group are left out.
     """
     sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    stats = _resampled(sums, by, cluster, seed, reps).where("n > 0").withColumn("v", F.col("s") / F.col("n"))
+    stats = resampled(sums, by, cluster, ["s", "n"], seed, reps).where("n > 0").withColumn("v", F.col("s") / F.col("n"))
     ends = stats.groupBy(*by).agg(F.percentile("v", 0.025).alias("ci_low"), F.percentile("v", 0.975).alias("ci_high"), ((F.count_if(F.col("v") <= 0) + 1) / (F.count("*") + 1.0)).alias("p_value"))
     means = sums.groupBy(*by).agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean"))
     return means.join(ends, by)

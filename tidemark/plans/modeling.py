@@ -108,10 +108,10 @@ def leadlag_screen(anchors: DataFrame, scale: int, least: int = 300, least_folds
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gain of the forecast over always saying a half, resampled by market."""
-    rows = horizon_cohort(spark, sf_dir).withColumn("gain", F.round(0.25 - (F.col("p") - F.col("up")) ** 2, 9)).where("horizon = 4")
-    out = Z.cluster_bootstrap(rows, ["grp"], "ticker", "gain", C.SEED)
-    return out.select("grp", "clusters", F.round("mean", 6).alias("mean"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), F.round("p_value", 6).alias("p_value"))
+    """Gain of the forecast over always saying a half at each horizon, resampled by market."""
+    rows = horizon_cohort(spark, sf_dir).withColumn("gain", F.round(0.25 - (F.col("p") - F.col("up")) ** 2, 9))
+    out = Z.cluster_bootstrap(rows, BY, "ticker", "gain", C.SEED)
+    return out.select(*BY, "clusters", F.round("mean", 6).alias("mean"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), F.round("p_value", 6).alias("p_value"))
 
 
 def threshold_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +119,7 @@ def threshold_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).where("conflict IS NOT NULL").withColumn("grp", F.explode(F.array(F.lit("ALL"), "coin")))
     blocked, lost = F.col("decision") == "WOULD_BLOCK", F.col("win") == 0
     per = rows.groupBy("grp", "ticker").agg(F.count_if(blocked).alias("nb"), F.count_if(blocked & lost).alias("lb"), F.count_if(~blocked).alias("nk"), F.count_if(~blocked & lost).alias("lk"))
-    drawn = Z.replicated(per, "ticker", Z.REPS).withColumn("w", Z.poisson_weight(C.SEED + 1, F.col("ticker"), F.col("rep")))
-    sums = drawn.groupBy("grp", "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("nb", "lb", "nk", "lk")])
+    sums = Z.resampled(per, ["grp"], "ticker", ["nb", "lb", "nk", "lk"], C.SEED + 1, Z.REPS)
     e = F.when((F.col("nb") > 0) & (F.col("nk") > 0), 100 * (F.col("lb") / F.col("nb") - F.col("lk") / F.col("nk"))).otherwise(0.0)
     stats = sums.withColumn("e", e)
     return stats.groupBy("grp").agg(F.round(F.percentile("e", 0.025), 5).alias("ci_low"), F.round(F.percentile("e", 0.975), 5).alias("ci_high"), F.round((F.count_if(F.col("e") <= 0) + 1) / (F.count("*") + 1.0), 6).alias("p_value"))
@@ -144,12 +143,12 @@ def _poisson(seed: int, cluster: str, rep: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "cluster_bootstrap": with_market(HORIZON_SQL, GROUPED_SQL, body=f""", sums AS (SELECT grp, ticker, sum(round(0.25 - (p - up) ** 2, 9)) AS s, count(*) AS n FROM grouped WHERE horizon = 4 GROUP BY ALL),
+        "cluster_bootstrap": with_market(HORIZON_SQL, GROUPED_SQL, body=f""", sums AS (SELECT grp, horizon, ticker, sum(round(0.25 - (p - up) ** 2, 9)) AS s, count(*) AS n FROM grouped GROUP BY ALL),
             drawn AS (SELECT *, {_poisson(C.SEED, 'ticker', 'rep')} AS w FROM sums, range(1, {Z.REPS + 1}) r(rep)),
-            stats AS (SELECT grp, rep, sum(w * s) / sum(w * n) AS v FROM drawn WHERE w > 0 GROUP BY ALL)
-            SELECT grp, clusters, round(mean, 6) AS mean, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(pv, 6) AS p_value
-            FROM (SELECT grp, count(*) AS clusters, sum(s) / sum(n) AS mean FROM sums GROUP BY grp)
-            JOIN (SELECT grp, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, (count(*) FILTER (v <= 0) + 1) / (count(*) + 1.0::DOUBLE) AS pv FROM stats GROUP BY grp) USING (grp)""").replace(") , sums", "), sums"),
+            stats AS (SELECT grp, horizon, rep, sum(w * s) / sum(w * n) AS v FROM drawn WHERE w > 0 GROUP BY ALL)
+            SELECT grp, horizon, clusters, round(mean, 6) AS mean, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(pv, 6) AS p_value
+            FROM (SELECT grp, horizon, count(*) AS clusters, sum(s) / sum(n) AS mean FROM sums GROUP BY ALL)
+            JOIN (SELECT grp, horizon, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, (count(*) FILTER (v <= 0) + 1) / (count(*) + 1.0::DOUBLE) AS pv FROM stats GROUP BY ALL) USING (grp, horizon)""").replace(") , sums", "), sums"),
         "threshold_bootstrap": "WITH " + ", ".join([V.SQL["markets"], V.SQL["observations"], SIGNAL_SQL, SCORED_SQL]) + f""", grouped AS (SELECT 'ALL' AS grp, * FROM scored WHERE conflict IS NOT NULL UNION ALL SELECT coin, * FROM scored WHERE conflict IS NOT NULL),
             per AS (SELECT grp, ticker, count(*) FILTER (decision = 'WOULD_BLOCK') AS nb, count(*) FILTER (decision = 'WOULD_BLOCK' AND win = 0) AS lb, count(*) FILTER (decision <> 'WOULD_BLOCK') AS nk, count(*) FILTER (decision <> 'WOULD_BLOCK' AND win = 0) AS lk FROM grouped GROUP BY ALL),
             drawn AS (SELECT *, {_poisson(C.SEED + 1, 'ticker', 'rep')} AS w FROM per, range(1, {Z.REPS + 1}) r(rep)),
