@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
+from tidemark.storage import discard, mark
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -27,11 +28,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for every node named by ``links`` (a, b): label is the smallest node of its component."""
+    """(node, label) for every node named by ``links`` (a, b): label is the smallest node of its component.
+
+    Tables of earlier steps are deleted as soon as the next one is written.
+    """
+    since, spark = mark(links.sparkSession), links.sparkSession
     links, before = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     while True:
         links = written(_star(written(_star(links, large=True)), large=False))
         state = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first()
+        discard(spark, since, keep=1)
         if state == before:
             break
         before = state
