@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
+from tidemark.operators.ordered import with_before
 from tidemark.functions.market import clamp_p
 
 
@@ -39,8 +40,7 @@ def value_counts(df: DataFrame, by: list[str], value: str, *sums: Column) -> Dat
 
 def average_ranks(counted: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``rank``, the mean rank of each value's ties, to counted values."""
-    w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    return with_before(counted, by, ["v"], "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).drop("before")
 
 
 def auc(df: DataFrame, by: list[str], p: str = "p", y: str = "up") -> DataFrame:
@@ -78,17 +78,18 @@ def walk_forward(df: DataFrame, key: str, by: list[str], bounds: tuple[float, ..
     A key lies beyond a bound if the rows before it already reach that share of all rows.
     """
     counts = df.groupBy(*by, key).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(w), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy(*by))
-    beyond = sum((F.when(before >= F.bround(total * b), 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
-    return counts.withColumn("block", beyond.cast("int"))
+    counts = _placed(counts, key, by)
+    beyond = sum((F.when(F.col("before") >= F.bround(F.col("total") * b), 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
+    return counts.withColumn("block", beyond.cast("int")).drop("before", "total")
+
+
+def _placed(counts: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Adds the rows before each key of a group and the group's total; groups are few."""
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    return with_before(counts, by, [key], "n").join(totals, by)
 
 
 def halves(df: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Per (group, time key): tuning for keys before which less than half of the rows lie, holdout for the rest."""
     counts = df.groupBy(*by, key).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(w), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy(*by))
-    return counts.withColumn("half", F.when(2 * before < total, "tuning").otherwise("holdout"))
+    return _placed(counts, key, by).withColumn("half", F.when(2 * F.col("before") < F.col("total"), "tuning").otherwise("holdout")).drop("before", "total")

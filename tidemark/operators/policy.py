@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import market as M
+from tidemark.operators.ordered import row_buckets
+from tidemark.storage import written
 
 
 @dataclass(frozen=True)
@@ -119,13 +121,18 @@ def gate_replay(rows: DataFrame, key: str, order: list[str], window: int = C.GAT
     The breaker looks at the last ``window`` decisions: too many blocks, or too many that could not be scored, trip it
     once there are enough of them; from then on it stays latched and everything passes.
     """
-    w = Window.partitionBy(key).orderBy(*order)
+    w = Window.partitionBy(key, "bucket").orderBy("i")
     recent = w.rowsBetween(-(window - 1), 0)
     n = F.count("*").over(recent)
     blocks = F.count_if(F.col("decision") == "WOULD_BLOCK").over(recent)
     opened = F.count_if(F.col("decision") == "UNAVAILABLE").over(recent)
     trips = (n >= C.GATE_MIN) & ((blocks > C.GATE_MAX_BLOCK * n) | (opened > C.GATE_MAX_OPEN * n))
-    staged = rows.withColumn("block_share", blocks / n).withColumn("open_share", opened / n).withColumn("trips", trips)
-    latched = F.coalesce(F.max(F.col("trips")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    staged = row_buckets(rows, [key], order, window - 1)
+    staged = staged.withColumn("block_share", blocks / n).withColumn("open_share", opened / n).withColumn("trips", trips)
+    staged = written(staged.where(~F.col("in_halo")).drop("bucket", "in_halo"))
+    # one row for each key
+    first = staged.where("trips").groupBy(key).agg(F.min("i").alias("tripped"))
+    staged = staged.join(first, key, "left")
+    latched = F.coalesce(F.col("i") > F.col("tripped"), F.lit(False))
     action = F.when(latched, "PASS_LATCHED").when(F.col("decision") == "WOULD_BLOCK", "SUPPRESS").when(F.col("decision") == "UNAVAILABLE", "PASS_OPEN").otherwise("PASS")
-    return staged.withColumn("latched", latched).withColumn("action", action)
+    return staged.withColumn("latched", latched).withColumn("action", action).drop("i", "tripped")

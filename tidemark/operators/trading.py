@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import market as M
+from tidemark.operators.ordered import row_buckets
 
 
 def indicators(candles: DataFrame, n: int = 14, bands: int = 20) -> DataFrame:
     """Average true range, Bollinger position and moving average of each candle; null before enough candles."""
-    w = Window.partitionBy("coin").orderBy("t")
+    candles = row_buckets(candles, ["coin"], ["t"], max(n, bands))
+    w = Window.partitionBy("coin", "bucket").orderBy("t")
     before = F.lag("close").over(w)
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    rows = candles.withColumn("tr", F.when(before.isNotNull(), true_range)).withColumn("i", F.row_number().over(w))
+    rows = candles.withColumn("tr", F.when(before.isNotNull(), true_range))
     ranges, closes = w.rowsBetween(-(n - 1), 0), w.rowsBetween(-(bands - 1), 0)
     mean, sd = F.avg("close").over(closes), F.stddev_pop("close").over(closes)
     full = F.col("i") >= bands
     place = (
         F.when(full & (F.col("close") > mean + 2 * sd), "ABOVE").when(full & (F.col("close") < mean - 2 * sd), "BELOW").when(full, "INSIDE")
     )
-    return rows.select("coin", "t", "close", F.when(F.col("i") > n, F.avg("tr").over(ranges)).alias("atr"), F.when(full, mean).alias("mean"), F.when(full, sd).alias("sd"), place.alias("band"))
+    found = rows.select("coin", "t", "close", F.when(F.col("i") > n, F.avg("tr").over(ranges)).alias("atr"), F.when(full, mean).alias("mean"), F.when(full, sd).alias("sd"), place.alias("band"), "in_halo")
+    return found.where(~F.col("in_halo")).drop("in_halo")
 
 
 def wilder_rsi(candles: DataFrame, n: int = 14) -> DataFrame:
@@ -54,7 +57,11 @@ def wilder_rsi(candles: DataFrame, n: int = 14) -> DataFrame:
 
 def trailing_vol(candles: DataFrame, step: int, lookback: int = C.VOL_LOOKBACK, least: int = C.VOL_MIN) -> DataFrame:
     """Adds ``vol``: sample deviation of log returns between the candles there are in the last ``lookback`` steps."""
-    w = Window.partitionBy("coin").orderBy("t")
+    # buckets of time with the lookback before them; the first candle of a frame needs none before it
+    width = 64 * lookback * step
+    own, last = F.floor(F.col("t") / width), F.floor((F.col("t") + lookback * step) / width)
+    candles = candles.withColumn("__bucket", F.explode(F.sequence(own, last))).withColumn("__halo", F.col("__bucket") != own)
+    w = Window.partitionBy("coin", "__bucket").orderBy("t")
     frame = w.rangeBetween(-lookback * step, 0)
     ret = F.log(F.col("close") / F.lag("close").over(w))
     rows = candles.withColumn("__r", ret)
@@ -63,7 +70,7 @@ def trailing_vol(candles: DataFrame, step: int, lookback: int = C.VOL_LOOKBACK,
     total = F.coalesce(F.sum("__r").over(frame), F.lit(0.0)) - first
     square = F.coalesce(F.sum(F.col("__r") * F.col("__r")).over(frame), F.lit(0.0)) - first * first
     variance = (square - total * total / (n - 1)) / (n - 2)
-    return rows.withColumn("vol", F.when(n >= least, F.sqrt(F.greatest(variance, F.lit(0.0))) * C.VOL_MULT)).drop("__r")
+    return rows.withColumn("vol", F.when(n >= least, F.sqrt(F.greatest(variance, F.lit(0.0))) * C.VOL_MULT)).where(~F.col("__halo")).drop("__r", "__bucket", "__halo")
 
 
 def market_evaluation(candles: DataFrame, step: int) -> DataFrame:
