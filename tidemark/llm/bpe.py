@@ -136,7 +136,7 @@ class Codec:
         return out
 
     def pieces(self, part: str) -> list[str]:
-        """The pattern's matches in a part of a text."""
+        """The pattern's matches in a part of a text; an empty part has none."""
         if self.plain:
             # letters, with or without a space before them and one stop after them, need no search
             word = part[1:] if part[:1] == " " else part
@@ -180,10 +180,11 @@ class Codec:
         for t in texts:
             parts.update(cut(t))
         # a part that is a piece itself is looked up as such, others for this call only
-        split = {p: found for p in parts if len(found := self.pieces(p)) > 1} if self.plain else {}
+        parts.discard("")
+        split = {p: found for p in parts if (found := self.pieces(p)) != [p]} if self.plain else {}
         self.learn({p for found in split.values() for p in found} | (parts - split.keys()))
         compounds = {p: b"".join([self.known[x] for x in found]) for p, found in split.items()}
-        ids = {p: compounds[p] if p in split else self.known[p] for p in parts}
+        ids = {p: compounds[p] if p in split else self.known[p] for p in parts} | {"": b""}
         for t in texts:
             yield b"".join(map(ids.__getitem__, cut(t)))
 
