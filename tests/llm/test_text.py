@@ -157,6 +157,23 @@ def test_mixing_edges(make):
     assert [r.copies for r in mixing.mix(make([(1, "a b"), (1, "a b")]), mixing.MixPlan(budget_num=1, budget_den=1)).collect()] == [1, 1]
 
 
+def test_mixing_takes_no_pass_too_many(spark):
+    rows = [(i, "" if i % 5 == 0 else "a b c", "en", "src1") for i in range(60)] + [(7, "x y", "fr", "src9"), (99, None, "es", "odd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("__id", F.lit(1)).withColumn("copies", F.lit(2))
+    plan = mixing.MixPlan(budget_num=5, budget_den=1, max_epochs=2)
+    assert {r.copies for r in mixing.mix(df, plan).where("doc_id <> 99").collect()} == {2}
+    drawn = mixing.draw(df, plan)
+    assert drawn.columns == df.columns and drawn.count() == 2 * 61  # id 7 stands in two leaves
+
+
+def test_toxicity_scores_do_not_depend_on_partitions(spark, prose):
+    rows = [(i, t + " moron moron" * (i % 4 == 0)) for i, t in enumerate(prose(13, 300, 10, 40))]
+    docs = spark.createDataFrame([*rows, (5, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    scores = [{(r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, toxicity.train(docs.repartition(n), labels)).collect()} for n in (1, 5)]
+    assert scores[0] == scores[1]
+
+
 def test_toxicity_learns_words_and_stems(spark, prose):
     rng = np.random.default_rng(3)
     rows, labels = [], []
