@@ -10,7 +10,10 @@ Moving a hash for every word of the corpus would cost more than the corpus.  Thr
   window starts in it;
 * each window has an anchor, the least hash of its ``GRAM``-word pieces.  Equal windows have equal anchors, neighbours
   mostly share theirs, so anchors are about 5 % of the windows; those found in one document only cannot repeat;
-* only windows with a shared anchor are hashed again (96 bits), counted and joined.
+* only windows with a shared anchor are hashed again (64 + 31 bits), counted and joined.
+
+Equal hashes are taken for equal word sequences.  Both window hashes come from 64-bit hashes of words, so two different
+words are confused with probability 2**-64 a pair, and two windows of different word hashes with about 2**-95.
 
 Counts and minima combine on the map side and the joins are plain shuffles that Spark may split where a passage is hot.
 Nothing is collected, and a group never holds more than the positions of one document.
@@ -123,7 +126,7 @@ def _windows(candidates: DataFrame, size: int, gram: int) -> DataFrame:
                 # an anchor that is shared is shared wherever it occurs
                 at = t.whole()
                 at = at[np.isin(t.anchors(gram)[at], wanted)]
-                own = t.owner[at]
+                own, one, two = t.owner[at], windows(t.hashes, size), windows(t.hashes, size, SECOND_BASE)
                 for i in range(0, max(1, len(at)), 1 << 17):
                     a, o = at[i : i + (1 << 17)], own[i : i + (1 << 17)]
                     rows = pa.array(first + o)
@@ -132,8 +135,8 @@ def _windows(candidates: DataFrame, size: int, gram: int) -> DataFrame:
                             batch.column("doc_id").take(rows),
                             batch.column("text_key").take(rows),
                             pa.array((a - t.firsts[o]).astype(np.int32)),
-                            pa.array(windows(t.hashes, size)[a].view(np.int64)),
-                            pa.array((windows(t.hashes, size, SECOND_BASE)[a] >> np.uint64(33)).astype(np.int32)),
+                            pa.array(one[a].view(np.int64)),
+                            pa.array((two[a] >> np.uint64(33)).astype(np.int32)),
                         ],
                         ["doc_id", "text_key", "at", "h1", "h2"],
                     )
@@ -199,7 +202,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     shared = written(shared)
     flagged = anchored.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
     candidates = written(docs.join(flagged, ["doc_id", "text_key"]))
-    found = _windows(candidates, size, gram)
+    # written, as it is read twice
+    found = written(_windows(candidates, size, gram))
     owners = written(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").drop("top"))
     repeats = found.join(owners, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("at"))
     unique = candidates.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "text")
