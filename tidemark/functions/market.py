@@ -166,3 +166,25 @@ def overlay_decision(p_up: Column, side: Column, ask: Column, signal: Column) ->
         F.when(~signal, "NO_NEW_CALL")
         .when(conf < 50, "DIRECTION_FLIP").when(conf < C.CONF_MIN, "LOW_CONFIDENCE").when(conf - ask - C.ENTRY_COST <= 0, "NO_EDGE").otherwise("ALLOW")
     )
+
+
+def other_ask(ask: Column, other_bid: Column) -> Column:
+    """The ask of one side of a binary market in cents; where it is missing, what the other side's bid leaves of 100."""
+    return F.coalesce(ask, 100 - other_bid)
+
+
+def resting_price(bid: Column, ask: Column) -> Column:
+    """Price of a resting order: one above the bid if the gap is wider than one, else the bid; without a bid the ask."""
+    return F.when(bid.isNull(), ask).when(ask - bid > 1, bid + 1).when(ask.isNotNull(), bid)
+
+
+def expected_margin(conf: Column, entry: Column, stop: Column) -> Column:
+    """Expected profit in percent of the price; without a stop it lies at 0.7 of the price, without a price it is 0."""
+    q = conf / 100
+    value = q * (100 - entry) - (1 - q) * (entry - F.coalesce(stop, entry * 0.7))
+    return F.when(entry > 0, value / entry * 100).otherwise(0.0)
+
+
+def fresh_when_received(status: Column, received_us: Column, index_us: Column, stale_us: int) -> Column:
+    """Was a snapshot fresh when it came?  An index without a time counts as fresh."""
+    return (status == "fresh") & F.coalesce(received_us - index_us <= stale_us, F.lit(True))

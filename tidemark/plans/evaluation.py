@@ -194,7 +194,7 @@ def _ece(name: str, bins: int) -> str:
     return f"{name} AS (SELECT grp, horizon, round(sum(abs(a - b) * n) / sum(n), 6) AS {name} FROM (SELECT grp, horizon, {slot} AS bin, avg(p) AS a, avg(up) AS b, count(*) AS n FROM grouped GROUP BY ALL) GROUP BY grp, horizon)"
 
 
-_BLOCKS = """blocks AS (
+BLOCKS_SQL = """blocks AS (
         SELECT grp, horizon, close_us, n, (before >= round_even(total * 0.40::DOUBLE, 0))::INT + (before >= round_even(total * 0.55::DOUBLE, 0))::INT + (before >= round_even(total * 0.70::DOUBLE, 0))::INT + (before >= round_even(total * 0.85::DOUBLE, 0))::INT AS block
         FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp, horizon ORDER BY close_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY grp, horizon) AS total
               FROM (SELECT grp, horizon, close_us, count(*) AS n FROM grouped GROUP BY ALL)))"""
@@ -236,13 +236,13 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, row_number() OVER (PARTITION BY grp, horizon, p_value IS NULL ORDER BY p_value) AS rk, count(*) OVER (PARTITION BY grp, horizon, p_value IS NULL) AS m
                   FROM (SELECT grp, horizon, feature, CASE WHEN n > 3 AND feature <> 'f4' THEN round(exp(-0.717::DOUBLE * z - 0.416::DOUBLE * z * z), 8) END AS p_value
                         FROM (SELECT grp, horizon, feature, count(*) AS n, abs(corr(x, up)) * sqrt(count(*) - 3.0) AS z FROM flat GROUP BY ALL)))"""),
-        "walk_forward": with_market(*h, _BLOCKS, body="""SELECT t.grp, t.horizon, t.block AS fold, sum(r.n)::BIGINT AS n_train, any_value(t.n)::BIGINT AS n_test, max(r.to_us) AS train_to_us, any_value(t.from_us) AS test_from_us
+        "walk_forward": with_market(*h, BLOCKS_SQL, body="""SELECT t.grp, t.horizon, t.block AS fold, sum(r.n)::BIGINT AS n_train, any_value(t.n)::BIGINT AS n_test, max(r.to_us) AS train_to_us, any_value(t.from_us) AS test_from_us
             FROM (SELECT grp, horizon, block, sum(n) AS n, min(close_us) AS from_us FROM blocks WHERE block > 0 GROUP BY ALL) t
             JOIN (SELECT grp, horizon, block, sum(n) AS n, max(close_us) AS to_us FROM blocks GROUP BY ALL) r ON t.grp = r.grp AND t.horizon = r.horizon AND r.block < t.block GROUP BY ALL"""),
         "tuning_holdout": with_market(SIGNAL_SQL, body="""SELECT grp, CASE WHEN 2 * before < total THEN 'tuning' ELSE 'holdout' END AS half, sum(n)::BIGINT AS n, count(*) AS closes, min(close_us) AS from_us, max(close_us) AS to_us
             FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY close_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY grp) AS total
                   FROM (SELECT grp, close_us, count(*) AS n FROM (SELECT 'ALL' AS grp, close_us FROM signals UNION ALL SELECT coin, close_us FROM signals) GROUP BY ALL)) GROUP BY ALL"""),
-        "regime_terciles": with_market(*h, _BLOCKS, body=f"""SELECT grp, horizon, CASE WHEN f4 < c1 THEN 'low' WHEN f4 < c2 THEN 'medium' ELSE 'high' END AS tercile, count(*) AS n, {BRIER} AS brier, {LOGLOSS} AS logloss
+        "regime_terciles": with_market(*h, BLOCKS_SQL, body=f"""SELECT grp, horizon, CASE WHEN f4 < c1 THEN 'low' WHEN f4 < c2 THEN 'medium' ELSE 'high' END AS tercile, count(*) AS n, {BRIER} AS brier, {LOGLOSS} AS logloss
             FROM grouped JOIN blocks USING (grp, horizon, close_us) JOIN (SELECT grp, horizon, quantile_cont(f4, 1 / 3.0::DOUBLE) AS c1, quantile_cont(f4, 2 / 3.0::DOUBLE) AS c2 FROM grouped JOIN blocks USING (grp, horizon, close_us) WHERE block = 0 GROUP BY ALL) USING (grp, horizon)
             WHERE block > 0 GROUP BY ALL"""),
         "regime_categories": with_market(*h, body=f"""SELECT grp, category, count(p) AS n, round(avg(up), 6) AS yes_rate, {BRIER} AS brier, {LOGLOSS} AS logloss

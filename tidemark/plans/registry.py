@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evaluation, ingestion, modeling, policies, quality, telemetry, trading
+from tidemark.plans import evaluation, ingestion, modeling, policies, quality, records, telemetry, trading
 
-PARTS = (telemetry, quality, evaluation, trading, policies, modeling, ingestion)
+PARTS = (telemetry, quality, evaluation, trading, policies, modeling, ingestion, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

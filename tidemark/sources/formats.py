@@ -78,3 +78,29 @@ def append_new(rows: DataFrame, path: str, keys: list[str], order: str) -> int:
         fresh.write.mode("append").parquet(path)
     fresh.unpersist()
     return n
+
+
+def last_written(pages: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Of the rows of each key in overlapping pages the one written last (the largest ``seq``), and how many there were."""
+    values = [c for c in pages.columns if c not in keys]
+    return pages.groupBy(*keys).agg(F.max_by(F.struct(*values), seq).alias("r"), F.count("*").alias("versions")).select(*keys, "r.*", "versions")
+
+
+def resolve_symbols(listing: DataFrame, coins: list[str], overrides: dict[str, str], prefix: str = "") -> DataFrame:
+    """(coin, symbol, reason, candidates) for each coin from a listing (symbol, status).
+
+    An override wins.  Else the names that hold the coin are scored by whether they begin with it (after the listing's
+    ``prefix``), name a perpetual and are active, in this order; a best score that several names share is AMBIGUOUS,
+    a coin without names has NO_MARKET.
+    """
+    name = F.upper("symbol")
+    core = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 30)).otherwise(name)
+    named = listing.withColumn("coin", F.explode(F.filter(F.array(*map(F.lit, coins)), lambda c: F.contains(name, c))))
+    points = 4 * F.startswith(core, F.col("coin")).cast("int") + 2 * F.contains(name, F.lit("PERP")).cast("int") + F.coalesce(F.col("status") == "active", F.lit(False)).cast("int")
+    scored = named.groupBy("coin", points.alias("score")).agg(F.count("*").alias("candidates"), F.min("symbol").alias("first"))
+    best = scored.groupBy("coin").agg(F.max_by(F.struct("candidates", "first"), "score").alias("b")).select("coin", "b.*")
+    asked = listing.sparkSession.createDataFrame([(c, overrides.get(c)) for c in coins], "coin string, chosen string")
+    n = F.coalesce("candidates", F.lit(0))
+    symbol = F.coalesce("chosen", F.when(n == 1, F.col("first")))
+    reason = F.when(F.col("chosen").isNotNull(), None).when(n == 0, "NO_MARKET").when(n > 1, "AMBIGUOUS")
+    return asked.join(best, "coin", "left").select("coin", symbol.alias("symbol"), reason.alias("reason"), n.alias("candidates"))

@@ -26,6 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def reserved(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there lives as long as the tables of ``written``."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    if not made:
+        atexit.register(_clear, spark)
+    made.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder.
 
@@ -33,11 +43,7 @@ def written(df: DataFrame) -> DataFrame:
     table lives until ``discard`` names it or the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    made = _made.setdefault(spark.sparkContext.applicationId, [])
-    if not made:
-        atexit.register(_clear, spark)
-    made.append(path)
+    path = reserved(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
