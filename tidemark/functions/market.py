@@ -188,3 +188,21 @@ def expected_margin(conf: Column, entry: Column, stop: Column) -> Column:
 def fresh_when_received(status: Column, received_us: Column, index_us: Column, stale_us: int) -> Column:
     """Was a snapshot fresh when it came?  An index without a time counts as fresh."""
     return (status == "fresh") & F.coalesce(received_us - index_us <= stale_us, F.lit(True))
+
+
+#: Labels of the levels 0, 1 and 2 (fixed values).
+LABELS = {
+    "agreement": ("AGREE", "DIVERGING", "DISAGREE"),
+    "premium": ("NORMAL", "ELEVATED", "EXTREME"),
+    "spread": ("NORMAL", "WIDENING", "BLOWOUT"),
+}
+
+
+def direction(z: Column) -> Column:
+    """UP or DOWN from one standard deviation on; for display only."""
+    return F.when(z >= 1, "UP").when(z <= -1, "DOWN").when(z.isNotNull(), "FLAT")
+
+
+def level_labels(regime: Column, gap_z: Column, premium_stress: Column, spread: Column) -> dict[str, Column]:
+    levels = stability_levels(regime, gap_z, premium_stress, spread)
+    return {n: F.coalesce(*(F.when(levels[n] == i, text) for i, text in enumerate(texts)), F.lit("UNKNOWN")) for n, texts in LABELS.items()}

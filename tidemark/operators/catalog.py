@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The families of features, by name.
 _H = (30, 60, 180)
 BASIS = ("premium", "mark_premium", "last_premium", "mid_mark_basis", *(f"premium_change_{h}" for h in _H), "premium_z_5m", "premium_z_15m")
@@ -46,3 +49,25 @@ def spot_controls(name: str, second_coverage: float | None = None) -> list[str]:
         return ["spot_" + name.removeprefix("perp_")]
     scaled = "_z_" in name
     return [("spot_z_" if scaled else "spot_ret_") + name.rsplit("_", 1)[1]]
+
+
+def blank_reason(name: str) -> Column:
+    """Why a normalised feature is blank, told from the row's other columns; null where it is not blank."""
+    kind, last = name.split("_", 1)[0], name.rsplit("_", 1)[-1]
+    blank = lambda c: F.col(c).isNull()
+    steps: list[tuple[Column, str]] = [] if kind == "spot" else [(~F.col("perp_ok"), "PERP_SNAPSHOT_NOT_USABLE")]
+    if kind != "perp":
+        steps.append((blank("spot"), "SPOT_UNAVAILABLE"))
+    if "_z_" in name:
+        if kind == "gap":
+            steps.append((blank(f"gap_{last}"), f"GAP_{last}S_UNAVAILABLE"))
+        else:
+            steps.append((blank(f"{kind}_ret_{last}"), f"{kind.upper()}_{last}S_RETURN_WARMUP_OR_GAP"))
+        steps += [(blank(f"{s}_rv_300"), f"{s.upper()}_RV300_WARMUP_OR_GAP") for s in ("perp", "spot") if kind in ("gap", s)]
+        rest = "RV300_BELOW_NUMERICAL_FLOOR"
+    elif name == "premium_stress":
+        rest = "PREMIUM_Z_5M_WARMUP_OR_ZERO_VARIANCE"
+    else:
+        steps += [(blank("spread"), "NO_VALID_CURRENT_SPREAD"), (blank("spread_median"), "SPREAD_BASELINE_INSUFFICIENT")]
+        rest = "SPREAD_BASELINE_ZERO"
+    return F.when(blank(name), F.coalesce(*(F.when(test, why) for test, why in steps), F.lit(rest)))

@@ -132,6 +132,24 @@ def causal_features(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataF
     return rows.withColumns({"stability": state, "reasons": reasons}).withColumn("flags", flags())
 
 
+def latest_rows(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataFrame:
+    """The simpler row of each spot observation: returns of the newest snapshot, used only while it counts as current.
+
+    A snapshot is current if it came fresh and neither it nor its index is older than the stale limit by now; there is
+    no limit on the lag of the pair beyond that.
+    """
+    second = scale * SECOND
+    returns = [f"perp_ret_{h}" for h in C.HORIZONS]
+    known = snapshots.join(perp_features(snapshots, scale).select("event_id", *returns), "event_id", "left")
+    rows = paired(spot_features(spots, scale), known, scale)
+    source = F.col("match.source_status")
+    old = F.greatest(F.lit(0), F.col("match.index_age_s")) * second + F.col("lag_us") > C.STALE * second
+    rows = rows.withColumn("status", F.when(source.isNull(), "missing").when(source != "fresh", source).when(old, "stale").otherwise("fresh"))
+    current = lambda name: F.when(F.col("status") == "fresh", F.col(f"match.{name}"))
+    rows = rows.withColumns({"premium": r4(current("premium")), **{name: current(name) for name in returns}})
+    return rows.withColumns({f"lead_{h}": r4(F.col(f"perp_ret_{h}") - F.col(f"spot_ret_{h}")) for h in C.HORIZONS})
+
+
 def flags() -> F.Column:
     """Quality flags in a fixed order, joined by ;."""
     c = F.col

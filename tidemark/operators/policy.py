@@ -115,6 +115,51 @@ def most_conservative(evaluated: DataFrame, by: list[str]) -> DataFrame:
     return evaluated.where("eligible").groupBy(*by).agg(F.min_by(F.struct("quantile", "threshold", "block_fraction"), F.struct("block_fraction", "quantile")).alias("m")).select(*by, "m.*")
 
 
+def verify_first(scored: DataFrame, expected: DataFrame, tolerance_us: int = 1000) -> DataFrame:
+    """Compares scored first signals with when they were expected (ticker, expected_us), to a millisecond.
+
+    Adds ``verified``: null where no time is expected.  A row at another time is not the first signal; it becomes
+    UNAVAILABLE, without values, and is never replaced by a later one.
+    """
+    rows = scored.join(expected, "ticker", "left").withColumn("verified", F.abs(F.col("us") - F.col("expected_us")) <= tolerance_us)
+    missed = F.coalesce(~F.col("verified"), F.lit(False))
+    values = {c: F.when(~missed, F.col(c)) for c in ("p_b", "p_c", "conflict")}
+    return rows.withColumns({**values, "decision": F.when(missed, "UNAVAILABLE").otherwise(F.col("decision")), "reason": F.when(missed, "FIRST_SIGNAL_MISSED").otherwise(F.col("reason"))})
+
+
+def is_stale(created_us: Column, now_us: Column, max_age_days: int) -> Column:
+    return now_us - created_us > max_age_days * 86_400_000_000
+
+
+#: What may become of a journalled row, in the order of the tests.
+PREPARED = ("DUPLICATE", "BEFORE_CUTOFF", "UNAVAILABLE", "PROBABILITY_MISMATCH", "EDGE_MISMATCH", "WOULD_BLOCK", "UNSETTLED", "READY")
+
+
+def prepare_overlay(journal: DataFrame, labels: DataFrame, calls: DataFrame, cutoff_us: int, threshold: float, tolerance: float = 1e-6) -> DataFrame:
+    """Says of each journalled row whether an overlay may be judged on it (``reason`` READY), and how its call was filled.
+
+    Of the rows of a ticker the earliest counts.  Stored conflicts and edges must follow from the stored probabilities,
+    within ``tolerance`` and the rounding of the stored edges; rows whose numbers do not are left out.  ``fill`` is null for
+    rows left out before calls are looked at.
+    """
+    c = F.col
+    near = lambda a, b, by: F.coalesce(F.abs(a - b) <= by, F.lit(False))
+    again = F.row_number().over(Window.partitionBy("ticker").orderBy(F.coalesce("us", F.lit(0)), "row_id")) > 1
+    sided = F.coalesce(c("fav").isin("UP", "DOWN") & c("p_b").between(0, 1) & c("p_c").between(0, 1), F.lit(False))
+    b, k = M.favored(c("p_b"), c("fav")), M.favored(c("p_c"), c("fav"))
+    # the decision was taken before the values were rounded
+    decided = F.coalesce(((c("conflict") <= threshold) == (c("decision") == "WOULD_BLOCK")) | (F.abs(c("conflict") - threshold) <= tolerance), F.lit(False))
+    fits = sided & near(c("p_b_fav"), b, tolerance) & near(c("p_c_fav"), k, tolerance) & near(c("conflict"), k - b, tolerance) & decided
+    conf = F.greatest(c("p"), 1 - c("p")) * 100
+    edges = F.coalesce((c("p") >= 0.5) == (c("fav") == "UP"), F.lit(False)) & near(conf, c("base_conf"), 0.06) & near(conf - c("ask"), c("raw_edge"), 0.06) & near(c("raw_edge") - C.ENTRY_COST, c("net_edge"), 0.11)
+    reason = (
+        F.when(c("again"), "DUPLICATE").when(c("us").isNull() | (c("us") <= cutoff_us), "BEFORE_CUTOFF").when(c("decision") == "UNAVAILABLE", "UNAVAILABLE").when(~fits, "PROBABILITY_MISMATCH")
+        .when(~edges, "EDGE_MISMATCH").when(c("decision") == "WOULD_BLOCK", "WOULD_BLOCK").when(c("label").isNull(), "UNSETTLED").otherwise("READY")
+    )
+    rows = journal.withColumn("again", again).join(labels, "ticker", "left").join(calls, "ticker", "left").withColumn("reason", reason)
+    return rows.drop("again").withColumn("fill", F.when(c("reason").isin(*PREPARED[5:]), F.coalesce("fill", F.lit("unmatched"))))
+
+
 def gate_replay(rows: DataFrame, key: str, order: list[str], window: int = C.GATE_WINDOW) -> DataFrame:
     """Replays the suppress-only gate over the decisions of each key in order.
 

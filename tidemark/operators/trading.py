@@ -129,6 +129,15 @@ def backtest(candles: DataFrame, step: int) -> DataFrame:
     return trades.where(stopped | F.col("win").isNotNull()).select(*key, "elapsed", F.round("conf", 3).alias("conf"), "side", "stopped_at", "win", F.round(pnl, 3).alias("pnl"))
 
 
+def recent_crossings(rows: DataFrame, key: str, order: str, closes: int = 16) -> DataFrame:
+    """Adds how often the last closes, this one with them, went over or under the row's strike; touching it is no crossing yet."""
+    w = Window.partitionBy(key, "bucket").orderBy("i").rowsBetween(-(closes - 1), 0)
+    staged = row_buckets(rows, [key], [order], closes - 1).withColumn("recent", F.collect_list("close").over(w))
+    n, k = F.size("recent"), F.col("strike")
+    steps = F.zip_with(F.slice("recent", 1, n - 1), F.slice("recent", 2, n), lambda a, b: ((b > k) & (a <= k)) | ((b < k) & (a >= k)))
+    return staged.where(~F.col("in_halo")).withColumn("crossings", F.size(F.filter(steps, lambda x: x))).drop("bucket", "in_halo", "i", "recent")
+
+
 def quote_ranges(calls: DataFrame, quotes: DataFrame, bucket: int) -> DataFrame:
     """Lowest bid and ask and highest ask of a call's market between the call and its close.
 
