@@ -9,7 +9,7 @@ from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.01"
 QUICK = ["asof_pair", "cadence", "horizon_observations", "bh_qvalues", "settle_calls", "frozen_score", "gate_replay", "call_dedup", "indicators", "snapshot_records",
-         "text_scalars", "market_books", "history_minutes", "symbol_listing", "label_cache", "promotion_journal", "rotated_trades", "retained_rows", "feature_catalog", "missing_reasons", "residual_quintiles", "group_diagnostics", "overlay_preparation", "recent_report", "backtest_report", "strike_crossings"]
+         "text_scalars", "market_books", "history_minutes", "symbol_listing", "label_cache", "promotion_journal", "rotated_trades", "retained_rows", "feature_catalog", "missing_reasons", "residual_quintiles", "group_diagnostics", "overlay_preparation", "threshold_evaluation", "recent_report", "backtest_report", "strike_crossings"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")

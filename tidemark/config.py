@@ -32,7 +32,7 @@ RIDGE, MAX_STEPS, STEP_TOLERANCE = 1e-4, 100, 1e-9
 #: Control of each lead/lag horizon, and the features screened at all of them.
 LEADLAG_CONTROL = {10: "spot_ret_30", 30: "spot_ret_30", 60: "spot_ret_60", 120: "spot_ret_180"}
 LEADLAG_FEATURES = ("perp_ret_30", "perp_ret_60", "perp_ret_180", "gap_30", "gap_60", "gap_180", "premium", "premium_change_30", "premium_change_60", "premium_change_180", "perp_z_60", "gap_z_60")
-LEADLAG_REPS = 1000
+LEADLAG_REPS, THRESHOLD_REPS = 1000, 2000
 LEADLAG_HORIZONS, LEADLAG_TOLERANCE, LEADLAG_GAP = (10, 30, 60, 120), 8, 30
 
 QUANTILES = (5, 10, 15, 20, 25)

@@ -138,7 +138,7 @@ def fold_rows(rows: DataFrame, by: list[str], key: str = "close_us") -> DataFram
     as_test = F.when(F.col("block") > 0, F.array(F.struct(F.col("block").alias("fold"), F.lit(True).alias("is_test"))))
     as_train = F.when(F.col("block") < last, F.transform(F.sequence(F.col("block") + 1, F.lit(last)), lambda f: F.struct(f.alias("fold"), F.lit(False).alias("is_test"))))
     both = F.concat(F.coalesce(as_test, F.array().cast("array<struct<fold: int, is_test: boolean>>")), F.coalesce(as_train, F.array().cast("array<struct<fold: int, is_test: boolean>>")))
-    return placed.withColumn("f", F.explode(both)).select("*", "f.*").drop("f", "block")
+    return placed.withColumn("__fold", F.explode(both)).select("*", "__fold.*").drop("__fold", "block")
 
 
 #: Model A holds the base forecast, B adds the control, C the feature and, for reliability features, its product with the base.

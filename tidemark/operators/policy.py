@@ -29,14 +29,23 @@ class Policy:
     group: str = "ALL"
     reliability: bool = False
     extra: Mapping[str, str] = field(default_factory=dict)
+    #: coin: scalers as above, used in place of ``scalers`` where given; other coins cannot be scored.
+    coin_scalers: Mapping[str, Mapping[str, tuple[float, float, float, float]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.threshold >= 0:
             raise ValueError("a threshold must be negative: others would block calls that the feature confirms")
         if len(self.beta_b) != 2 + len(self.controls) or len(self.beta_c) != 3 + len(self.controls) + self.reliability:
             raise ValueError("coefficients do not match the design")
-        if missing := [c for c in [*self.controls, self.feature] if c not in self.scalers]:
-            raise ValueError(f"no scaler for {missing}")
+        for scalers in self.coin_scalers.values() or [self.scalers]:
+            if missing := [c for c in [*self.controls, self.feature] if c not in scalers]:
+                raise ValueError(f"no scaler for {missing}")
+
+    def standardized(self, column: str) -> Column:
+        """The column by the scaler of the policy or of the row's coin; null for coins without one."""
+        if not self.coin_scalers:
+            return scaled(column, self.scalers[column])
+        return F.coalesce(*(F.when(F.col("coin") == k, scaled(column, s[column])) for k, s in self.coin_scalers.items()))
 
 
 def scaled(column: str, scaler: tuple[float, float, float, float]) -> Column:
@@ -47,11 +56,11 @@ def scaled(column: str, scaler: tuple[float, float, float, float]) -> Column:
 def score(rows: DataFrame, policy: Policy, ready: str = "ready", fav: str = "fav") -> DataFrame:
     """Adds decision, reason, p_b, p_c and conflict (favoured side's change of probability) to rows.
 
-    Reasons are tried in order: other coin, not ready, feature, control or base missing, no side.  All in columns, so
-    that scoring stays within one stage.
+    Reasons are tried in order: other coin, not ready, feature, control or base missing, no side, no scaler for the coin.
+    All in columns, so that scoring stays within one stage.
     """
-    controls = [scaled(c, policy.scalers[c]) for c in policy.controls]
-    feature = scaled(policy.feature, policy.scalers[policy.feature])
+    controls = [policy.standardized(c) for c in policy.controls]
+    feature = policy.standardized(policy.feature)
     base = F.col("base_logit")
     parts_b = [base, *controls]
     parts_c = [*parts_b, feature, *([feature * base] if policy.reliability else [])]
@@ -62,6 +71,8 @@ def score(rows: DataFrame, policy: Policy, ready: str = "ready", fav: str = "fav
         .when(F.greatest(F.lit(0), *[F.col(c).isNull().cast("int") for c in policy.controls]) > 0, "CONTROL_MISSING")
         .when(base.isNull(), "BASE_MISSING").when(~F.col(fav).isin("UP", "DOWN") | F.col(fav).isNull(), "SIDE_MISSING")
     )
+    if policy.coin_scalers:
+        missing = F.coalesce(missing, F.when(~F.col("coin").isin(*policy.coin_scalers) | F.col("coin").isNull(), "SCALER_MISSING"))
     other = F.lit(False) if policy.group == "ALL" else F.col("coin") != policy.group
     rows = rows.withColumn("missing", F.when(other, "OTHER_COIN").otherwise(missing))
     usable = F.col("missing").isNull()
@@ -98,13 +109,17 @@ def threshold_metrics(rows: DataFrame, grid: DataFrame, by: list[str]) -> DataFr
 GATES = (500, 50, 300, 0.05, 0.25, 5.0)
 
 
-def eligibility(m: DataFrame, gates: tuple = GATES) -> DataFrame:
-    """Adds the reasons against a threshold; none means eligible."""
+def eligibility(m: DataFrame, gates: tuple = GATES, resampled: bool = False, q_max: float = 0.05) -> DataFrame:
+    """Adds the reasons against a threshold; none means eligible.
+
+    If ``resampled``, the interval of the enrichment (``ci_low``) and the q-value count as well.
+    """
     total, blocked, kept, low, high, pp = gates
     c = F.col
     why = [
         F.when(~(c("threshold") < 0), "THRESHOLD_NOT_NEGATIVE"), F.when(c("n") < total, "FEW_ROWS"), F.when(c("n_blocked") < blocked, "FEW_BLOCKED"), F.when(c("n_kept") < kept, "FEW_KEPT"),
         F.when(~c("block_fraction").between(low, high), "BLOCK_FRACTION"), F.when(c("enrichment_pp").isNull() | (c("enrichment_pp") < pp), "LOW_ENRICHMENT"),
+        *([F.when(c("ci_low").isNull() | (c("ci_low") <= 0), "INTERVAL_INCLUDES_0"), F.when(c("q_value").isNull() | (c("q_value") > q_max), "Q_VALUE")] if resampled else []),
         F.when(c("kept_win_rate").isNull() | (c("kept_win_rate") < c("baseline_win_rate")), "KEPT_WORSE"),
     ]
     return m.withColumn("ineligible", F.concat_ws(";", *why)).withColumn("eligible", F.col("ineligible") == "")

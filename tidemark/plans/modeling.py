@@ -129,7 +129,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (feature_screen, interaction_screen, leadlag_anchors, leadlag_ols, cluster_bootstrap, threshold_bootstrap)}
 
 
-def _poisson(seed: int, cluster: str, rep: str) -> str:
+def poisson_sql(seed: int, cluster: str, rep: str) -> str:
     p, f = Z.PRIME, Z.FACTOR
     h = f"((((({cluster} % 1000003) * 7919 + {rep} * 104729 + {seed}) % {p}) * {f} + {rep} * 16807) % {p})"
     u = f"((({h} * {h} + {cluster} % 65537) % {p}) * {f} % {p} / {p}.0::DOUBLE)"
@@ -144,14 +144,14 @@ def _poisson(seed: int, cluster: str, rep: str) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "cluster_bootstrap": with_market(HORIZON_SQL, GROUPED_SQL, body=f""", sums AS (SELECT grp, horizon, ticker, sum(round(0.25 - (p - up) ** 2, 9)) AS s, count(*) AS n FROM grouped GROUP BY ALL),
-            drawn AS (SELECT *, {_poisson(C.SEED, 'ticker', 'rep')} AS w FROM sums, range(1, {Z.REPS + 1}) r(rep)),
+            drawn AS (SELECT *, {poisson_sql(C.SEED, 'ticker', 'rep')} AS w FROM sums, range(1, {Z.REPS + 1}) r(rep)),
             stats AS (SELECT grp, horizon, rep, sum(w * s) / sum(w * n) AS v FROM drawn WHERE w > 0 GROUP BY ALL)
             SELECT grp, horizon, clusters, round(mean, 6) AS mean, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(pv, 6) AS p_value
             FROM (SELECT grp, horizon, count(*) AS clusters, sum(s) / sum(n) AS mean FROM sums GROUP BY ALL)
             JOIN (SELECT grp, horizon, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, (count(*) FILTER (v <= 0) + 1) / (count(*) + 1.0::DOUBLE) AS pv FROM stats GROUP BY ALL) USING (grp, horizon)""").replace(") , sums", "), sums"),
         "threshold_bootstrap": "WITH " + ", ".join([V.SQL["markets"], V.SQL["observations"], SIGNAL_SQL, SCORED_SQL]) + f""", grouped AS (SELECT 'ALL' AS grp, * FROM scored WHERE conflict IS NOT NULL UNION ALL SELECT coin, * FROM scored WHERE conflict IS NOT NULL),
             per AS (SELECT grp, ticker, count(*) FILTER (decision = 'WOULD_BLOCK') AS nb, count(*) FILTER (decision = 'WOULD_BLOCK' AND win = 0) AS lb, count(*) FILTER (decision <> 'WOULD_BLOCK') AS nk, count(*) FILTER (decision <> 'WOULD_BLOCK' AND win = 0) AS lk FROM grouped GROUP BY ALL),
-            drawn AS (SELECT *, {_poisson(C.SEED + 1, 'ticker', 'rep')} AS w FROM per, range(1, {Z.REPS + 1}) r(rep)),
+            drawn AS (SELECT *, {poisson_sql(C.SEED + 1, 'ticker', 'rep')} AS w FROM per, range(1, {Z.REPS + 1}) r(rep)),
             stats AS (SELECT grp, rep, CASE WHEN sum(w * nb) > 0 AND sum(w * nk) > 0 THEN 100 * (sum(w * lb) / sum(w * nb) - sum(w * lk) / sum(w * nk)) ELSE 0 END AS e FROM drawn WHERE w > 0 GROUP BY ALL)
             SELECT grp, round(quantile_cont(e, 0.025), 5) AS ci_low, round(quantile_cont(e, 0.975), 5) AS ci_high, round((count(*) FILTER (e <= 0) + 1) / (count(*) + 1.0::DOUBLE), 6) AS p_value FROM stats GROUP BY grp""",
     }

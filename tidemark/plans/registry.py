@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import checks, evaluation, ingestion, modeling, outcomes, policies, quality, records, telemetry, trading
+from tidemark.plans import checks, evaluation, freezing, ingestion, modeling, outcomes, policies, quality, records, telemetry, trading
 
-PARTS = (telemetry, quality, evaluation, trading, policies, modeling, ingestion, records, checks, outcomes)
+PARTS = (telemetry, quality, evaluation, trading, policies, modeling, ingestion, records, checks, outcomes, freezing)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
