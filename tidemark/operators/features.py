@@ -39,10 +39,12 @@ def perp_features(snapshots: DataFrame, scale: int) -> DataFrame:
         for name, (window, least, span) in C.Z_WINDOWS.items():
             n, mean, sd, begun = premiums.trailing(window * second)
             known = ~np.isnan(premium)
-            usable = known & (n >= least) & (us - begun >= span * second) & (sd > C.ZERO_VARIANCE)
+            enough = known & (n >= least) & (us - begun >= span * second)
+            usable = enough & (sd > C.ZERO_VARIANCE)
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[f"premium_z_{name}"] = np.where(usable, (premium - mean) / sd, np.nan)
             out[f"premium_z_{name}_n"] = np.where(known, n, 0)
+            out[f"premium_z_{name}_flat"] = (enough & ~usable).astype(np.int64)
         for window, (least, span) in C.RV_WINDOWS.items():
             out[f"perp_rv_{window}"] = realized_vol(us, mid, window * second, least, span * second, C.RV_GAP * second, second)
         # every fresh row with a mid has a spread; the frame ends before the row
@@ -54,7 +56,7 @@ def perp_features(snapshots: DataFrame, scale: int) -> DataFrame:
         return pd.DataFrame(out)
 
     values = [*(x for h in C.HORIZONS for x in (f"perp_ret_{h}", f"premium_change_{h}")), *(f"premium_z_{n}" for n in C.Z_WINDOWS), *(f"perp_rv_{w}" for w in C.RV_WINDOWS), "spread_median"]
-    counts = [*(f"premium_z_{n}_n" for n in C.Z_WINDOWS), "spread_n"]
+    counts = [*(f"premium_z_{n}_{c}" for n in C.Z_WINDOWS for c in ("n", "flat")), "spread_n"]
     out = with_halo(fresh, "us", LONGEST * second, windows, f"event_id long{_doubles('spread', *values)}{''.join(f', {n} long' for n in counts)}")
     out = out.select("event_id", "spread", *(r4(F.col(v)).alias(v) for v in values), *counts)
     return out.withColumn("spread_ratio", r4(M.spread_ratio(r4(F.col("spread")), F.col("spread_median")))).drop("spread")
@@ -79,7 +81,7 @@ def spot_features(spots: DataFrame, scale: int) -> DataFrame:
     return out.select(*columns, *(r4(F.col(v)).alias(v) for v in values))
 
 
-PERP_VALUES = [*(f"perp_ret_{h}" for h in C.HORIZONS), *(f"premium_change_{h}" for h in C.HORIZONS), "premium_z_5m", "premium_z_5m_n", "premium_z_15m", "premium_z_15m_n",
+PERP_VALUES = [*(f"perp_ret_{h}" for h in C.HORIZONS), *(f"premium_change_{h}" for h in C.HORIZONS), "premium_z_5m", "premium_z_5m_n", "premium_z_5m_flat", "premium_z_15m", "premium_z_15m_n", "premium_z_15m_flat",
                *(f"perp_rv_{w}" for w in C.RV_WINDOWS), "spread_median", "spread_n", "spread_ratio"]
 
 
@@ -129,7 +131,7 @@ def causal_features(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataF
     scaled["ready"] = F.col("binary_ok") & F.col("pair_ok") & F.col("perp_ok") & F.col("has_mid") & F.col("has_index")
     rows = rows.withColumns(scaled)
     state, reasons = M.stability(F.col("ready"), F.col("vol_regime"), F.col("gap_z_60"), F.col("premium_stress"), F.col("spread_ratio"))
-    return rows.withColumns({"stability": state, "reasons": reasons}).withColumn("flags", flags())
+    return rows.withColumns({"stability": state, "reasons": reasons}).withColumn("flags", flags(scale))
 
 
 def latest_rows(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataFrame:
@@ -150,24 +152,34 @@ def latest_rows(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataFrame
     return rows.withColumns({f"lead_{h}": r4(F.col(f"perp_ret_{h}") - F.col(f"spot_ret_{h}")) for h in C.HORIZONS})
 
 
-def flags() -> F.Column:
-    """Quality flags in a fixed order, joined by ;."""
+def flags(scale: int) -> F.Column:
+    """Quality flags in a fixed order, joined by ;.  Those of contract re-scales and dropped cycles need a live feed."""
     c = F.col
-    source_down = c("source_status") == "error"
+    source_down = c("source_status").isin("error", "unavailable", "disabled")
     stale = c("pair_ok") & ~source_down & ~c("perp_ok")
+    index_age = c("index_age_s") * scale * SECOND + c("lag_us")
+    flat = {n: c("perp_ok") & (c(f"premium_z_{n}_flat") == 1) for n in C.Z_WINDOWS}
+    short = {n: c("perp_ok") & c("premium").isNotNull() & c(f"premium_z_{n}").isNull() & ~flat[n] for n in C.Z_WINDOWS}
     found = [
         ("BINARY_NOT_OK", ~c("binary_ok")),
-        ("NO_PRIOR_PERP", c("snapshot_id").isNull()),
+        ("MISSING_SPOT", c("spot").isNull()),
+        ("SPOT_TIMESTAMP_MISSING", c("us").isNull()),
+        ("NO_PRIOR_PERP", c("us").isNotNull() & c("snapshot_id").isNull()),
         ("PERP_TOO_OLD", c("snapshot_id").isNotNull() & ~c("pair_ok")),
         ("PERP_SOURCE_ERROR", c("pair_ok") & source_down),
         ("PERP_STALE", stale),
-        ("NO_BOOK", c("pair_ok") & ~source_down & ~c("has_mid")),
+        ("INDEX_STALE", stale & (index_age > C.STALE * scale * SECOND)),
+        ("NO_TWO_SIDED_BOOK", c("pair_ok") & ~source_down & ~c("has_mid")),
         ("MISSING_INDEX", c("pair_ok") & ~source_down & ~c("has_index")),
-        ("SPREAD_BASELINE_INSUFFICIENT", c("perp_ok") & c("spread").isNotNull() & c("spread_median").isNull()),
+        ("INSUFFICIENT_SPREAD_BASELINE", c("perp_ok") & c("spread").isNotNull() & c("spread_median").isNull()),
+        ("INSUFFICIENT_5M_HISTORY", short["5m"]),
+        ("PREMIUM_ZERO_VARIANCE", flat["5m"]),
+        ("INSUFFICIENT_15M_HISTORY", short["15m"]),
+        ("PREMIUM_ZERO_VARIANCE", ~flat["5m"] & flat["15m"]),
         ("FUNDING_MISSING", c("perp_ok") & c("funding_rate").isNull()),
-        *((f"INSUFFICIENT_{h}S", (c("perp_ok") & c(f"perp_ret_{h}").isNull()) | c(f"spot_ret_{h}").isNull()) for h in C.HORIZONS),
+        *((f"INSUFFICIENT_{h}S_HISTORY", (c("perp_ok") & c(f"perp_ret_{h}").isNull()) | c(f"spot_ret_{h}").isNull()) for h in C.HORIZONS),
         ("RV_INSUFFICIENT", (c("perp_ok") & (c("perp_rv_60").isNull() | c("perp_rv_300").isNull() | c("perp_rv_900").isNull()))
          | c("spot_rv_60").isNull() | c("spot_rv_300").isNull() | c("spot_rv_900").isNull()),
-        ("NORM_FLOOR", F.coalesce(c("perp_rv_300") < C.MIN_VOL_BPS, F.lit(False)) | F.coalesce(c("spot_rv_300") < C.MIN_VOL_BPS, F.lit(False))),
+        ("VOL_NORM_DENOMINATOR_TOO_SMALL", F.coalesce(c("perp_rv_300") < C.MIN_VOL_BPS, F.lit(False)) | F.coalesce(c("spot_rv_300") < C.MIN_VOL_BPS, F.lit(False))),
     ]
     return F.concat_ws(";", *(F.when(test, name) for name, test in found))

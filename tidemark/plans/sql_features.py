@@ -22,6 +22,11 @@ def _z(window: int, least: int, span: int) -> str:
         AND stddev_samp(premium) {w} > 1e-12 THEN (premium - avg(premium) {w}) / stddev_samp(premium) {w} END, 4)"""
 
 
+def _flat(window: int, least: int, span: int) -> str:
+    w = f"OVER (PARTITION BY coin ORDER BY us RANGE BETWEEN {window * S - 1} PRECEDING AND CURRENT ROW)"
+    return f"(coalesce(premium IS NOT NULL AND count(premium) {w} >= {least} AND us - min(CASE WHEN premium IS NOT NULL THEN us END) {w} >= {span * S} AND stddev_samp(premium) {w} <= 1e-12, false))::BIGINT"
+
+
 _SPREAD = f"OVER (PARTITION BY coin ORDER BY us RANGE BETWEEN {300 * S} PRECEDING AND 1 PRECEDING)"
 _RV = {60: (6, 45), 300: (25, 225), 900: (75, 675)}
 _H = (30, 60, 180)
@@ -32,7 +37,7 @@ PERP = f"""fresh_perps AS (
     perp_values AS (
         SELECT event_id,
                {", ".join(f"round((mid / {_before('mid', h)} - 1) * 10000, 4) AS perp_ret_{h}, round(premium - {_before('premium', h)}, 4) AS premium_change_{h}" for h in _H)},
-               {_z(300, 20, 240)} AS premium_z_5m, CASE WHEN premium IS NOT NULL THEN count(premium) OVER (PARTITION BY coin ORDER BY us RANGE BETWEEN {300 * S - 1} PRECEDING AND CURRENT ROW) ELSE 0 END AS premium_z_5m_n,
+               {_z(300, 20, 240)} AS premium_z_5m, {_flat(300, 20, 240)} AS premium_z_5m_flat, {_flat(900, 60, 720)} AS premium_z_15m_flat, CASE WHEN premium IS NOT NULL THEN count(premium) OVER (PARTITION BY coin ORDER BY us RANGE BETWEEN {300 * S - 1} PRECEDING AND CURRENT ROW) ELSE 0 END AS premium_z_5m_n,
                {_z(900, 60, 720)} AS premium_z_15m, CASE WHEN premium IS NOT NULL THEN count(premium) OVER (PARTITION BY coin ORDER BY us RANGE BETWEEN {900 * S - 1} PRECEDING AND CURRENT ROW) ELSE 0 END AS premium_z_15m_n,
                {", ".join(f"{_rv(w, *x)} AS perp_rv_{w}" for w, x in _RV.items())},
                round(CASE WHEN count(spread) {_SPREAD} >= 20 AND max(us) {_SPREAD} - min(us) {_SPREAD} >= {240 * S} THEN quantile_cont(spread, 0.5) {_SPREAD} END, 4) AS spread_median,
@@ -61,7 +66,7 @@ def _horizons(pattern: str) -> str:
     return ", ".join(pattern.replace("{h}", str(h)) for h in _H)
 
 
-_PERP_VALUES = [*(f"perp_ret_{h}" for h in _H), *(f"premium_change_{h}" for h in _H), "premium_z_5m", "premium_z_5m_n", "premium_z_15m", "premium_z_15m_n", "perp_rv_60", "perp_rv_300", "perp_rv_900", "spread_median", "spread_n", "spread_ratio"]
+_PERP_VALUES = [*(f"perp_ret_{h}" for h in _H), *(f"premium_change_{h}" for h in _H), "premium_z_5m", "premium_z_5m_n", "premium_z_5m_flat", "premium_z_15m", "premium_z_15m_n", "premium_z_15m_flat", "perp_rv_60", "perp_rv_300", "perp_rv_900", "spread_median", "spread_n", "spread_ratio"]
 
 
 def _sigma(v: str, h: int) -> str:
@@ -104,12 +109,15 @@ CAUSAL = f"""joined AS (
                     CASE WHEN v4 IS NULL THEN 'SPREAD_UNKNOWN' WHEN v4 = 1 THEN 'SPREAD_WIDENING' WHEN v4 = 2 THEN 'SPREAD_BLOWOUT' END) END AS reasons,
                concat_ws(';', CASE WHEN NOT binary_ok THEN 'BINARY_NOT_OK' END, CASE WHEN snapshot_id IS NULL THEN 'NO_PRIOR_PERP' END,
                     CASE WHEN snapshot_id IS NOT NULL AND NOT pair_ok THEN 'PERP_TOO_OLD' END, CASE WHEN pair_ok AND source_status = 'error' THEN 'PERP_SOURCE_ERROR' END,
-                    CASE WHEN pair_ok AND source_status <> 'error' AND NOT perp_ok THEN 'PERP_STALE' END, CASE WHEN pair_ok AND source_status <> 'error' AND NOT has_mid THEN 'NO_BOOK' END,
+                    CASE WHEN pair_ok AND source_status <> 'error' AND NOT perp_ok THEN 'PERP_STALE' END, CASE WHEN pair_ok AND source_status <> 'error' AND NOT perp_ok AND index_age_s * {S} + lag_us > {15 * S} THEN 'INDEX_STALE' END, CASE WHEN pair_ok AND source_status <> 'error' AND NOT has_mid THEN 'NO_TWO_SIDED_BOOK' END,
                     CASE WHEN pair_ok AND source_status <> 'error' AND NOT has_index THEN 'MISSING_INDEX' END,
-                    CASE WHEN perp_ok AND spread IS NOT NULL AND spread_median IS NULL THEN 'SPREAD_BASELINE_INSUFFICIENT' END, CASE WHEN perp_ok AND funding_rate IS NULL THEN 'FUNDING_MISSING' END,
-                    {_horizons("CASE WHEN (perp_ok AND perp_ret_{h} IS NULL) OR spot_ret_{h} IS NULL THEN 'INSUFFICIENT_{h}S' END")},
+                    CASE WHEN perp_ok AND spread IS NOT NULL AND spread_median IS NULL THEN 'INSUFFICIENT_SPREAD_BASELINE' END,
+                    CASE WHEN perp_ok AND premium IS NOT NULL AND premium_z_5m IS NULL AND premium_z_5m_flat = 0 THEN 'INSUFFICIENT_5M_HISTORY' END, CASE WHEN perp_ok AND premium_z_5m_flat = 1 THEN 'PREMIUM_ZERO_VARIANCE' END,
+                    CASE WHEN perp_ok AND premium IS NOT NULL AND premium_z_15m IS NULL AND premium_z_15m_flat = 0 THEN 'INSUFFICIENT_15M_HISTORY' END, CASE WHEN perp_ok AND premium_z_5m_flat = 0 AND premium_z_15m_flat = 1 THEN 'PREMIUM_ZERO_VARIANCE' END,
+                    CASE WHEN perp_ok AND funding_rate IS NULL THEN 'FUNDING_MISSING' END,
+                    {_horizons("CASE WHEN (perp_ok AND perp_ret_{h} IS NULL) OR spot_ret_{h} IS NULL THEN 'INSUFFICIENT_{h}S_HISTORY' END")},
                     CASE WHEN (perp_ok AND (perp_rv_60 IS NULL OR perp_rv_300 IS NULL OR perp_rv_900 IS NULL)) OR spot_rv_60 IS NULL OR spot_rv_300 IS NULL OR spot_rv_900 IS NULL THEN 'RV_INSUFFICIENT' END,
-                    CASE WHEN perp_rv_300 < 0.01 OR spot_rv_300 < 0.01 THEN 'NORM_FLOOR' END) AS flags
+                    CASE WHEN perp_rv_300 < 0.01 OR spot_rv_300 < 0.01 THEN 'VOL_NORM_DENOMINATOR_TOO_SMALL' END) AS flags
         FROM leveled)"""
 
 ALL = ", ".join([SQL["ticks"], SQL["snapshots"], SQL["spots"], PERP, SPOT, PAIR, CAUSAL])
