@@ -6,13 +6,15 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.storage import written
 
-__all__ = ["SPACE", "WORD", "bounded_sample", "lean", "let", "sized", "table", "unused", "words", "written"]
+__all__ = ["SPACE", "WORD", "bounded_sample", "lean", "let", "pieces", "sized", "table", "unused", "words", "written"]
 
 #: ASCII white space; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -65,6 +67,17 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, cut where the bytes of a text or binary column come to ``size``; a longer value goes alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        held = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, held + size, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def bounded_sample(df: DataFrame, place: str, size: int) -> DataFrame:
     """The ``size`` rows with the least hash in column ``place`` (a 64-bit hash), or all rows if there are fewer.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
+from tidemark.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, periodic_runs, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extract": op2_html_extract,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL = {
