@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, periodic_runs, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
+from tidemark.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, periodic_runs, quality_rules, sharding, simhash_dedup, substring_dedup, token_alignment, toxicity
 from tidemark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extract": op2_html_extract,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL = {
