@@ -5,7 +5,8 @@ tokens across such a place (A splits there; no piece of B has a space behind ano
 model is read, or else a text is one chunk), so both end a token there, and a chunk has the same tokens wherever it
 stands.  The distinct chunks of a block of texts are encoded once; the rest is numpy over the numbers of the chunks.
 
-The ends of tokens are byte offsets.  The character offsets of A and the spans of B are coarse cuts; where several tokens
+The ends of tokens are byte offsets.  The character offsets of A and the spans of B (which the installed sentencepiece
+gives as offset mappings, having given up its immutable protos) are coarse cuts; where several tokens
 share a character (the bytes of one character, byte fallback) the decoded bytes of the tokens refine them.  Elementary
 stretches between neighbouring ends of either tokenizer are the links: each lies in one token of A and one of B.
 
@@ -20,6 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,9 @@ from tidemark.llm.common import lean, pieces, written
 from tidemark.shipping import ship
 
 #: A block ends at so many distinct chunks or so many bytes of text.
-BLOCK_CHUNKS, BLOCK_BYTES = 1 << 18, 1 << 25
+BLOCK_CHUNKS, BLOCK_BYTES = 1 << 19, 1 << 25
 #: Distinct chunks that are encoded together.
-BATCH = 1 << 14
+BATCH = 1 << 15
 #: Characters of a long text that are cut into chunks at a time.
 PIECE = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -78,6 +80,7 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(names)]
         self.splits = not any(_SPACE in p.lstrip(_SPACE) for p in names)
+        self.byte = np.array([self.b.is_byte(i) for i in range(len(names))])
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.told = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(most)], object)
@@ -105,62 +108,70 @@ class Aligner:
             low = cut.end()
         yield _CUT.split(text[low:] if low else text)
 
-    def ends_a(self, found: list, chars: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, numbers of tokens, byte ends in the joined chunks) of A."""
-        sizes = np.array([len(e.ids) for e in found])
-        ids = np.array([i for e in found for i in e.ids], np.int64)
-        spans = np.array([s for e in found for s in e.offsets], np.int64).reshape(-1, 2)
-        whole = np.frombuffer("".join(chars).encode("utf-32-le"), np.uint32)
-        width = 1 + (whole >= 0x80) + (whole >= 0x800) + (whole >= 0x10000)
-        places = np.concatenate(([0], np.cumsum(width)))
-        base = np.repeat(np.cumsum([0, *map(len, chars)])[:-1], sizes)
-        last = np.cumsum(sizes)[sizes > 0] - 1
-        after = np.append(spans[1:, 0] + base[1:], 0)
-        after[last] = len(whole)
-        stop = spans[:, 1] + base
-        return ids, sizes, _refined(places[stop], stop <= after, self.sizes_a[ids])
-
-    def ends_b(self, found: list, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same of B; its spans are bytes of a chunk, to which B adds a space."""
-        sizes = np.array([len(p.pieces) for p in found])
-        told = np.array([(x.id, x.begin, x.end) for p in found for x in p.pieces], np.int64).reshape(-1, 3)
-        ids = told[:, 0]
-        stop = told[:, 2] + 1 + np.repeat(base, sizes)
-        byte = np.fromiter((self.b.is_byte(i) for i in ids.tolist()), bool, len(ids)) if len(ids) else np.empty(0, bool)
-        return ids, sizes, _refined(stop, ~byte, self.sizes_b[ids])
+    def ends_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, byte ends) of A's tokens over a text that begins with the space."""
+        found = self.a.encode(text, add_special_tokens=False)
+        ids, spans = np.array(found.ids, np.int64), _pairs(found.offsets)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        places = np.concatenate(([0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))))
+        # a token's cut is sure if the next token begins no earlier, with a character of its own
+        sure = spans[:, 1] <= np.append(spans[1:, 0], len(points))
+        return ids, _refined(places[spans[:, 1]], sure, self.sizes_a[ids])
+
+    def ends_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same of B, which adds the space itself; its spans are bytes of the text without it."""
+        found = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True)
+        ids, spans = np.array(found["ids"], np.int64), _pairs(found["offsets"])
+        return ids, _refined(spans[:, 1] + 1, ~self.byte[ids], self.sizes_b[ids])
 
     def align(self, chunks: list[str]) -> dict[str, np.ndarray | list]:
-        """Of each chunk: whether it has tokens, its numbers of tokens, groups and links, the text of its groups; and the pairs of all links."""
-        spaced = [" " + c for c in chunks]
-        a, b = self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(chunks, return_type="proto", num_threads=1)
-        raw = [s.encode() for s in spaced]
-        good = np.array([b"".join([self.bytes_a[i] for i in x.ids]) == r and b"".join([self.bytes_b[p.id] for p in y.pieces]) == r for x, y, r in zip(a, b, raw)], bool)
-        some = np.flatnonzero(good).tolist()
-        if not some:
-            return {"good": good, "pairs": np.empty(0, np.int64), "texts": [b""] * len(chunks)} | {k: np.zeros(len(chunks), np.int64) for k in COUNTS}
-        a, b, spaced, lengths = [a[i] for i in some], [b[i] for i in some], [spaced[i] for i in some], np.array([len(raw[i]) for i in some], np.int64)
-        stops = np.cumsum(lengths)
-        ids_a, n_a, ends_a = self.ends_a(a, spaced)
-        ids_b, n_b, ends_b = self.ends_b(b, stops - lengths)
-        common, cuts = np.intersect1d(ends_a, ends_b, assume_unique=True), np.union1d(ends_a, ends_b)
+        """Of each chunk: whether it has tokens, its numbers of tokens, groups and links, the text of its groups; and the pairs of all links.
+
+        Chunks are encoded as one text with single spaces between them; one at whose ends is white space goes alone.
+        """
+        plain = [i for i, c in enumerate(chunks) if not (c[0].isspace() or c[-1].isspace() or _SPACE in c)] if self.splits else []
+        found: list = [None] * len(chunks)
+        self._align_all(chunks, plain, found)
+        for i in set(range(len(chunks))).difference(plain):
+            self._align_all(chunks, [i], found)
+        out: dict[str, np.ndarray | list] = {k: np.array([x[j] for x in found], np.int64) for j, k in enumerate(COUNTS)}
+        out["good"], out["texts"] = out["n_a"] > 0, [x[4] for x in found]
+        out["pairs"] = np.concatenate([x[5] for x in found]) if found else np.empty(0, np.int64)
+        return out
+
+    def _align_all(self, chunks: list[str], places: list[int], found: list) -> None:
+        """Sets ``found`` of the chunks at ``places``; where joined bytes differ, the halves go on their own."""
+        if not places:
+            return
+        spaced = " " + " ".join([chunks[i] for i in places])
+        raw, (ids_a, ends_a), (ids_b, ends_b) = spaced.encode(), self.ends_a(spaced), self.ends_b(spaced)
+        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != raw:
+            if len(places) == 1:
+                found[places[0]] = (0, 0, 0, 0, b"", np.empty(0, np.int64))
+            else:
+                self._align_all(chunks, places[: len(places) // 2], found)
+                self._align_all(chunks, places[len(places) // 2 :], found)
+            return
+        stops = np.cumsum([1 + len(chunks[i].encode()) for i in places])
+        both = ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        common, cuts = ends_b[both], np.sort(np.concatenate((ends_a, ends_b[~both])), kind="stable")
         pairs = ids_a[np.searchsorted(ends_a, cuts)] << 32 | ids_b[np.searchsorted(ends_b, cuts)]
-        inside = lambda x: np.diff(np.searchsorted(x, np.concatenate(([0], stops)), "right"))
+        counts = [np.diff(np.searchsorted(x, stops, "right"), prepend=0) for x in (ends_a, ends_b, common, cuts)]
         # tokens by group, those of A before those of B; the mark after each tells what follows
         side = np.concatenate((2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1))
         order = np.argsort(side, kind="stable")
         side, ids = side[order], np.concatenate((ids_a, ids_b))[order]
         step = np.append(side[1:], len(common) * 2) - side
         codes = np.where(step == 0, 0, np.where(side % 2 == 0, 1, 2)) * self.most + ids
-        flat = b"".join(self.told[codes].tolist())
-        edges = np.concatenate(([0], np.cumsum(self.told_sizes[codes])))[np.concatenate(([0], np.cumsum(n_a + n_b)))].tolist()
-        out: dict[str, np.ndarray | list] = {"good": good, "pairs": pairs}
-        for name, values in (("n_a", n_a), ("n_b", n_b), ("n_groups", inside(common)), ("n_links", inside(cuts))):
-            out[name] = np.zeros(len(chunks), np.int64)
-            out[name][some] = values
-        texts = out["texts"] = [b""] * len(chunks)
-        for k, i in enumerate(some):
-            texts[i] = flat[edges[k] : edges[k + 1]]
-        return out
+        told = b"".join(self.told[codes].tolist())
+        edges = np.concatenate(([0], np.cumsum(self.told_sizes[codes])))[np.concatenate(([0], np.cumsum(counts[0] + counts[1])))].tolist()
+        links = np.concatenate(([0], np.cumsum(counts[3]))).tolist()
+        for k, (i, *each) in enumerate(zip(places, *(c.tolist() for c in counts))):
+            found[i] = (*each, told[edges[k] : edges[k + 1]], pairs[links[k] : links[k + 1]])
+
+
+def _pairs(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
 
 
 def _refined(coarse: np.ndarray, sure: np.ndarray, sizes: np.ndarray) -> np.ndarray:
