@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, periodic_runs, quality_rules, sharding, simhash_dedup, substring_dedup, token_alignment, toxicity
+from tidemark.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, periodic_runs, quality_rules, sharding, simhash_dedup, substring_dedup, token_alignment, toxicity, vector_graph
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_graph.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op11_vector_graph": op11_vector_graph,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_token_alignment": op13_token_alignment,
 }
