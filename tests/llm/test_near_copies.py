@@ -41,3 +41,48 @@ def test_planted_near_copies(make, monkeypatch, block):
                 root[b] = a
     kept = sorted(r.doc_id for r in simhash_dedup.drop_near_duplicates(make(texts)).collect())
     assert kept == [i for i in range(len(texts)) if root[i] == i] and len(kept) < len(texts) / 2
+
+
+def pages(n, shared, own, seed=5):
+    """Pages of one template: ``shared`` words in common, ``own`` words of their own, in runs of ten."""
+    rng = random.Random(seed)
+    out = []
+    for p in range(n):
+        runs = [[f"t{10 * i + k}" for k in range(10)] for i in range(shared // 10)]
+        for i in range(own // 10):
+            runs.insert(rng.randrange(len(runs) + 1), [f"p{p}_{10 * i + k}" for k in range(10)])
+        out.append(" ".join(w for r in runs for w in r))
+    return out
+
+
+def test_pages_of_a_template_make_no_pairs(spark, make, monkeypatch):
+    """Crowded fingerprints of texts that are not alike: candidates of the exact join do not grow with the square."""
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    made = {}
+    keep = near_copies.prefix_pairs
+
+    def counted(tokens, similarity):
+        found = keep(tokens, similarity)
+        made["pairs"], made["nodes"] = found.count(), tokens.select("node").distinct().count()
+        return found
+
+    monkeypatch.setattr(near_copies, "prefix_pairs", counted)
+    texts = pages(60, 290, 110)
+    texts += [texts[7].replace("p7_30", "other"), texts[9].replace("p9_40", "other")]
+    kept = {r.doc_id for r in simhash_dedup.drop_near_duplicates(make(texts)).collect()}
+    assert kept == set(range(60)) and made["pairs"] <= 10
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    """The exact join alone finds all pairs at 0.8, at and around the bound."""
+    rng, texts = random.Random(11), []
+    for n in (9, 10, 24, 60, 200):
+        base = [f"b{n}_{i}" for i in range(n + 4)]
+        texts += [" ".join(base[: n + 4 - k]) for k in range(0, n // 2, max(1, n // 20))]
+        texts += [" ".join([*base[:i], "z", *base[i + 1 :]]) for i in rng.sample(range(n), 5)]
+    texts += pages(12, 290, 30, 2)
+    nodes = [(str(i).zfill(4).encode(), t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(nodes, "node binary, text string")
+    found = near_copies.ordered_links(table.selectExpr("node", "node AS label"), table, 5, 0.8).collect()
+    got = {tuple(sorted((int(bytes(r.a)), int(bytes(r.b))))) for r in found}
+    assert got == {(j, i) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8 - 1e-12} and len(got) > 50
