@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
+from tidemark.operators import ordered, scans
 from tidemark.sources.views import SECOND
+from tidemark.storage import written
 
 
 def inconsistent_tickers(observed: DataFrame) -> DataFrame:
@@ -71,34 +75,36 @@ def thin(times: list[int], spacing: int, usable: list[bool]) -> list[int]:
     return kept
 
 
-def leadlag_anchors(features: DataFrame, horizon: int, scale: int, tolerance: int = C.LEADLAG_TOLERANCE, gap: int = C.LEADLAG_GAP) -> DataFrame:
-    """Ready rows with the spot return to an observation about ``horizon`` later, thinned to one per horizon.
+def leadlag_anchors(features: DataFrame, horizons: tuple[int, ...], scale: int, tolerance: int = C.LEADLAG_TOLERANCE, gap: int = C.LEADLAG_GAP) -> DataFrame:
+    """Ready rows with the spot return to an observation about each horizon later, thinned to one per horizon.
 
     The later observation is the nearest to the target within ``tolerance``, strictly later, in the same session and
-    coin, with no gap over ``gap`` in between; an earlier one wins ties.  Thinning is sequential within (session, coin).
+    coin, with no gap over ``gap`` in between; an earlier one wins ties.  Gaps are counted by range sums, later rows met
+    within time buckets, and all horizons thinned at once: times are stretched so that one spacing holds for all.
     """
-    import pandas as pd
-    from pyspark.sql import Window
-
-    from tidemark.shipping import ship
-
-    second = scale * SECOND
-    key = ["session", "coin"]
-    w = Window.partitionBy(*key).orderBy("us")
-    broken = F.sum(F.coalesce((F.col("us") - F.lag("us").over(w) > gap * second).cast("int"), F.lit(0))).over(w)
-    rows = features.withColumn("run", broken)
-    # rows of one run lie near each other, so that frames over runs are exact
-    later = Window.partitionBy(*key, "run").orderBy("us").rangeBetween(max(1, (horizon - tolerance) * second), (horizon + tolerance) * second)
-    far = F.abs
-    seen = rows.withColumn("ahead", F.collect_list(F.struct("us", "spot")).over(later))
-    target = F.col("us") + horizon * second
-    nearest = F.array_min(F.transform("ahead", lambda x: F.struct(far(x.us - target).alias("d"), x.us.alias("us"), x.spot.alias("spot"))))
-    labelled = seen.withColumn("n", nearest).withColumn("usable", F.col("ready") & F.col("n").isNotNull())
-    labelled = labelled.select(*key, "us", "event_id", "spot", F.col("n.us").alias("label_us"), ((F.col("n.spot") / F.col("spot") - 1) * 10000).alias("y"), "usable", *[c for c in (*C.LEADLAG_FEATURES, "premium_z_5m", *sorted(set(C.LEADLAG_CONTROL.values()))) if c in features.columns])
-    ship(features.sparkSession)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable").reset_index(drop=True)
-        return pdf.iloc[thin(pdf["us"].tolist(), horizon * second, pdf["usable"].tolist())]
-
-    return labelled.groupBy(*key).applyInPandas(keep, labelled.schema).drop("usable")
+    second, key = scale * SECOND, ["session", "coin"]
+    near = scans.with_halo(scans.numbered(features, key, ["us", "event_id"]), 1)
+    before = F.lag("us").over(Window.partitionBy(*key, "bucket").orderBy("i"))
+    gaps = near.withColumn("broken", F.coalesce((F.col("us") - before > gap * second).cast("int"), F.lit(0))).where(~F.col("in_halo")).drop("bucket", "i", "in_halo")
+    rows = written(ordered.with_before(gaps, key, ["us", "event_id"], n="broken", name="run").withColumn("run", F.col("run") + F.col("broken")).drop("broken"))
+    # each bucket with what follows it within reach
+    reach = (max(horizons) + tolerance) * second
+    own = F.floor(F.col("us") / (8 * reach))
+    spread = rows.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("us") - reach) / (8 * reach)), own))).withColumn("in_halo", F.col("bucket") != own)
+    w = Window.partitionBy(*key, "bucket").orderBy("us")
+    for h in horizons:
+        ahead = F.collect_list(F.struct("us", "spot", "run")).over(w.rangeBetween(max(1, (h - tolerance) * second), (h + tolerance) * second))
+        spread = spread.withColumn(f"ahead_{h}", ahead)
+    seen = spread.where(~F.col("in_halo")).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    ahead = F.coalesce(*[F.when(F.col("horizon") == h, F.col(f"ahead_{h}")) for h in horizons])
+    target = F.col("us") + F.col("horizon").cast("long") * second
+    nearest = F.array_min(F.transform(F.filter("found", lambda x: x.run == F.col("run")), lambda x: F.struct(F.abs(x.us - target).alias("d"), x.us.alias("us"), x.spot.alias("spot"))))
+    labelled = seen.withColumn("found", ahead).withColumn("n", nearest).withColumn("usable", F.col("ready") & F.col("n").isNotNull())
+    columns = [c for c in (*C.LEADLAG_FEATURES, "premium_z_5m", *sorted(set(C.LEADLAG_CONTROL.values()))) if c in features.columns]
+    # one spacing for all horizons
+    unit = math.lcm(*horizons)
+    paced = labelled.select(
+        "horizon", *key, (F.col("us") * (F.lit(unit) / F.col("horizon")).cast("long")).alias("pace"), "event_id", "us", "spot", F.col("n.us").alias("label_us"),
+        ((F.col("n.spot") / F.col("spot") - 1) * 10000).alias("y"), "usable", *columns,
+    )
+    return scans.thinned(paced, ["horizon", *key], "pace", unit * second, "usable").select(*key, "us", "event_id", "spot", "label_us", "y", *columns, "horizon")

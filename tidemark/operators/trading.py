@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import market as M
+from tidemark.operators import scans
 from tidemark.operators.ordered import row_buckets
+from tidemark.storage import written
 
 
 def indicators(candles: DataFrame, n: int = 14, bands: int = 20) -> DataFrame:
@@ -28,31 +30,26 @@ def indicators(candles: DataFrame, n: int = 14, bands: int = 20) -> DataFrame:
 
 
 def wilder_rsi(candles: DataFrame, n: int = 14) -> DataFrame:
-    """RSI by Wilder's smoothing, a fold along each coin's candles, and its place in the last ``n`` values."""
-    import numpy as np
-    import pandas as pd
-
-    from tidemark.shipping import ship
-
-    ship(candles.sparkSession)
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t").reset_index(drop=True)
-        step = pdf["close"].diff().to_numpy()
-        up, down = np.where(step > 0, step, 0.0), np.where(step < 0, -step, 0.0)
-        rsi = np.full(len(pdf), np.nan)
-        if len(pdf) > n:
-            gain, loss = up[1 : n + 1].mean(), down[1 : n + 1].mean()
-            for i in range(n, len(pdf)):
-                if i > n:
-                    gain, loss = (gain * (n - 1) + up[i]) / n, (loss * (n - 1) + down[i]) / n
-                rsi[i] = 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-        low, high = pd.Series(rsi).rolling(n).min(), pd.Series(rsi).rolling(n).max()
-        pdf["rsi"], pdf["stoch"] = rsi, ((rsi - low) / (high - low).where(high > low) * 100).to_numpy()
-        return pdf[["coin", "t", "close", "rsi", "stoch"]]
-
-    out = candles.select("coin", "t", "close").groupBy("coin").applyInPandas(smooth, "coin string, t long, close double, rsi double, stoch double")
-    return out.select("coin", "t", "close", F.nanvl("rsi", F.lit(None)).alias("rsi"), F.nanvl("stoch", F.lit(None)).alias("stoch"))
+    """RSI by Wilder's smoothing, its place in its last ``n`` values (50 where they are all the same) and where that place went
+    (compared at nine digits, so that the order of a sum cannot show).
+
+    The mean gain and loss of the first ``n`` steps, and x = (x (n - 1) + step) / n from there on, are one linear
+    recurrence, scanned over buckets of candles.
+    """
+    rows = scans.with_halo(scans.numbered(candles.select("coin", "t", "close"), ["coin"], ["t"]), 1)
+    step = F.col("close") - F.lag("close").over(Window.partitionBy("coin", "bucket").orderBy("i"))
+    steps = rows.withColumn("step", F.coalesce(step, F.lit(0.0))).where(~F.col("in_halo")).drop("in_halo")
+    maps = steps.select("coin", "t", "close", "i", "bucket", F.when(F.col("i") > n, (n - 1) / n).otherwise(1.0).alias("a"), (F.greatest("step", F.lit(0.0)) / n).alias("gain"), (F.greatest(-F.col("step"), F.lit(0.0)) / n).alias("loss"))
+    smooth = scans.linear_scan(maps, ["coin"], "a", ["gain", "loss"])
+    rsi = F.when(F.col("i") >= n, F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain") / F.col("loss"))))
+    halo = scans.with_halo(written(smooth.select("coin", "t", "close", "i", "bucket", rsi.alias("rsi"))), n)
+    w = Window.partitionBy("coin", "bucket").orderBy("i")
+    last = w.rowsBetween(-(n - 1), 0)
+    low, high = F.min("rsi").over(last), F.max("rsi").over(last)
+    place = F.when(F.col("i") >= 2 * n - 1, F.when(high > low, 100 * (F.col("rsi") - low) / (high - low)).otherwise(50.0))
+    placed = halo.withColumn("stoch", place).withColumn("before", F.lag("stoch").over(w))
+    arrow = F.when(F.col("i") >= 2 * n, F.when(F.round("stoch", 9) >= F.round("before", 9), "UP").otherwise("DOWN"))
+    return placed.withColumn("arrow", arrow).where(~F.col("in_halo")).select("coin", "t", "close", "rsi", "stoch", "arrow")
 
 
 def trailing_vol(candles: DataFrame, step: int, lookback: int = C.VOL_LOOKBACK, least: int = C.VOL_MIN) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from tidemark.operators import cohorts
 from tidemark.operators import metrics as X
 from tidemark.operators import models as Z
 from tidemark.plans.evaluation import GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, horizon_cohort, with_market
+from tidemark.plans import sql_features as S
 from tidemark.plans.policies import SCORED_SQL, scored
 from tidemark.plans.telemetry import features, inputs
 from tidemark.sources import views as V
@@ -39,8 +38,7 @@ def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """(anchors of all horizons, time scale)."""
     _, _, scale = inputs(spark, sf_dir)
     rows = written(features(spark, sf_dir))
-    each = [cohorts.leadlag_anchors(rows, h, scale).withColumn("horizon", F.lit(h)) for h in C.LEADLAG_HORIZONS]
-    return reduce(DataFrame.unionByName, each), scale
+    return cohorts.leadlag_anchors(rows, C.LEADLAG_HORIZONS, scale), scale
 
 
 def leadlag_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +147,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT grp, horizon, clusters, round(mean, 6) AS mean, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(pv, 6) AS p_value
             FROM (SELECT grp, horizon, count(*) AS clusters, sum(s) / sum(n) AS mean FROM sums GROUP BY ALL)
             JOIN (SELECT grp, horizon, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, (count(*) FILTER (v <= 0) + 1) / (count(*) + 1.0::DOUBLE) AS pv FROM stats GROUP BY ALL) USING (grp, horizon)""").replace(") , sums", "), sums"),
+        "leadlag_anchors": S.features(f""", runs AS (
+                SELECT *, sum(broken) OVER (PARTITION BY session, coin ORDER BY us, event_id) AS run
+                FROM (SELECT event_id, coin, session, us, spot, ready, coalesce(us - lag(us) OVER (PARTITION BY session, coin ORDER BY us, event_id) > {C.LEADLAG_GAP * S.S}, false)::INT AS broken FROM features)),
+            met AS (
+                SELECT a.*, h, b.us AS label_us, b.spot AS later, row_number() OVER (PARTITION BY h, a.event_id ORDER BY abs(b.us - a.us - h * {S.S}), b.us, b.spot) AS place
+                FROM (SELECT *, unnest({list(C.LEADLAG_HORIZONS)})::BIGINT AS h FROM runs WHERE ready) a
+                JOIN runs b ON b.session = a.session AND b.coin = a.coin AND b.run = a.run AND b.us BETWEEN a.us + greatest(1, (h - {C.LEADLAG_TOLERANCE}) * {S.S}) AND a.us + (h + {C.LEADLAG_TOLERANCE}) * {S.S}),
+            usable AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h, session, coin, us ORDER BY event_id) AS k FROM met WHERE place = 1) WHERE k = 1),
+            linked AS MATERIALIZED (SELECT a.h, a.session, a.coin, a.us, b.us AS after FROM usable a ASOF LEFT JOIN usable b ON a.h = b.h AND a.session = b.session AND a.coin = b.coin AND a.us + a.h * {S.S} <= b.us),
+            kept AS (SELECT h, session, coin, min(us) AS us FROM usable GROUP BY ALL
+                     UNION ALL SELECT l.h, l.session, l.coin, l.after FROM kept k JOIN linked l ON l.h = k.h AND l.session = k.session AND l.coin = k.coin AND l.us = k.us WHERE l.after IS NOT NULL)
+            SELECT h::INT AS horizon, session, coin, us, event_id, label_us, round((later / spot - 1) * 10000, 4) AS y FROM usable JOIN kept USING (h, session, coin, us)""").replace("WITH ", "WITH RECURSIVE ", 1).replace(" , runs", ", runs"),
         "threshold_bootstrap": "WITH " + ", ".join([V.SQL["markets"], V.SQL["observations"], SIGNAL_SQL, SCORED_SQL]) + f""", grouped AS (SELECT 'ALL' AS grp, * FROM scored WHERE conflict IS NOT NULL UNION ALL SELECT coin, * FROM scored WHERE conflict IS NOT NULL),
             per AS (SELECT grp, ticker, count(*) FILTER (decision = 'WOULD_BLOCK') AS nb, count(*) FILTER (decision = 'WOULD_BLOCK' AND win = 0) AS lb, count(*) FILTER (decision <> 'WOULD_BLOCK') AS nk, count(*) FILTER (decision <> 'WOULD_BLOCK' AND win = 0) AS lk FROM grouped GROUP BY ALL),
             drawn AS (SELECT *, {poisson_sql(C.SEED + 1, 'ticker', 'rep')} AS w FROM per, range(1, {Z.REPS + 1}) r(rep)),

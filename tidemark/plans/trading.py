@@ -121,7 +121,8 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.wilder_rsi(hourly(spark, sf_dir)).select("coin", "t", F.round("rsi", 5).alias("rsi"), F.round("stoch", 4).alias("stoch"))
+    """RSI of the candles that stand for minutes in this module (STEP)."""
+    return T.wilder_rsi(hourly(spark, sf_dir)).select("coin", "t", F.round("rsi", 5).alias("rsi"), F.round("stoch", 4).alias("stoch"), "arrow")
 
 
 def market_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +227,11 @@ def oracle_sql() -> dict[str, str]:
         "rsi": "WITH RECURSIVE " + market.removeprefix("WITH ").rstrip() + """, steps AS (SELECT coin, t, row_number() OVER w AS i, greatest(close - lag(close) OVER w, 0) AS up, greatest(lag(close) OVER w - close, 0) AS down FROM hourly WINDOW w AS (PARTITION BY coin ORDER BY t)),
             smooth AS (SELECT coin, 15::BIGINT AS i, avg(up) AS g, avg(down) AS d FROM steps WHERE i BETWEEN 2 AND 15 GROUP BY coin HAVING count(*) = 14
                        UNION ALL SELECT s.coin, s.i, (m.g * 13 + s.up) / 14, (m.d * 13 + s.down) / 14 FROM smooth m JOIN steps s ON s.coin = m.coin AND s.i = m.i + 1),
-            valued AS (SELECT coin, t, i, CASE WHEN g IS NOT NULL THEN CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + g / d) END END AS rsi FROM steps LEFT JOIN smooth USING (coin, i))
-            SELECT coin, t, round(rsi, 5) AS rsi, round(CASE WHEN count(rsi) OVER w = 14 AND max(rsi) OVER w > min(rsi) OVER w THEN (rsi - min(rsi) OVER w) / (max(rsi) OVER w - min(rsi) OVER w) * 100 END, 4) AS stoch
-            FROM valued WINDOW w AS (PARTITION BY coin ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
+            valued AS (SELECT coin, t, i, CASE WHEN g IS NOT NULL THEN CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + g / d) END END AS rsi FROM steps LEFT JOIN smooth USING (coin, i)),
+            placed AS (SELECT *, CASE WHEN count(rsi) OVER w = 14 THEN CASE WHEN max(rsi) OVER w > min(rsi) OVER w THEN 100 * (rsi - min(rsi) OVER w) / (max(rsi) OVER w - min(rsi) OVER w) ELSE 50 END END AS stoch
+                       FROM valued WINDOW w AS (PARTITION BY coin ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+            followed AS (SELECT *, lag(stoch) OVER (PARTITION BY coin ORDER BY t) AS before FROM placed)
+            SELECT coin, t, round(rsi, 5) AS rsi, round(stoch, 4) AS stoch, CASE WHEN before IS NOT NULL THEN CASE WHEN round(stoch, 9) >= round(before, 9) THEN 'UP' ELSE 'DOWN' END END AS arrow FROM followed""",
         "market_eval": market.rstrip() + f""", {VOL_SQL}, opened AS (SELECT v.*, v.t // {size} * {size} AS open_t, s.close AS strike, 15 - (v.t % {size}) / {STEP} AS minutes_left FROM vols v JOIN hourly s ON s.coin = v.coin AND s.t = v.t // {size} * {size}),
             rated AS (SELECT *, {_cdf("close", "strike", "vol", "minutes_left")} AS cdf, coalesce(abs((close >= strike)::INT - lag((close >= strike)::INT) OVER (PARTITION BY coin, open_t ORDER BY t)), 0) AS crossed FROM opened),
             sided AS (SELECT *, round(greatest(cdf, 1 - cdf) * 100, 4) AS conf, CASE WHEN vol IS NOT NULL THEN CASE WHEN cdf >= 0.5 THEN 'UP' ELSE 'DOWN' END END AS side, sum(crossed) OVER (PARTITION BY coin, open_t ORDER BY t)::BIGINT AS crossings FROM rated),
