@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
+
 
 def overall_and_by(df: DataFrame, key: str, aggregates: Sequence[Column], name: str = "grp") -> DataFrame:
     """One row for all rows (named ALL) and one for each key, in one pass."""
@@ -19,5 +21,15 @@ def share(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(100 * part / F.nullif(whole, F.lit(0)), digits)
 
 
-def quantiles(x: str, prefix: str, at: Sequence[float], digits: int = 4) -> list[Column]:
-    return [F.round(F.percentile(x, q), digits).alias(f"{prefix}_p{round(q * 100):02d}") for q in at]
+def with_percentiles(found: DataFrame, rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """``found``, one row for each group, with exact percentiles of ``rows`` under the names of ``wanted`` (column, share)."""
+    at = sorted({q for _, q in wanted.values()})
+    columns = sorted({c for c, _ in wanted.values()})
+    values = scans.percentiles(rows.select(*by, *(F.col(c).cast("double").alias(c) for c in columns)), by, columns, at)
+    pick = [F.max(F.when(F.col("column") == c, F.col("q")[at.index(q)])).alias(name) for name, (c, q) in wanted.items()]
+    return found.join(values.groupBy(*by).agg(*pick), by, "left")
+
+
+def each_and_all(rows: DataFrame, key: str, name: str = "grp") -> DataFrame:
+    """Rows once for their key and once for ALL."""
+    return rows.withColumn(name, F.explode(F.array(F.lit("ALL"), key)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.functions.market import clamp_p
 from tidemark.operators import metrics as X
+from tidemark.operators import scans
 from tidemark.shipping import ship
 from tidemark.storage import written
 
@@ -39,7 +40,10 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fit_scalers(train: DataFrame, by: list[str], columns: list[str], least: int = C.MIN_COIN_ROWS) -> DataFrame:
     """Per group and column: 1st and 99th percentile, then mean and population deviation of the clipped values."""
-    bounds = train.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"b_{c}") for c in columns]).where(F.col("n") >= least)
+    train = written(train)
+    sizes = train.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    cuts = scans.percentiles(train.select(*by, *(F.col(c).cast("double").alias(c) for c in columns)), by, columns, (0.01, 0.99))
+    bounds = cuts.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"b_{c}") for c in columns]).join(sizes, by)
     rows = train.join(bounds, by)
     clipped = {c: F.greatest(F.col(f"b_{c}")[0], F.least(F.col(f"b_{c}")[1], F.col(c))) for c in columns}
     out = rows.groupBy(*by).agg(*[F.struct(F.min(F.col(f"b_{c}")[0]).alias("low"), F.max(F.col(f"b_{c}")[1]).alias("high"), F.avg(clipped[c]).alias("mean"), F.stddev_pop(clipped[c]).alias("sd")).alias(f"s_{c}") for c in columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import market as M
+from tidemark.operators import scans
 from tidemark.operators.ordered import row_buckets
 from tidemark.storage import written
 
@@ -87,7 +88,7 @@ def score(rows: DataFrame, policy: Policy, ready: str = "ready", fav: str = "fav
 def threshold_grid(rows: DataFrame, by: list[str], conflict: str = "conflict", quantiles: Sequence[int] = C.QUANTILES) -> DataFrame:
     """(by, quantile, threshold): low percentiles of the conflict."""
     at = [q / 100 for q in quantiles]
-    found = rows.groupBy(*by).agg(F.percentile(conflict, F.array(*map(F.lit, at))).alias("t"))
+    found = scans.percentiles(rows, by, [conflict], at).withColumnRenamed("q", "t")
     return found.select(*by, F.explode(F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.col("t").alias("threshold"))).alias("z")).select(*by, "z.quantile", "z.threshold")
 
 

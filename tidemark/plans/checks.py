@@ -10,10 +10,12 @@ from tidemark.functions import market as M
 from tidemark.operators import catalog as K
 from tidemark.operators import features as feat
 from tidemark.operators import integrity as I
+from tidemark.operators import scans
 from tidemark.plans.quality import CHECKED
 from tidemark.plans.sql_features import S, features as with_features
 from tidemark.plans.telemetry import features, inputs, steady, steady_sql
 from tidemark.sources import views as V
+from tidemark.storage import written
 
 BLANKS = [*(f"{side}_z_{h}" for side in ("perp", "spot", "gap") for h in C.HORIZONS), "premium_stress", "spread_ratio"]
 
@@ -62,7 +64,9 @@ def flag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).unpivot([], [F.col(c).cast("double").alias(c) for c in CHECKED], "feature", "x").where("x IS NOT NULL")
-    found = rows.groupBy("feature").agg(F.count("*").alias("n"), F.min("x").alias("min"), F.percentile("x", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"), F.max("x").alias("max"))
+    rows = written(rows)
+    found = rows.groupBy("feature").agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"))
+    found = found.join(scans.percentiles(rows, ["feature"], ["x"], (0.01, 0.5, 0.99)).select("feature", "q"), "feature")
     values = {"min": F.col("min"), "p01": F.col("q")[0], "median": F.col("q")[1], "p99": F.col("q")[2], "max": F.col("max")}
     return found.withColumns(values).select("feature", "n", *[steady(v).alias(v) for v in values])
 

@@ -9,6 +9,7 @@ from tidemark import config as C
 from tidemark.functions.market import favored_win
 from tidemark.operators import cohorts
 from tidemark.operators import metrics as X
+from tidemark.operators import scans
 from tidemark.sources import views as V
 
 AS_OF = "1998-01-01"
@@ -142,7 +143,7 @@ def regime_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by tercile of a feature; the cuts come from the first training block, the metrics from what follows."""
     rows = horizon_cohort(spark, sf_dir)
     placed = rows.join(X.walk_forward(rows, "close_us", BY).drop("n"), [*BY, "close_us"])
-    cuts = placed.where("block = 0").groupBy(*BY).agg(F.percentile("f4", 1 / 3).alias("c1"), F.percentile("f4", 2 / 3).alias("c2"))
+    cuts = scans.percentiles(placed.where("block = 0"), BY, ["f4"], (1 / 3, 2 / 3)).select(*BY, F.col("q")[0].alias("c1"), F.col("q")[1].alias("c2"))
     later = placed.where("block > 0").join(cuts, BY)
     name = F.when(F.col("f4") < F.col("c1"), "low").when(F.col("f4") < F.col("c2"), "medium").otherwise("high")
     p, y = F.col("p"), F.col("up")

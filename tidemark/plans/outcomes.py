@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.functions import market as M
 from tidemark.functions import text as T
-from tidemark.operators import cohorts
+from tidemark.operators import cohorts, scans
 from tidemark.operators import metrics as X
 from tidemark.operators import policy as P
 from tidemark.operators import trading as Y
@@ -19,6 +19,7 @@ from tidemark.plans.policies import OVERLAID_SQL, SCORED_SQL, scored
 from tidemark.plans.trading import AS_OF_US, HOURLY_SQL, SETTLED_SQL, STEP, hourly, settled
 from tidemark.plans.trading import oracle_sql as trading_sql
 from tidemark.sources import views as V
+from tidemark.storage import written
 
 BY = ["grp", "horizon"]
 CUTOFF_US = 788918400 * V.SECOND
@@ -45,7 +46,7 @@ def residual_quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the base forecast missed, by fifth of a feature; the bounds of a fold come from the blocks before it."""
     placed, tests = _tests(spark, sf_dir)
     known = placed.where("block < 4").withColumn("fold", F.explode(F.sequence(F.col("block").cast("int") + 1, F.lit(4))))
-    bounds = known.groupBy(*BY, "fold").agg(F.percentile("f4", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("bounds"))
+    bounds = scans.percentiles(known, [*BY, "fold"], ["f4"], (0.2, 0.4, 0.6, 0.8)).select(*BY, "fold", F.col("q").alias("bounds"))
     place = (F.size(F.filter("bounds", lambda b: b <= F.col("f4"))) + 1).alias("quintile")
     return tests.join(bounds, [*BY, "fold"]).groupBy(*BY, place).agg(
         F.count("*").alias("n"), _cut(F.avg("f4"), 3).alias("mean_feature"), _cut(F.avg("p")).alias("mean_p"), _cut(F.avg("up")).alias("up_rate"), _cut(F.avg(F.col("up") - F.col("p"))).alias("mean_residual")
@@ -78,9 +79,10 @@ def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = policies._by_group(scored(spark, sf_dir).where("conflict IS NOT NULL"))
+    rows = written(policies._by_group(scored(spark, sf_dir).where("conflict IS NOT NULL")))
     at = (0.05, 0.25, 0.5, 0.75, 0.95)
-    found = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("conflict").alias("mean"), F.stddev_pop("conflict").alias("sd"), F.min("conflict").alias("min"), F.max("conflict").alias("max"), F.percentile("conflict", F.array(*map(F.lit, at))).alias("q"))
+    found = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("conflict").alias("mean"), F.stddev_pop("conflict").alias("sd"), F.min("conflict").alias("min"), F.max("conflict").alias("max"))
+    found = found.join(scans.percentiles(rows, ["grp"], ["conflict"], at).select("grp", "q"), "grp")
     return found.select("grp", "n", *[_cut(F.col(c)).alias(c) for c in ("mean", "sd", "min", "max")], *[_cut(F.col("q")[i]).alias(f"p{round(x * 100):02d}") for i, x in enumerate(at)])
 
 

@@ -9,9 +9,10 @@ from tidemark import config as C
 from tidemark.functions import market as M
 from tidemark.operators import cohorts, metrics as X
 from tidemark.operators import policy as P
-from tidemark.operators.groups import overall_and_by, share
+from tidemark.operators.groups import each_and_all, overall_and_by, share, with_percentiles
 from tidemark.plans.evaluation import BRIER, LOGLOSS, SIGNAL_SQL, observed
 from tidemark.sources import views as V
+from tidemark.storage import written
 
 #: The policy that the queries score; scalers lie within the features' ranges.
 POLICY = P.Policy(
@@ -68,14 +69,17 @@ def settlement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pnl_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).where("filled")
+    rows = written(scored(spark, sf_dir).where("filled"))
     blk, alw, pc = F.col("decision") == "WOULD_BLOCK", F.col("decision") == "ALLOW", F.col("per_contract")
     kept = F.sum(F.when(alw, pc).otherwise(0.0)) / F.count("*")
-    return overall_and_by(rows, "coin", [
+    found = overall_and_by(rows, "coin", [
         F.count("*").alias("n"), F.count_if(alw).alias("n_allowed"), F.count_if(blk).alias("n_blocked"), F.round(F.sum("pnl"), 2).alias("total"), F.round(F.sum(F.when(alw, F.col("pnl"))), 2).alias("allowed_total"),
-        F.round(F.avg(pc), 5).alias("mean_pc"), F.round(F.percentile("per_contract", 0.5), 4).alias("median_pc"), F.round(F.percentile(F.when(alw, pc), 0.5), 4).alias("allowed_median_pc"),
+        F.round(F.avg(pc), 5).alias("mean_pc"),
         F.round(kept, 5).alias("filtered_mean_pc"), F.round(kept - F.avg(pc), 5).alias("improvement"),
     ])
+    wanted = {"median_pc": ("per_contract", 0.5), "allowed_median_pc": ("allowed_pc", 0.5)}
+    found = with_percentiles(found, each_and_all(rows.withColumn("allowed_pc", F.when(alw, pc)), "coin"), ["grp"], wanted)
+    return found.withColumns({c: F.round(c, 4) for c in wanted})
 
 
 def subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +99,9 @@ def subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflict distribution by half against the other, and flags where it has moved."""
     rows = scored(spark, sf_dir).where("conflict IS NOT NULL").withColumn("one", F.lit("x"))
-    rows = rows.join(X.halves(rows, "close_us", ["one"]).select("close_us", "half"), "close_us")
-    m = rows.groupBy("half").agg(F.count("*").alias("n"), F.avg("conflict").alias("mean"), F.stddev_pop("conflict").alias("sd"), F.percentile("conflict", 0.05).alias("p05"), F.percentile("conflict", 0.95).alias("p95"), F.avg((F.col("decision") == "WOULD_BLOCK").cast("int")).alias("block_rate"))
+    rows = written(rows.join(X.halves(rows, "close_us", ["one"]).select("close_us", "half"), "close_us"))
+    m = rows.groupBy("half").agg(F.count("*").alias("n"), F.avg("conflict").alias("mean"), F.stddev_pop("conflict").alias("sd"), F.avg((F.col("decision") == "WOULD_BLOCK").cast("int")).alias("block_rate"))
+    m = written(with_percentiles(m, rows, ["half"], {"p05": ("conflict", 0.05), "p95": ("conflict", 0.95)}))
     t, h = m.where("half = 'tuning'").alias("t"), m.where("half = 'holdout'").alias("h")
     both = t.crossJoin(h)  # one row each
     ratio = F.col("h.block_rate") / F.nullif(F.col("t.block_rate"), F.lit(0.0))

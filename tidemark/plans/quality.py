@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
-from tidemark.operators.groups import overall_and_by, quantiles, share
+from tidemark.operators.groups import each_and_all, overall_and_by, share, with_percentiles
 from tidemark.plans.sql_features import features as with_features
 from tidemark.plans.telemetry import features, inputs
+from tidemark.storage import written
 
 CHECKED = ["premium", "premium_z_5m", "premium_z_15m", "perp_rv_60", "perp_rv_300", "perp_rv_900", "spot_rv_300", "spread_ratio", "gap_z_60", "perp_z_60", "spot_z_60"]
 #: Values beyond these are pathological (fixed values).
@@ -17,16 +18,19 @@ BOUNDS = {"premium_z_5m": (-50, 50), "premium_z_15m": (-50, 50), "gap_z_60": (-5
 
 def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).withColumn("lag_ms", F.col("lag_us") / 1000)
+    rows = written(rows.select("coin", "session", "ready", "pair_ok", "perp_ok", "flags", "lag_ms", "latency_ms"))
     n = F.count("*")
-    return overall_and_by(
+    found = overall_and_by(
         rows,
         "coin",
         [
             n.alias("n_rows"), F.count_distinct("session").alias("sessions"), F.count_if("ready").alias("ready"), share(F.count_if("ready"), n).alias("ready_pct"),
             share(F.count_if("pair_ok"), n).alias("pair_pct"), share(F.count_if("perp_ok"), n).alias("perp_pct"), share(F.count_if(F.col("flags") == ""), n).alias("clean_pct"),
-            F.round(F.percentile("lag_ms", 0.5), 3).alias("lag_p50"), F.round(F.percentile("lag_ms", 0.95), 3).alias("lag_p95"), F.max("lag_ms").alias("lag_max"), F.max("latency_ms").alias("latency_max"),
+            F.max("lag_ms").alias("lag_max"), F.max("latency_ms").alias("latency_max"),
         ],
     )
+    found = with_percentiles(found, each_and_all(rows, "coin"), ["grp"], {"lag_p50": ("lag_ms", 0.5), "lag_p95": ("lag_ms", 0.95)})
+    return found.withColumns({c: F.round(c, 3) for c in ("lag_p50", "lag_p95")})
 
 
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +38,10 @@ def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("session", "coin").orderBy("us")
     steps = spots.select("session", "coin", "us").distinct().withColumn("step", (F.lead("us").over(w) - F.col("us")) / 1e6)
     longest = F.max_by("us", F.struct("step", (-F.col("us")).alias("t")))
-    return overall_and_by(steps.where("step IS NOT NULL"), "coin", [F.count("*").alias("intervals"), *quantiles("step", "step", (0.5, 0.9, 0.95, 0.99)), F.round(F.max("step"), 4).alias("step_max"), longest.alias("longest_from_us")])
+    steps = written(steps.where("step IS NOT NULL"))
+    found = overall_and_by(steps, "coin", [F.count("*").alias("intervals"), F.round(F.max("step"), 4).alias("step_max"), longest.alias("longest_from_us")])
+    wanted = {f"step_p{round(q * 100)}": ("step", q) for q in (0.5, 0.9, 0.95, 0.99)}
+    return with_percentiles(found, each_and_all(steps, "coin"), ["grp"], wanted).withColumns({c: F.round(c, 4) for c in wanted})
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +107,12 @@ def blank_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volatility_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overall_and_by(features(spark, sf_dir), "coin", [
-        *quantiles("perp_shock_300", "perp_shock", (0.01, 0.5, 0.99), 2), *quantiles("spot_shock_300", "spot_shock", (0.01, 0.5, 0.99), 2),
+    rows = written(features(spark, sf_dir).select("coin", "perp_shock_300", "spot_shock_300", "vol_regime"))
+    found = overall_and_by(rows, "coin", [
         F.count("perp_shock_300").alias("perp_n"), F.count("spot_shock_300").alias("spot_n"), F.count_if(F.col("vol_regime") == "EXTREME").alias("extreme"),
     ])
+    wanted = {f"{s}_shock_p{round(q * 100):02d}": (f"{s}_shock_300", q) for s in ("perp", "spot") for q in (0.01, 0.5, 0.99)}
+    return with_percentiles(found, each_and_all(rows, "coin"), ["grp"], wanted).withColumns({c: F.round(c, 2) for c in wanted})
 
 
 def queries() -> dict:
