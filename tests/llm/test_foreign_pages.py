@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pytest
 from tidemark.llm import html_blocks, html_extract
 
 P = ["The harbour was quiet that morning, and the boats lay in two rows along the wall.", "Nobody had seen the keeper since the storm; his lamp, however, still burned.",
@@ -71,3 +72,21 @@ def test_long_page_in_slices(monkeypatch, prose):
     whole = html_extract.label(model, [page, page[:7]])
     monkeypatch.setattr(html_extract, "CELLS", 32)
     assert all((a == b).all() for a, b in zip(whole, html_extract.label(model, [page, page[:7]])))
+
+
+def test_tokenizer_does_not_walk_what_is_open():
+    """Implied ends and end tags go to where the element is, however much is open in between."""
+    began = time.process_time()
+    found = html_blocks.blocks("<ul>" + "<b>" * 130_000 + "<li>x" * 130_000 + "</b>" * 1_000)
+    assert len(found) == 130_000 and time.process_time() - began < 30
+    nested = html_blocks.blocks("<ul><li>a<table><tr><td>b<li>c</table>d<li>e</ul><p>f<div>g<p>h")
+    assert [b.text for b in nested] == list("abcdefgh")
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- x --!>", "<!-- x -->", "<!-- -- > -->", "<!----!>"])
+def test_comments_end(comment):
+    assert [b.text for b in html_blocks.blocks(f"<p>a</p>{comment}<p>b</p>")] == ["a", "b"]
+
+
+def test_open_comment_reaches_the_end():
+    assert [b.text for b in html_blocks.blocks("<p>a</p><!-- <p>b</p> -- <p>c")] == ["a"]

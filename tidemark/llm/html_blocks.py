@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect
+from collections import defaultdict
 from dataclasses import dataclass
 
 #: Elements that do not end a block (fixed values).
@@ -27,6 +28,8 @@ FENCES = frozenset("table ul ol dl div article section main aside nav header foo
 #: Steps of a path that a block keeps, the innermost ones: a path is a feature of the labeller, no text.
 DEPTH = 32
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_EMPTY_COMMENT = re.compile("-?>")
+_COMMENT_END = re.compile("--!?>")
 _VALUE = re.compile(r""">|=\s*(["'])""")
 _NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -84,6 +87,16 @@ class Tags:
             at = close + 1 if close >= 0 else found.end()
         return self.page.find(">", begin) + 1
 
+    def comment(self, at: int) -> int:
+        """Where the comment ends whose text begins at ``at``: behind --> or --!>, or at once for > and ->; -1 without an end."""
+        if "-->" in self.missing:
+            return -1
+        found = _EMPTY_COMMENT.match(self.page, at) or _COMMENT_END.search(self.page, at)
+        if not found:
+            self.missing.add("-->")
+            return -1
+        return found.end()
+
     def after(self, tag: str, at: int) -> int:
         """Where the content of a skipped element ends, after its end tag; -1 without one."""
         if tag in self.missing:
@@ -100,7 +113,9 @@ def blocks(page: str | None) -> list[Block]:
     tags = Tags(page)
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
-    open_: Counter[str] = Counter()
+    # where in the stack each kind of element is open, and where the fences are
+    open_: defaultdict[str, list[int]] = defaultdict(list)
+    fences: list[int] = []
     held: list[str] = []
     in_link = link_chars = 0
     at, begin, end = 0, 0, len(page)
@@ -125,9 +140,11 @@ def blocks(page: str | None) -> list[Block]:
 
     def cut(size: int) -> None:
         nonlocal in_link
-        for t, _ in stack[size:]:
-            open_[t] -= 1
+        for t, _ in reversed(stack[size:]):
+            open_[t].pop()
             in_link -= t == "a"
+        while fences and fences[-1] >= size:
+            fences.pop()
         del stack[size:]
 
     while at < end:
@@ -136,9 +153,9 @@ def blocks(page: str | None) -> list[Block]:
             break
         at = start + 1
         if page.startswith("!--", at):
-            stop = tags.find("-->", at + 3)
+            stop = tags.comment(at + 3)
             text(page[begin:start])
-            at = begin = stop + 3 if stop >= 0 else end
+            at = begin = stop if stop >= 0 else end
             continue
         if page[at : at + 1] in ("!", "?"):
             stop = tags.find(">", at)
@@ -155,8 +172,8 @@ def blocks(page: str | None) -> list[Block]:
         if page[start + 1] == "/":
             if tag not in INLINE:
                 close()
-            if open_[tag] > 0:
-                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            if open_[tag]:
+                cut(open_[tag][-1])
             continue
         closed = attributes.rstrip().endswith("/")
         if tag in SKIPPED:
@@ -171,15 +188,15 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in INLINE:
             close()
             over = {"p"} | CLOSES.get(tag, set())
-            if any(open_[t] > 0 for t in over):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in over:
-                        cut(i)
-                    elif stack[i][0] in FENCES:
-                        break
+            fence = fences[-1] if fences else -1
+            inside = [open_[t][bisect(open_[t], fence)] for t in over if open_[t] and open_[t][-1] > fence]
+            if inside:
+                cut(min(inside))
         if tag not in VOID and not closed:
+            open_[tag].append(len(stack))
+            if tag in FENCES:
+                fences.append(len(stack))
             stack.append((tag, names(tag, attributes)))
-            open_[tag] += 1
             in_link += tag == "a"
     text(page[begin:])
     close()
