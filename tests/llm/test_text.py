@@ -251,3 +251,16 @@ def test_html_extract(spark, prose):
     assert got[500].text == "A & B\nFirst para <ok>.\nSecond one."
     assert got[501].text == "" and got[502].text == "" and all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.extract(df.limit(0), model).collect() == []
+
+
+def test_write_shards(spark, make, tmp_path):
+    """Each row lies in the folder of its shard: repeats of one id are spread, columns that clash keep their values."""
+    rows = [(7, "x" * 100)] * 40 + [(i, "y" * (i % 50)) for i in range(200)] + [(None, "z" * 90), (None, None), (999, "w" * 5_000)]
+    table = make(rows).withColumnRenamed("n_chars", "shard").withColumn("__row", F.lit("kept"))
+    name = sharding.write_shards(table, str(tmp_path / "out"), limit=1_000)
+    back = spark.read.option("inferSchema", "false").parquet(str(tmp_path / "out"))
+    assert name not in table.columns and set(back.columns) == {*table.columns, name}
+    assert sorted(map(repr, back.select(table.columns).collect())) == sorted(map(repr, table.collect()))
+    sizes = back.groupBy(name).agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"), F.count("*").alias("n")).collect()
+    assert all(r["size"] <= 1_000 or r.n == 1 for r in sizes) and len([r for r in sizes if r["size"] > 1_000]) == 1
+    assert back.where("doc_id = 7").select(name).distinct().count() >= 4
