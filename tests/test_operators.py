@@ -169,3 +169,50 @@ def test_csv_versions(spark, tmp_path):
         formats.read_csv(spark, str(tmp_path / "t"), df.schema, {"v": "3"})
     with pytest.raises(formats.SchemaMismatch):
         formats.read_csv(spark, str(tmp_path / "t"), df.select("x", "v", "b").schema)
+
+
+@pytest.mark.parametrize("bucket", [7, 100_000])
+def test_gate_latches_like_a_loop(spark, monkeypatch, bucket):
+    from collections import deque
+
+    from tidemark.operators import ordered
+
+    monkeypatch.setattr(ordered, "BUCKET", bucket)
+    rng, rows, want = random.Random(8), [], {}
+    for key, chances in (("quiet", (0.02, 0.02)), ("errors", (0.5, 0.1)), ("blocks", (0.02, 0.6)), ("killed", (0.1, 0.2))):
+        window, recorded, errors, off, killed = deque(maxlen=50), {}, 0, None, False
+        for i in range(160):
+            r = {"coin": key, "t": i, "ticker": rng.randrange(120), "failed": rng.random() < chances[0], "late": rng.random() < 0.1, "killed": key == "killed" and i in (90, 95)}
+            r["decision"] = "WOULD_BLOCK" if rng.random() < chances[1] else rng.choice(["ALLOW"] * 8 + ["UNAVAILABLE", "NOT_APPLICABLE"])
+            rows.append(r)
+            killed |= r["killed"]
+            if killed or off:
+                want[key, i] = ("INACTIVE", "KILLED" if killed else "BREAKER_" + off)
+                continue
+            if r["ticker"] in recorded:
+                kind = recorded[r["ticker"]]
+                want[key, i] = ({"BLOCK": "SUPPRESS", "OPEN": "PASS_OPEN"}.get(kind, "PASS"), "REPLAY_" + kind)
+                continue
+            if r["failed"]:
+                errors += 1
+                want[key, i] = ("PASS_OPEN", "INTERNAL")
+                off = "ERRORS" if errors >= 3 else None
+                continue
+            if r["decision"] == "NOT_APPLICABLE":
+                want[key, i] = ("PASS", "NOT_APPLICABLE")
+                continue
+            kind = {"WOULD_BLOCK": "BLOCK", "UNAVAILABLE": "OPEN"}.get(r["decision"], "ALLOW")
+            reason = "UNAVAILABLE" if kind == "OPEN" else kind
+            if kind != "OPEN":
+                errors = 0
+                if r["late"]:
+                    errors, kind, reason = 1, "OPEN", "TIMEOUT"
+            recorded[r["ticker"]] = kind
+            window.append(kind)
+            want[key, i] = ({"BLOCK": "SUPPRESS", "OPEN": "PASS_OPEN"}.get(kind, "PASS"), reason)
+            if len(window) >= 30:
+                share = {k: window.count(k) / len(window) for k in ("BLOCK", "OPEN")}
+                off = "BLOCK_RATE" if share["BLOCK"] > 0.35 else "OPEN_RATE" if share["OPEN"] > 0.5 else None
+    table = spark.createDataFrame([tuple(r.values()) for r in rows], "coin string, t int, ticker int, failed boolean, late boolean, killed boolean, decision string")
+    got = {(r.coin, r.t): (r.action, r.reason) for r in policy.gate_run(table, "coin", ["t"]).collect()}
+    assert got == want and {"KILLED", "BREAKER_ERRORS", "BREAKER_BLOCK_RATE", "TIMEOUT", "REPLAY_BLOCK"} <= {x[1] for x in got.values()}

@@ -197,3 +197,50 @@ def gate_replay(rows: DataFrame, key: str, order: list[str], window: int = C.GAT
     latched = F.coalesce(F.col("i") > F.col("tripped"), F.lit(False))
     action = F.when(latched, "PASS_LATCHED").when(F.col("decision") == "WOULD_BLOCK", "SUPPRESS").when(F.col("decision") == "UNAVAILABLE", "PASS_OPEN").otherwise("PASS")
     return staged.withColumn("latched", latched).withColumn("action", action).drop("i", "tripped")
+
+
+def gate_run(rows: DataFrame, key: str, order: list[str], window: int = C.GATE_WINDOW) -> DataFrame:
+    """The suppress-only gate with its latches, over the signals of each key in order: adds errors, action, reason.
+
+    Needs ``ticker``, ``decision`` and three booleans: ``failed`` (the gate raised), ``late`` (over its time budget: a block
+    or pass counts as not scored) and ``killed`` (the kill switch was seen).  Of a ticker the first decision that was
+    recorded stands for its later signals (REPLAY).  Three errors with no block or pass between them, too many blocks or
+    too many unscored in the last ``window`` recorded decisions trip the breaker; from the next signal on, and from the
+    kill switch on, the gate is INACTIVE.  Counters are linear recurrences over buckets, so no key is one task.
+    """
+    c = F.col
+    placed = written(scans.numbered(rows, [key], order))
+    scored = ~c("failed") & (c("decision") != "NOT_APPLICABLE")
+    first = placed.where(scored).groupBy(key, "ticker").agg(F.min("i").alias("first_i"))
+    placed = placed.join(first, [key, "ticker"], "left").withColumn("again", F.coalesce(c("i") > c("first_i"), F.lit(False)))
+    passed = c("decision").isin("ALLOW", "WOULD_BLOCK")
+    open_ = c("late") & passed | (c("decision") == "UNAVAILABLE")
+    outcome = F.when(c("again"), "REPLAY").when(c("failed"), "ERROR").when(~scored, "NOT_APPLICABLE").when(open_, "OPEN").when(c("decision") == "WOULD_BLOCK", "BLOCK").otherwise("ALLOW")
+    rows_in = written(placed.withColumn("outcome", outcome))
+    # errors in a row: x -> x + 1 for an error, 0 for a block or pass (1 if it was late), else unchanged
+    settles = ~c("again") & ~c("failed") & passed
+    steps = rows_in.withColumn("__a", F.when(settles, 0.0).otherwise(1.0)).withColumn("errors", F.when(settles & c("late") | (c("outcome") == "ERROR"), 1.0).otherwise(0.0))
+    counted = written(scans.linear_scan(steps, [key], "__a", ["errors"]).drop("__a", "bucket"))
+    # shares among the last recorded decisions
+    kept = counted.where(c("outcome").isin("ALLOW", "BLOCK", "OPEN")).select(key, "i", "outcome")
+    near = scans.with_halo(scans.numbered(kept.withColumnRenamed("i", "at"), [key], ["at"]), window - 1)
+    recent = Window.partitionBy(key, "bucket").orderBy("i").rowsBetween(-(window - 1), 0)
+    n, blocks, opened = F.count("*").over(recent), F.count_if(c("outcome") == "BLOCK").over(recent), F.count_if(c("outcome") == "OPEN").over(recent)
+    why = F.when(n >= C.GATE_MIN, F.when(blocks > C.GATE_MAX_BLOCK * n, "BLOCK_RATE").when(opened > C.GATE_MAX_OPEN * n, "OPEN_RATE"))
+    rates = near.withColumn("why", why).where(~c("in_halo")).where("why IS NOT NULL").select(key, F.struct(c("at").alias("i"), "why").alias("trip"))
+    errors = counted.where((c("outcome") == "ERROR") & (c("errors") >= C.GATE_ERRORS)).select(key, F.struct("i", F.lit("ERRORS").alias("why")).alias("trip"))
+    # one row for each key
+    trips = rates.unionByName(errors).groupBy(key).agg(F.min("trip").alias("trip")).select(key, c("trip.i").alias("tripped"), c("trip.why").alias("breaker"))
+    kills = counted.where("killed").groupBy(key).agg(F.min("i").alias("kill_i"))
+    prior = counted.where("i = first_i").select(key, "ticker", c("outcome").alias("stood"))
+    found = counted.join(trips, key, "left").join(kills, key, "left").join(prior, [key, "ticker"], "left")
+    killed, latched = F.coalesce(c("i") >= c("kill_i"), F.lit(False)), F.coalesce(c("i") > c("tripped"), F.lit(False))
+    seen = F.when(c("outcome") == "REPLAY", c("stood")).otherwise(c("outcome"))
+    action = F.when(killed | latched, "INACTIVE").when(seen == "BLOCK", "SUPPRESS").when(seen.isin("OPEN", "ERROR"), "PASS_OPEN").otherwise("PASS")
+    late = c("late") & passed & (c("outcome") == "OPEN")
+    reason = (
+        F.when(killed, "KILLED").when(latched, F.concat(F.lit("BREAKER_"), "breaker")).when(c("outcome") == "REPLAY", F.concat(F.lit("REPLAY_"), "stood"))
+        .when(c("outcome") == "ERROR", "INTERNAL").when(late, "TIMEOUT").when(c("outcome") == "OPEN", "UNAVAILABLE").otherwise(c("outcome"))
+    )
+    out = found.withColumns({"errors": c("errors").cast("long"), "action": action, "reason": reason})
+    return out.select(*[x for x in rows.columns if x != "reason"], "errors", "action", "reason")

@@ -156,6 +156,16 @@ def gate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("coin", "ticker", "decision", F.round("block_share", 5).alias("block_share"), F.round("open_share", 5).alias("open_share"), "latched", "action")
 
 
+def gate_latches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with its error breaker, kill switch and replays; every fourth market signals twice, one coin's gate is often broken."""
+    rows = scored(spark, sf_dir).select("coin", "ticker", "us", "row_id", "decision")
+    rows = rows.withColumn("nth", F.explode(F.when(F.col("row_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    mark = F.col("row_id") * 2 + F.col("nth")
+    failed = F.when(F.col("coin") == "SOL", mark % 4 == 1).otherwise(mark % 34 == 1)
+    rows = rows.withColumns({"us": F.col("us") + F.col("nth") * 60_000_000, "failed": failed, "late": mark % 13 == 0, "killed": (F.col("coin") == "XRP") & (mark % 50 == 7)})
+    return P.gate_run(rows, "coin", ["us", "ticker", "nth"]).select("coin", "ticker", "nth", "decision", "failed", "late", "errors", "action", "reason")
+
+
 def journal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends today's decisions to a journal that already has some: one row per (policy, ticker), the first one stays."""
     rows = scored(spark, sf_dir).select(F.lit(POLICY.name).alias("policy"), "ticker", "us", "decision")
@@ -195,7 +205,7 @@ def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (frozen_score, threshold_grid, threshold_metrics, settlement_metrics, pnl_metrics, subgroups, block_shift, overlay, overlay_metrics, alpha_screen, gate_replay, journal_dedup, policy_applicability, call_dedup, symbol_resolution)
+    own = (frozen_score, threshold_grid, threshold_metrics, settlement_metrics, pnl_metrics, subgroups, block_shift, overlay, overlay_metrics, alpha_screen, gate_replay, gate_latches, journal_dedup, policy_applicability, call_dedup, symbol_resolution)
     return {f.__name__: f for f in own}
 
 
@@ -269,6 +279,22 @@ def oracle_sql() -> dict[str, str]:
         "gate_replay": base + f""", counted AS (SELECT *, count(*) OVER w AS k, count(*) FILTER (decision = 'WOULD_BLOCK') OVER w AS b, count(*) FILTER (decision = 'UNAVAILABLE') OVER w AS o FROM scored WINDOW w AS (PARTITION BY coin ORDER BY us, ticker ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
             latch AS (SELECT *, coalesce(bool_or(k >= 30 AND (b > 0.35::DOUBLE * k OR o > 0.50::DOUBLE * k)) OVER (PARTITION BY coin ORDER BY us, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS latched FROM counted)
             SELECT coin, ticker, decision, round(b / k, 5) AS block_share, round(o / k, 5) AS open_share, latched, CASE WHEN latched THEN 'PASS_LATCHED' WHEN decision = 'WOULD_BLOCK' THEN 'SUPPRESS' WHEN decision = 'UNAVAILABLE' THEN 'PASS_OPEN' ELSE 'PASS' END AS action FROM latch""",
+        "gate_latches": base + """, twice AS (SELECT coin, ticker, us + nth * 60000000 AS us, row_id * 2 + nth AS mark, nth, decision FROM scored, (SELECT unnest([0, 1])::INT AS nth) WHERE nth = 0 OR row_id % 4 = 0),
+            flagged AS (SELECT *, CASE coin WHEN 'SOL' THEN mark % 4 = 1 ELSE mark % 34 = 1 END AS failed, mark % 13 = 0 AS late, coin = 'XRP' AND mark % 50 = 7 AS killed FROM twice),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY us, ticker, nth) AS i FROM flagged),
+            firsts AS (SELECT coin, ticker, min(i) FILTER (NOT failed) AS first_i FROM placed GROUP BY ALL),
+            judged AS (SELECT *, CASE WHEN coalesce(i > first_i, false) THEN 'REPLAY' WHEN failed THEN 'ERROR' WHEN late AND decision IN ('ALLOW', 'WOULD_BLOCK') OR decision = 'UNAVAILABLE' THEN 'OPEN' WHEN decision = 'WOULD_BLOCK' THEN 'BLOCK' ELSE 'ALLOW' END AS outcome FROM placed JOIN firsts USING (coin, ticker)),
+            spans AS (SELECT *, outcome <> 'REPLAY' AND NOT failed AND decision IN ('ALLOW', 'WOULD_BLOCK') AS settles FROM judged),
+            numbered AS (SELECT *, sum(settles::INT) OVER (PARTITION BY coin ORDER BY i) AS span FROM spans),
+            counted AS (SELECT *, (sum((outcome = 'ERROR')::INT) OVER w + max((settles AND late)::INT) OVER w)::BIGINT AS errors FROM numbered WINDOW w AS (PARTITION BY coin, span ORDER BY i)),
+            rated AS (SELECT coin, i, count(*) OVER w AS n, count(*) FILTER (outcome = 'BLOCK') OVER w AS b, count(*) FILTER (outcome = 'OPEN') OVER w AS o FROM counted WHERE outcome IN ('ALLOW', 'BLOCK', 'OPEN') WINDOW w AS (PARTITION BY coin ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+            trips AS (SELECT coin, i, CASE WHEN b > 0.35::DOUBLE * n THEN 'BLOCK_RATE' ELSE 'OPEN_RATE' END AS why FROM rated WHERE n >= 30 AND (b > 0.35::DOUBLE * n OR o > 0.50::DOUBLE * n) UNION ALL SELECT coin, i, 'ERRORS' FROM counted WHERE outcome = 'ERROR' AND errors >= 3),
+            latches AS (SELECT coin, min(i) AS tripped, arg_min(why, i) AS breaker FROM trips GROUP BY coin), kills AS (SELECT coin, min(i) AS kill_i FROM counted WHERE killed GROUP BY coin),
+            done AS (SELECT c.*, CASE WHEN outcome = 'REPLAY' THEN (SELECT p.outcome FROM judged p WHERE p.coin = c.coin AND p.i = c.first_i) ELSE outcome END AS seen, coalesce(i >= kill_i, false) AS dead, coalesce(i > tripped, false) AS latched, breaker
+                     FROM counted c LEFT JOIN latches USING (coin) LEFT JOIN kills USING (coin))
+            SELECT coin, ticker, nth, decision, failed, late, errors, CASE WHEN dead OR latched THEN 'INACTIVE' WHEN seen = 'BLOCK' THEN 'SUPPRESS' WHEN seen IN ('OPEN', 'ERROR') THEN 'PASS_OPEN' ELSE 'PASS' END AS action,
+                   CASE WHEN dead THEN 'KILLED' WHEN latched THEN 'BREAKER_' || breaker WHEN outcome = 'REPLAY' THEN 'REPLAY_' || seen WHEN outcome = 'ERROR' THEN 'INTERNAL' WHEN outcome = 'OPEN' AND late AND decision <> 'UNAVAILABLE' THEN 'TIMEOUT' WHEN outcome = 'OPEN' THEN 'UNAVAILABLE' ELSE outcome END AS reason
+            FROM done""",
         "journal_dedup": base + " SELECT 'p1' AS policy, ticker, us, CASE WHEN ticker % 5 = 0 THEN 'JOURNALLED' ELSE decision END AS decision FROM scored",
         "policy_applicability": base + """ SELECT policy, count(coin) AS n, count(DISTINCT coin) AS coins, count(coin) FILTER (decision = 'WOULD_BLOCK') AS blocks
             FROM (VALUES ('p1', 'ALL'), ('p2', 'BTC'), ('p3', 'XRP'), ('p4', 'DOGE')) p(policy, scope) LEFT JOIN scored ON scope = 'ALL' OR scope = coin GROUP BY policy""",
