@@ -20,6 +20,9 @@ REGIME_LOW, REGIME_HIGH, REGIME_EXTREME = 0.5, 1.5, 2.5
 REGIMES = ("LOW", "NORMAL", "HIGH", "EXTREME", "UNKNOWN")
 GAP_Z, PREMIUM_STRESS, SPREAD_RATIO = (1.0, 2.0), (2.5, 4.0), (2.0, 4.0)
 
+#: Rows and age of a coin's history, and how long a re-scale of its contract is flagged.
+HISTORY_ROWS, HISTORY_AGE, RESCALE_FLAG = 600, 1800, 1080
+
 HORIZON_MINUTES = (8, 6, 4, 2)
 HORIZON_EARLY = 10
 ENTRY_MINUTES = (2, 8)

@@ -27,7 +27,9 @@ def _doubles(*names: str) -> str:
 def perp_features(snapshots: DataFrame, scale: int) -> DataFrame:
     """One row per fresh snapshot with a mid: its trailing features, which depend on nothing later."""
     second = scale * SECOND
-    fresh = snapshots.where(F.col("fresh") & F.col("mid").isNotNull()).select("event_id", "coin", "us", "mid", "premium", "spread")
+    # snapshots of different contract sizes have nothing to do with each other
+    series = F.concat_ws("#", "coin", "generation") if "generation" in snapshots.columns else F.col("coin")
+    fresh = snapshots.where(F.col("fresh") & F.col("mid").isNotNull()).select("event_id", series.alias("coin"), "us", "mid", "premium", "spread")
 
     def windows(pdf: pd.DataFrame) -> pd.DataFrame:
         us, mid, premium = pdf["us"].to_numpy(), pdf["mid"].to_numpy(), pdf["premium"].to_numpy(float)
@@ -107,6 +109,8 @@ def causal_features(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataF
         F.col("match.event_id").alias("snapshot_id"), F.col("match.us").alias("snapshot_us"),
         F.col("match.source_status").alias("source_status"), F.col("match.index_age_s").alias("index_age_s"),
         F.col("match.mid").isNotNull().alias("has_mid"), F.col("match.index_price").isNotNull().alias("has_index"),
+        F.col("match.changed_us").alias("changed_us") if "changed_us" in snapshots.columns else F.lit(None).cast("long").alias("changed_us"),
+        F.col("drops") if "drops" in spots.columns else F.lit(None).cast("long").alias("drops"),
         of("funding_rate").alias("funding_rate"),
         r4(of("spread")).alias("spread"), r4(of("premium")).alias("premium"),
         r4(M.premium_bps(of("mark"), of("index_price"))).alias("mark_premium"), r4(M.premium_bps(of("last_price"), of("index_price"))).alias("last_premium"),
@@ -131,7 +135,7 @@ def causal_features(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataF
     scaled["ready"] = F.col("binary_ok") & F.col("pair_ok") & F.col("perp_ok") & F.col("has_mid") & F.col("has_index")
     rows = rows.withColumns(scaled)
     state, reasons = M.stability(F.col("ready"), F.col("vol_regime"), F.col("gap_z_60"), F.col("premium_stress"), F.col("spread_ratio"))
-    return rows.withColumns({"stability": state, "reasons": reasons}).withColumn("flags", flags(scale))
+    return rows.withColumns({"stability": state, "reasons": reasons}).withColumn("flags", flags(scale)).drop("changed_us", "drops")
 
 
 def latest_rows(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataFrame:
@@ -153,7 +157,7 @@ def latest_rows(spots: DataFrame, snapshots: DataFrame, scale: int) -> DataFrame
 
 
 def flags(scale: int) -> F.Column:
-    """Quality flags in a fixed order, joined by ;.  Those of contract re-scales and dropped cycles need a live feed."""
+    """Quality flags in a fixed order, joined by ;."""
     c = F.col
     source_down = c("source_status").isin("error", "unavailable", "disabled")
     stale = c("pair_ok") & ~source_down & ~c("perp_ok")
@@ -171,6 +175,7 @@ def flags(scale: int) -> F.Column:
         ("INDEX_STALE", stale & (index_age > C.STALE * scale * SECOND)),
         ("NO_TWO_SIDED_BOOK", c("pair_ok") & ~source_down & ~c("has_mid")),
         ("MISSING_INDEX", c("pair_ok") & ~source_down & ~c("has_index")),
+        ("CONTRACT_SCALE_CHANGED", c("us") - c("changed_us") <= C.RESCALE_FLAG * scale * SECOND),
         ("INSUFFICIENT_SPREAD_BASELINE", c("perp_ok") & c("spread").isNotNull() & c("spread_median").isNull()),
         ("INSUFFICIENT_5M_HISTORY", short["5m"]),
         ("PREMIUM_ZERO_VARIANCE", flat["5m"]),
@@ -181,5 +186,6 @@ def flags(scale: int) -> F.Column:
         ("RV_INSUFFICIENT", (c("perp_ok") & (c("perp_rv_60").isNull() | c("perp_rv_300").isNull() | c("perp_rv_900").isNull()))
          | c("spot_rv_60").isNull() | c("spot_rv_300").isNull() | c("spot_rv_900").isNull()),
         ("VOL_NORM_DENOMINATOR_TOO_SMALL", F.coalesce(c("perp_rv_300") < C.MIN_VOL_BPS, F.lit(False)) | F.coalesce(c("spot_rv_300") < C.MIN_VOL_BPS, F.lit(False))),
+        ("QUEUE_DROPS_SINCE_PREV", c("drops") > 0),
     ]
     return F.concat_ws(";", *(F.when(test, name) for name, test in found))

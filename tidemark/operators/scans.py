@@ -206,3 +206,23 @@ def percentiles(rows: DataFrame, by: list[str], columns: Sequence[str], at: Sequ
     part = lambda q: q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1))
     values = [F.col(f"__low{k}") + part(q) * (F.col(f"__high{k}") - F.col(f"__low{k}")) for k, q in enumerate(at)]
     return found.select(*key, "n", F.array(*values).alias("q"))
+
+
+def running(rows: DataFrame, by: list[str], value: Column, name: str, how: str = "max") -> DataFrame:
+    """Adds the greatest ``value`` (or the sum) of the rows of the group before each one; null (0) before the first.
+
+    Rows are numbered and in buckets; values may be structs, so the latest of something is the greatest (i, something).
+    """
+    combine = {"max": lambda a, b: F.greatest(a, b), "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}[how]
+    total = {"max": F.max, "sum": F.sum}[how]
+    placed = written(rows.withColumn("__value", value))
+    state, reach = written(placed.groupBy(*by, "bucket").agg(total("__value").alias("__sum"))), 1
+    last = state.agg(F.max("bucket")).first()[0] or 0
+    while reach <= last:
+        before = state.select(*by, (F.col("bucket") + reach).alias("bucket"), F.col("__sum").alias("__before"))
+        state = written(state.join(before, [*by, "bucket"], "left").select(*by, "bucket", combine(F.col("__sum"), F.col("__before")).alias("__sum")))
+        reach *= 2
+    entering = state.select(*by, (F.col("bucket") + 1).alias("bucket"), F.col("__sum").alias("__entering"))
+    w = Window.partitionBy(*by, "bucket").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("__inside", total("__value").over(w)).join(entering, [*by, "bucket"], "left")
+    return inside.withColumn(name, combine(F.col("__inside"), F.col("__entering"))).drop("__value", "__inside", "__entering")
