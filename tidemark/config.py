@@ -46,6 +46,8 @@ VOL_LOOKBACK, VOL_MIN, VOL_MULT = 60, 20, 1.15
 STOPS = {"BTC": 0.75, "ETH": 0.60, "SOL": 0.75, "XRP": 0.65}
 MARKET_SECONDS = 900
 SETTLE_WAIT, SETTLE_GIVE_UP = 20, 1800
+#: A call is made at most a market's length before its close.
+SETTLE_REACH = MARKET_SECONDS + SETTLE_GIVE_UP
 GATE_WINDOW, GATE_MIN, GATE_MAX_BLOCK, GATE_MAX_OPEN, GATE_ERRORS = 50, 30, 0.35, 0.50, 3
 
 #: Seconds of the events table to a second of market time: its smallest useful table is about a thousand times sparser than

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
@@ -167,3 +167,25 @@ def settle(calls: DataFrame) -> DataFrame:
         per.alias("per_contract"),
         F.round(per * F.col("contracts"), 1).alias("pnl"),
     )
+
+
+def outcome_of(result: Column) -> Column:
+    """1 for yes, 0 for no, whatever the case and the space around it; null for anything else."""
+    text = F.lower(F.trim(result))
+    return F.when(text == "yes", 1).when(text == "no", 0)
+
+
+def pending(calls: DataFrame, results: DataFrame, as_of_us: int) -> DataFrame:
+    """What has become of each call (ticker, close_us) by a time: status, up, settled_us.
+
+    The result of a market is asked for from SETTLE_WAIT seconds after its close on (WAITING before that); the first final
+    one seen by then, up to SETTLE_GIVE_UP seconds after the close, settles the call, and a call without one is PENDING
+    until that time and then GAVE_UP.  ``results`` are (ticker, seen_us, result), as often as they were seen.
+    """
+    final = results.withColumn("up", outcome_of(F.col("result"))).where(F.col("up").isNotNull() & (F.col("seen_us") <= as_of_us))
+    first = final.groupBy("ticker").agg(F.min(F.struct("seen_us", "up")).alias("first"))
+    rows = calls.join(first, "ticker", "left")
+    opens, ends = F.col("close_us") + C.SETTLE_WAIT * 1_000_000, F.col("close_us") + C.SETTLE_GIVE_UP * 1_000_000
+    good = F.coalesce(F.col("first.seen_us") <= ends, F.lit(False)) & (opens <= as_of_us)
+    status = F.when(opens > as_of_us, "WAITING").when(good, "SETTLED").when(ends < as_of_us, "GAVE_UP").otherwise("PENDING")
+    return rows.select(*calls.columns, status.alias("status"), F.when(good, F.col("first.up")).alias("up"), F.when(good, F.greatest(F.col("first.seen_us"), opens)).alias("settled_us"))

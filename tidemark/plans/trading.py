@@ -142,8 +142,18 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+def pending_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has become of each call by the middle of its market's minute-by-minute results; a third of them are seen twice."""
+    made = calls(spark, sf_dir).select("ticker", "coin", "close_us", "up")
+    seen = made.withColumn("nth", F.explode(F.when(F.col("ticker") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    at = F.col("close_us") + (F.col("ticker") % 45 - 2 + 5 * F.col("nth")) * 60 * V.SECOND
+    text = F.when(F.col("up") == 1, F.when(F.col("ticker") % 2 == 0, "yes").otherwise(" YES ")).when(F.col("up") == 0, "no").otherwise("void")
+    results = seen.select("ticker", at.alias("seen_us"), text.alias("result"))
+    return T.pending(made.drop("up"), results, AS_OF_US)
+
+
 def queries() -> dict:
-    own = (settle_calls, fees_and_sizing, call_record, live_stats, week_stats, weekly_report, side_report, candles, indicators, rsi, market_eval, backtest_trades, backtest_summary)
+    own = (pending_calls, settle_calls, fees_and_sizing, call_record, live_stats, week_stats, weekly_report, side_report, candles, indicators, rsi, market_eval, backtest_trades, backtest_summary)
     return {f.__name__: f for f in own}
 
 
@@ -209,6 +219,12 @@ def oracle_sql() -> dict[str, str]:
     weekday = "((close_us // 86400000000) + 3) % 7"
     return {
         "settle_calls": obs + SETTLED_SQL + " SELECT ticker, coin, side, entry, stop, contracts, maker, bid_lo, ask_lo, ask_hi, quotes, exit_reason, exit_price, win, per_contract, pnl FROM done",
+        "pending_calls": obs + CALLS_SQL + f""", seen AS (SELECT ticker, close_us + (ticker % 45 - 2 + 5 * nth) * 60000000 AS seen_us, CASE WHEN up = 1 THEN 'yes' WHEN up = 0 THEN 'no' ELSE 'void' END AS result
+                FROM calls, (SELECT unnest([0, 1])::INT AS nth) WHERE nth = 0 OR ticker % 3 = 0),
+            finals AS (SELECT ticker, min(seen_us) AS seen_us, arg_min(CASE result WHEN 'yes' THEN 1 ELSE 0 END, seen_us) AS final FROM seen WHERE result IN ('yes', 'no') AND seen_us <= {AS_OF_US} GROUP BY ticker),
+            matched AS (SELECT c.ticker, coin, close_us, seen_us, final, close_us + {C.SETTLE_WAIT * V.SECOND} AS opens, close_us + {C.SETTLE_GIVE_UP * V.SECOND} AS ends FROM calls c LEFT JOIN finals USING (ticker)),
+            judged AS (SELECT *, coalesce(seen_us <= ends, false) AND opens <= {AS_OF_US} AS good FROM matched)
+            SELECT ticker, coin, close_us, CASE WHEN opens > {AS_OF_US} THEN 'WAITING' WHEN good THEN 'SETTLED' WHEN ends < {AS_OF_US} THEN 'GAVE_UP' ELSE 'PENDING' END AS status, CASE WHEN good THEN final END AS up, CASE WHEN good THEN greatest(seen_us, opens) END AS settled_us FROM judged""",
         "fees_and_sizing": obs + CALLS_SQL + f""" SELECT ticker, round({_fee("entry", "contracts")}, 2) AS fee, round(fr, 6) AS fraction, floor(round(fr * 1000 / (entry / 100), 6))::INT AS size, round(conf - entry, 4) AS raw_edge, round(conf - entry - 2, 4) AS net_edge
             FROM (SELECT *, CASE WHEN conf - entry - 2 > 0 AND ((conf - 2) / 100 - entry / 100) / (1 - entry / 100) > 0 THEN least(((conf - 2) / 100 - entry / 100) / (1 - entry / 100) / 4, 0.05::DOUBLE) ELSE 0 END AS fr FROM (SELECT *, greatest(p, 1 - p) * 100 AS conf FROM calls))""",
         "call_record": obs + SETTLED_SQL + f", recorded AS ({both}) " + _record_sql("grp"),
