@@ -59,14 +59,14 @@ def test_pages_of_a_template_make_no_pairs(spark, make, monkeypatch):
     """Crowded fingerprints of texts that are not alike: candidates of the exact join do not grow with the square."""
     monkeypatch.setattr(near_copies, "BLOCK", 8)
     made = {}
-    keep = near_copies.prefix_pairs
+    keep = near_copies._meetings
 
-    def counted(tokens, similarity):
-        found = keep(tokens, similarity)
-        made["pairs"], made["nodes"] = found.count(), tokens.select("node").distinct().count()
+    def counted(rows, share):
+        found = keep(rows, share)
+        made["pairs"] = found.count()
         return found
 
-    monkeypatch.setattr(near_copies, "prefix_pairs", counted)
+    monkeypatch.setattr(near_copies, "_meetings", counted)
     texts = pages(60, 290, 110)
     texts += [texts[7].replace("p7_30", "other"), texts[9].replace("p9_40", "other")]
     kept = {r.doc_id for r in simhash_dedup.drop_near_duplicates(make(texts)).collect()}
@@ -81,8 +81,34 @@ def test_prefix_filter_loses_no_pair(spark):
         texts += [" ".join(base[: n + 4 - k]) for k in range(0, n // 2, max(1, n // 20))]
         texts += [" ".join([*base[:i], "z", *base[i + 1 :]]) for i in rng.sample(range(n), 5)]
     texts += pages(12, 290, 30, 2)
+    base = [f"c{i}" for i in range(90)]  # copies of one text, changed at one or two places each
+    for _ in range(60):
+        copy = list(base)
+        for i in rng.sample(range(90), rng.choice((1, 2, 2, 3))):
+            copy[i] = f"{copy[i]}x"
+        texts.append(" ".join(copy))
     nodes = [(str(i).zfill(4).encode(), t) for i, t in enumerate(texts)]
     table = spark.createDataFrame(nodes, "node binary, text string")
-    found = near_copies.ordered_links(table.selectExpr("node", "node AS label"), table, 5, 0.8).collect()
-    got = {tuple(sorted((int(bytes(r.a)), int(bytes(r.b))))) for r in found}
-    assert got == {(j, i) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8 - 1e-12} and len(got) > 50
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def tie(i, j):
+        x, y = sorted((find(i), find(j)))
+        root[y] = x
+
+    for i, t in enumerate(texts):
+        for j in range(i):
+            if similarity(t, texts[j]) >= 0.8 - 1e-12:
+                tie(i, j)
+    want = [find(i) for i in range(len(texts))]
+    root[:] = range(len(texts))
+    found = near_copies.crowded_links(table.selectExpr("substr(node, 1, 1) AS key", "node", "node AS label"), table, 5, 0.8).collect()
+    for r in found:
+        i, j = int(bytes(r.a)), int(bytes(r.b))
+        assert similarity(texts[i], texts[j]) >= 0.8 - 1e-12
+        tie(i, j)
+    assert [find(i) for i in range(len(texts))] == want and len(set(want)) < len(texts) - 40
