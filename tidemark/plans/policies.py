@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.functions import market as M
 from tidemark.operators import cohorts, metrics as X
+from tidemark.operators import documents as D
 from tidemark.operators import policy as P
 from tidemark.operators.groups import each_and_all, overall_and_by, share, with_percentiles
 from tidemark.plans.evaluation import BRIER, LOGLOSS, SIGNAL_SQL, observed
@@ -166,6 +167,23 @@ def gate_latches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.gate_run(rows, "coin", ["us", "ticker", "nth"]).select("coin", "ticker", "nth", "decision", "failed", "late", "errors", "action", "reason")
 
 
+#: The reports of the stand-in policies look at signals between these times.
+REPORT_US = (757382400 * V.SECOND, 851990400 * V.SECOND)
+
+
+def journal_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy for each coin: do the journal's first signals bear the hash and threshold of the policy, and are they as many as reported?"""
+    signals = observed(spark, sf_dir).where("signal")
+    i = F.col("row_id")
+    own = F.when(i % 29 == 0, "other").otherwise(F.concat(F.lit("hash-"), "coin"))
+    journal = signals.select(F.col("coin").alias("policy"), "ticker", F.when(i % 37 != 0, F.col("us")).alias("us"), own.alias("hash"), F.when(i % 31 != 0, F.lit(POLICY.threshold)).alias("threshold"))
+    journal = journal.distinct()
+    low, high = REPORT_US
+    policies = journal.groupBy("policy").agg(F.count_distinct("ticker").alias("reported"))
+    policies = policies.select("policy", F.concat(F.lit("hash-"), "policy").alias("hash"), F.lit(POLICY.threshold).alias("threshold"), F.lit(low).alias("cutoff_us"), F.lit(high).alias("last_us"), "reported")
+    return D.journal_binding(journal, policies)
+
+
 def journal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends today's decisions to a journal that already has some: one row per (policy, ticker), the first one stays."""
     rows = scored(spark, sf_dir).select(F.lit(POLICY.name).alias("policy"), "ticker", "us", "decision")
@@ -205,7 +223,7 @@ def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (frozen_score, threshold_grid, threshold_metrics, settlement_metrics, pnl_metrics, subgroups, block_shift, overlay, overlay_metrics, alpha_screen, gate_replay, gate_latches, journal_dedup, policy_applicability, call_dedup, symbol_resolution)
+    own = (frozen_score, threshold_grid, threshold_metrics, settlement_metrics, pnl_metrics, subgroups, block_shift, overlay, overlay_metrics, alpha_screen, gate_replay, gate_latches, journal_binding, journal_dedup, policy_applicability, call_dedup, symbol_resolution)
     return {f.__name__: f for f in own}
 
 
@@ -295,6 +313,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT coin, ticker, nth, decision, failed, late, errors, CASE WHEN dead OR latched THEN 'INACTIVE' WHEN seen = 'BLOCK' THEN 'SUPPRESS' WHEN seen IN ('OPEN', 'ERROR') THEN 'PASS_OPEN' ELSE 'PASS' END AS action,
                    CASE WHEN dead THEN 'KILLED' WHEN latched THEN 'BREAKER_' || breaker WHEN outcome = 'REPLAY' THEN 'REPLAY_' || seen WHEN outcome = 'ERROR' THEN 'INTERNAL' WHEN outcome = 'OPEN' AND late AND decision <> 'UNAVAILABLE' THEN 'TIMEOUT' WHEN outcome = 'OPEN' THEN 'UNAVAILABLE' ELSE outcome END AS reason
             FROM done""",
+        "journal_binding": "WITH " + ", ".join([V.SQL["markets"], V.SQL["observations"]]) + f""", journal AS (
+                SELECT DISTINCT coin AS policy, ticker, CASE WHEN row_id % 37 <> 0 THEN us END AS us, CASE WHEN row_id % 29 = 0 THEN 'other' ELSE 'hash-' || coin END AS hash, CASE WHEN row_id % 31 <> 0 THEN {POLICY.threshold}::DOUBLE END AS threshold FROM observations WHERE signal),
+            first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY policy, ticker ORDER BY coalesce(us, 0), us NULLS FIRST, hash, threshold NULLS FIRST) AS k FROM journal) WHERE k = 1),
+            used AS (SELECT *, hash <> 'hash-' || policy AS bad, threshold IS NULL OR abs(threshold - ({POLICY.threshold}::DOUBLE)) > 1e-12 AS off FROM first WHERE us > {REPORT_US[0]} AND us <= {REPORT_US[1]}),
+            sums AS (SELECT policy, count(*) AS used, count(*) FILTER (bad) AS bad_hash, count(*) FILTER (off) AS bad_threshold, sum(('0x' || substr(sha256(ticker || '|' || us || '|' || hash), 1, 12))::BIGINT) AS digest FROM used GROUP BY policy)
+            SELECT policy, coalesce(used, 0) AS used, coalesce(bad_hash, 0) AS bad_hash, coalesce(bad_threshold, 0) AS bad_threshold, coalesce(used, 0) || ':' || coalesce(digest, 0)::HUGEINT AS digest,
+                   concat_ws(';', CASE WHEN coalesce(used, 0) <> reported THEN 'ROWS' END, CASE WHEN bad_hash > 0 THEN 'HASH' END, CASE WHEN bad_threshold > 0 THEN 'THRESHOLD' END) AS problems
+            FROM (SELECT policy, count(DISTINCT ticker) AS reported FROM journal GROUP BY policy) LEFT JOIN sums USING (policy)""",
         "journal_dedup": base + " SELECT 'p1' AS policy, ticker, us, CASE WHEN ticker % 5 = 0 THEN 'JOURNALLED' ELSE decision END AS decision FROM scored",
         "policy_applicability": base + """ SELECT policy, count(coin) AS n, count(DISTINCT coin) AS coins, count(coin) FILTER (decision = 'WOULD_BLOCK') AS blocks
             FROM (VALUES ('p1', 'ALL'), ('p2', 'BTC'), ('p3', 'XRP'), ('p4', 'DOGE')) p(policy, scope) LEFT JOIN scored ON scope = 'ALL' OR scope = coin GROUP BY policy""",

@@ -65,11 +65,18 @@ VIEWS = {
 }
 
 
+def asof_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spot row with the newest snapshot at or before it; nothing but ids, times and states is read or shuffled."""
+    spots, snapshots, scale = inputs(spark, sf_dir)
+    rows = feat.paired(spots.select(*_BASE), snapshots.select(*_BASE, "source_status", "index_age_s"), scale)
+    return rows.select(*_BASE, F.col("match.event_id").alias("snapshot_id"), F.col("match.us").alias("snapshot_us"), "lag_us", "pair_ok", "perp_ok")
+
+
 def queries() -> dict:
     def view(columns: tuple[str, ...]):
         return lambda spark, sf_dir: _shown(features(spark, sf_dir), *columns)
 
-    return {name: view(columns) for name, columns in VIEWS.items()}
+    return {name: view(columns) for name, columns in VIEWS.items()} | {"asof_pair": asof_pair}
 
 
 def oracle_sql() -> dict[str, str]:
