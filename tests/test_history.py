@@ -11,6 +11,7 @@ from tidemark.operators import ordered, trading
 from tidemark.sources import views as V
 from tidemark.streaming import calls as S
 from tidemark.streaming import cycles
+from tidemark.streaming import store as S2
 
 SECOND = V.SECOND
 
@@ -137,3 +138,22 @@ def test_pending_calls_as_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = {r.ticker: (r.status, r.up, None if r.settled is None else int(r.settled.timestamp())) for r in spark.read.parquet(str(tmp_path / "out")).where("ticker > 0").collect()}
     assert got == {k: w for k, _, _, w in cases}
+
+
+def test_store_over_several_batches(spark, tmp_path):
+    rng, rows, want = random.Random(9), [], {}
+    last, held = {}, {}
+    for i in range(240):
+        coin, us = rng.choice(("BTC", "ETH")), i * 10 + rng.choice((0, 0, -25, 3))
+        rows.append((coin, i, us))
+        taken = us > last.get(coin, -1 << 60)
+        last[coin] = max(us, last.get(coin, us))
+        held[coin] = min(50, held.get(coin, 0) + taken)
+        want[i] = (taken, held[coin])
+    schema = "coin string, event_id long, us long"
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 80 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    S2.accepted(stream, str(tmp_path / "out"), 50)
+    got = {r.event_id: (r.taken, r.held) for r in cycles.read(spark, str(tmp_path / "out"), "rows").collect()}
+    assert got == want

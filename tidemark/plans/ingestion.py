@@ -22,7 +22,9 @@ def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = V.table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where("value > 0 AND event_type NOT IN ('view', 'click')")
     ticks = e.select(V.coin_of(F.col("user_id")).alias("coin"), "event_id", V.micros(F.col("ts")).alias("us"))
-    return store.drain(store.accepted(ticks), "store")
+    base = reserved(spark, "store")
+    store.accepted(ticks, base)
+    return cycles.read(spark, base, "rows").drop("batch")
 
 
 #: The stand-in for a contract's size: it changes every 20 days, and some records lack it.

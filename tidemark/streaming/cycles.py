@@ -21,7 +21,7 @@ from tidemark.storage import written
 KINDS = ("causal", "legacy", "counters")
 
 
-def _state(spark: SparkSession, base: str, batch: int, kind: str) -> DataFrame | None:
+def left_by(spark: SparkSession, base: str, batch: int, kind: str) -> DataFrame | None:
     """What the batch before ``batch`` left; none before the first."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/state/batch={batch - 1}/{kind}")
     if batch == 0 or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
@@ -31,7 +31,7 @@ def _state(spark: SparkSession, base: str, batch: int, kind: str) -> DataFrame |
 
 def together(spark: SparkSession, base: str, batch: int, spots: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spots, snapshots admitted and taken or not) of the history and of the batch; ``fresh_tick`` marks the latter."""
-    old_spots, old_snapshots = _state(spark, base, batch, "spots"), _state(spark, base, batch, "snapshots")
+    old_spots, old_snapshots = left_by(spark, base, batch, "spots"), left_by(spark, base, batch, "snapshots")
     spots = spots.withColumn("fresh_tick", F.lit(True))
     new = snapshots.withColumns({"fresh_tick": F.lit(True), "base": F.lit(None).cast("long"), "base_changed_us": F.lit(None).cast("long")})
     if old_spots is not None:
@@ -44,8 +44,8 @@ def together(spark: SparkSession, base: str, batch: int, spots: DataFrame, snaps
 
 def preview(spark: SparkSession, base: str, batch: int, spots: DataFrame, scale: int) -> DataFrame:
     """The causal rows that ``spots`` would get in cycle ``batch`` if no snapshot came with them."""
-    stored = _state(spark, base, batch, "snapshots")
-    old = _state(spark, base, batch, "spots")
+    stored = left_by(spark, base, batch, "snapshots")
+    old = left_by(spark, base, batch, "spots")
     rows = old.withColumn("fresh_tick", F.lit(False)).unionByName(spots.withColumn("fresh_tick", F.lit(True)))
     return H.cycle(rows.drop("fresh_tick"), stored, scale).join(spots.select("event_id"), "event_id", "left_semi")
 

@@ -2,37 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.shipping import ship
-from tidemark.storage import shared_folder
+from tidemark.operators import scans
+from tidemark.storage import shared_folder, written
+from tidemark.streaming import cycles
 
 
-def accepted(ticks: DataFrame, keep: int = 600) -> DataFrame:
-    """Adds to each tick of a stream whether its coin's bounded history takes it, and the history's length then.
+def accepted(stream: DataFrame, base: str, keep: int = 600) -> None:
+    """Runs a stream of ticks (coin, event_id, us) to its end: which each coin's bounded history takes, and its length then.
 
-    A tick is taken if it is later than every one taken before; arrival order is the event id.  State per coin is the
-    last time taken and a length of at most ``keep``.
+    A tick is taken if it is later than every one before it; arrival order is the event id.  Each micro-batch is scanned
+    over buckets of rows, so a coin is no single task; what is carried on is a row a coin.  A batch that runs again
+    writes the same files over.  Rows are read by ``cycles.read`` as "rows".
     """
-    ship(ticks.sparkSession)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (-(1 << 62), 0)
-        rows = pd.concat(list(frames)).sort_values("event_id", kind="stable")
-        before = rows["us"].cummax().shift(fill_value=last).clip(lower=last)
-        rows["taken"] = rows["us"] > before
-        rows["held"] = (held + rows["taken"].cumsum()).clip(upper=keep)
-        state.update((int(max(last, rows["us"].max())), int(rows["held"].iloc[-1])))
-        yield rows[["coin", "event_id", "us", "taken", "held"]]
-
-    return ticks.select("coin", "event_id", "us").groupBy("coin").applyInPandasWithState(
-        step, "coin string, event_id long, us long, taken boolean, held long", "last long, held long", "append", GroupStateTimeout.NoTimeout
-    )
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark, c = batch.sparkSession, F.col
+        rows = written(batch.select("coin", "event_id", "us"))
+        before = cycles.left_by(spark, base, number, "coins")
+        old = before if before is not None else spark.createDataFrame([], "coin string, last long, was long")
+        placed = scans.running(scans.numbered(rows, ["coin"], ["event_id"]), ["coin"], c("us"), "latest").join(old, "coin", "left")
+        taken = F.coalesce(c("us") > F.greatest("latest", "last"), F.lit(True))
+        counted = scans.running(placed.withColumn("taken", taken), ["coin"], c("taken").cast("long"), "n", "sum")
+        held = F.least(F.lit(keep).cast("long"), F.coalesce("was", F.lit(0)) + c("n") + c("taken").cast("long"))
+        out = written(counted.select("coin", "event_id", "us", "taken", held.alias("held")))
+        out.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        now = out.groupBy("coin").agg(F.max("us").alias("last"), F.max_by("held", "event_id").alias("was"))
+        now.unionByName(old).groupBy("coin").agg(F.max("last").alias("last"), F.max("was").alias("was")).write.mode("overwrite").parquet(f"{base}/state/batch={number}/coins")
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
