@@ -162,15 +162,28 @@ def nested_design(rows: DataFrame, by: list[str], control: str, feature: str, re
     return written(ready.select(*by, "fold", "is_test", "ticker", F.col("up").cast("double").alias("y"), "base_logit", "zc", "zf", product.alias("zp"), reliability.alias("reliability")))
 
 
-def out_of_fold(design: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(predictions pa, pb, pc of test rows, coefficients of each fold's models A, B and C)."""
+#: Of an interaction: B holds base, control, feature, modifier and control x modifier, C the product of feature and modifier too.
+CROSSED = {"b": ["base_logit", "zc", "zf", "zm", "zcm"], "c": ["base_logit", "zc", "zf", "zm", "zcm", "zfm"]}
+
+
+def crossed_design(rows: DataFrame, by: list[str], control: str, feature: str, modifier: str) -> DataFrame:
+    """Rows of the models of an interaction; values are standardised within each coin by the training rows of the fold."""
+    need = [control, feature, modifier, "base_logit"]
+    folds = written(fold_rows(rows.dropna(subset=need), by))
+    scalers = fit_scalers(folds.where(~F.col("is_test")), [*by, "fold", "coin"], need[:3])
+    ready = folds.join(scalers, [*by, "fold", "coin"]).withColumns({"zc": standardized(control), "zf": standardized(feature), "zm": standardized(modifier)})
+    return written(ready.select(*by, "fold", "is_test", "ticker", F.col("up").cast("double").alias("y"), "base_logit", "zc", "zf", "zm", (F.col("zc") * F.col("zm")).alias("zcm"), (F.col("zf") * F.col("zm")).alias("zfm")))
+
+
+def out_of_fold(design: DataFrame, by: list[str], models: dict[str, list[str]] = NESTED) -> tuple[DataFrame, DataFrame]:
+    """(predictions of test rows by each model, pa, pb and so on; coefficients of each fold's models)."""
     keys = [*by, "fold"]
     train = design.where(~F.col("is_test"))
     enough = train.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("ones")).where((F.col("n") >= C.MIN_TRAIN) & (F.col("ones") > 0) & (F.col("ones") < F.col("n")))
-    fits = logistic_fits(train.join(F.broadcast(enough.select(*keys)), keys, "left_semi"), keys, NESTED)
-    betas = coefficients(design, fits, keys, list(NESTED))
+    fits = logistic_fits(train.join(F.broadcast(enough.select(*keys)), keys, "left_semi"), keys, models)
+    betas = coefficients(design, fits, keys, list(models))
     test = design.where("is_test").join(F.broadcast(betas), keys)
-    return test.select(*keys, "ticker", "y", *[_sigmoid(linear_of(f"beta_{m}", x)).alias(f"p{m}") for m, x in NESTED.items()]), betas
+    return test.select(*keys, "ticker", "y", *[_sigmoid(linear_of(f"beta_{m}", x)).alias(f"p{m}") for m, x in models.items()]), betas
 
 
 #: Modulus and multiplier of the minimal standard generator (fixed values).
@@ -274,6 +287,26 @@ def screen(rows: DataFrame, by: list[str], control: str, feature: str, reliabili
     )
 
 
+def _losses(y: Column, p: Column) -> Column:
+    return -(y * F.log(clamp_p(p)) + (1 - y) * F.log(1 - clamp_p(p)))
+
+
+def screen_interaction(rows: DataFrame, by: list[str], control: str, feature: str, modifier: str, reps: int = REPS) -> DataFrame:
+    """One row per group: what the product of feature and modifier adds out of fold to both main effects and control x modifier.
+
+    Several pairs can be screened at once: unpivot them and name the pair in ``by``.
+    """
+    oof, betas = out_of_fold(crossed_design(rows, by, control, feature, modifier), by, CROSSED)
+    oof, y = written(oof), F.col("y")
+    pb, pc = F.col("pb"), F.col("pc")
+    m = oof.groupBy(*by).agg(F.count("*").alias("oof_n"), F.avg((pb - y) ** 2 - (pc - y) ** 2).alias("brier_gain"), F.avg(_losses(y, pb) - _losses(y, pc)).alias("logloss_gain"))
+    boot = cluster_bootstrap(oof.withColumn("gain", (pb - y) ** 2 - (pc - y) ** 2), by, "ticker", "gain", C.SEED, reps).drop("mean")
+    gamma = F.col("beta_c")[6]
+    signs = betas.groupBy(*by).agg(F.count("*").alias("valid_folds"), F.count_if(gamma > C.ZERO_VARIANCE).alias("positive"), F.count_if(gamma < -C.ZERO_VARIANCE).alias("negative"))
+    out = m.join(boot, by).join(signs, by)
+    return out.select(*by, "oof_n", "clusters", "valid_folds", "brier_gain", "logloss_gain", "ci_low", "ci_high", "p_value", (100 * F.greatest("positive", "negative") / F.col("valid_folds")).alias("sign_pct"))
+
+
 def classify(screened: DataFrame, by: list[str], least: int = 200, q_max: float = 0.05, sign_pct: float = 75) -> DataFrame:
     """Corrects p-values within each group and names each result's status."""
     q = X.bh_qvalues(screened, by)

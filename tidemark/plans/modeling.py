@@ -28,10 +28,10 @@ def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interaction_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for products of two features."""
-    rows = horizon_cohort(spark, sf_dir).withColumn("f1xf4", F.col("f1") * F.col("f4")).withColumn("f2xf4", F.col("f2") * F.col("f4"))
-    rows = rows.unpivot([*BY, "ticker", "coin", "close_us", "up", "base_logit", "f3"], ["f1xf4", "f2xf4"], "feature", "x")
-    return Z.classify(Z.screen(rows, [*BY, "feature"], "f3", "x", F.lit(False)), BY)
+    """What the product of a feature and a modifier adds to both and to control x modifier, for the pairs laid down beforehand."""
+    rows = horizon_cohort(spark, sf_dir).withColumnRenamed("f4", "modifier")
+    rows = rows.unpivot([*BY, "ticker", "coin", "close_us", "up", "base_logit", "f3", "modifier"], ["f1", "f2"], "feature", "x")
+    return Z.classify(Z.screen_interaction(rows, [*BY, "feature"], "f3", "x", "modifier"), BY)
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
