@@ -271,7 +271,8 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with ``ids_col`` (array<int>) in place of its text.
 
-    Null and empty texts have no ids.  A column of ``df`` that is named ``ids_col`` gives way to the new one.
+    Null and empty texts have no ids.  A column of ``df`` that is named ``ids_col`` gives way to the new one.  Very long
+    texts go through in pieces; repeated rows are kept; an empty table gives an empty result.
     """
     rest = [c for c in df.columns if c not in (text_col, ids_col)]
 
@@ -289,7 +290,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """``df`` with the decoded bytes (``bytes_col``) in place of its ids.
 
-    Null has no bytes.  A column of ``df`` that is named ``bytes_col`` gives way to the new one.
+    Null has no bytes.  A column of ``df`` that is named ``bytes_col`` gives way to the new one.  Repeated rows are kept;
+    an empty table gives an empty result.
     """
     rest = [c for c in df.columns if c not in (ids_col, bytes_col)]
 

@@ -137,7 +137,8 @@ def draw(df: DataFrame, plan: MixPlan = PLAN, id_col: str = "doc_id", text_col:
     """The rows of ``df`` as often as the plan takes them, with their own columns.
 
     Rows that repeat an id in one leaf are drawn alike; in other leaves the id has a number of its own.  Null ids are one
-    id.  An empty table gives an empty result; clashing columns do no harm.
+    id.  A very long text counts by its length like any other.  An empty table gives an empty result; clashing columns do
+    no harm.
     """
     own, times, copy = unused(df, "__id"), unused(df, "__copies"), unused(df, "__copy")
     lang, source = unused(df, "__lang"), unused(df, "__source")

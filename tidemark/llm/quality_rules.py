@@ -118,7 +118,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Null text has no words and fails the base rules.  A language that is null or has no reference gives no distance, and
     a text of fewer than ``JUDGED_WORDS`` words is not judged by distance; both stay if the base rules pass.  Repeated
-    rows are judged alike.  An empty table gives an empty result.
+    rows are judged alike.  Very long texts are read whole.  An empty table gives an empty result; other columns but the
+    language are not read.
     """
     measured = written(measures(df, id_col, text_col))
     found = references(measured)

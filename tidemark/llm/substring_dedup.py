@@ -185,7 +185,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     With ``texts`` also ``kept``: the kept words joined by one space, null where nothing was removed.  Null text has no
     words.  A document with fewer than ``size`` words has no window and is kept.  A null id is neither smaller nor
     larger than another: such a document is kept whole and removes nothing.  Rows that repeat an id do not remove from
-    each other.  Ids must be whole numbers.  An empty table gives an empty result.
+    each other.  Ids must be whole numbers.  Very long texts are read whole.  An empty table gives an empty result; other
+    columns are not read.
     """
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))

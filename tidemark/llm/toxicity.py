@@ -240,7 +240,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are not predicted toxic, with their own columns, in one pass and without a join.
 
-    Null and empty texts are scored as texts without words; repeated rows stay or go together; an empty table gives an
+    Null and empty texts are scored as texts without words, very long ones whole; repeated rows stay or go together; an empty table gives an
     empty result; no column is added, so none can clash.
     """
     ship(df.sparkSession)
