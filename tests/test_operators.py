@@ -216,3 +216,27 @@ def test_gate_latches_like_a_loop(spark, monkeypatch, bucket):
     table = spark.createDataFrame([tuple(r.values()) for r in rows], "coin string, t int, ticker int, failed boolean, late boolean, killed boolean, decision string")
     got = {(r.coin, r.t): (r.action, r.reason) for r in policy.gate_run(table, "coin", ["t"]).collect()}
     assert got == want and {"KILLED", "BREAKER_ERRORS", "BREAKER_BLOCK_RATE", "TIMEOUT", "REPLAY_BLOCK"} <= {x[1] for x in got.values()}
+
+
+def test_buckets_are_given_back_in_slices(spark, monkeypatch):
+    """Crowded buckets, ties included: slices of any size give what a whole bucket gives, and frames their own medians."""
+    import numpy as np
+
+    from tidemark.operators import timewin
+
+    rng = np.random.default_rng(5)
+    value = rng.normal(size=3_000)
+    end = np.sort(rng.integers(0, 3_000, 500))
+    first = np.minimum(np.sort(rng.integers(0, 3_000, 500)), end)
+    expected = [np.median(value[a:b]) if b > a else np.nan for a, b in zip(first, end)]
+    assert np.allclose(timewin.rolling_median(value, first, end), expected, equal_nan=True)
+    points = [(i, (i // 3) * 250_000, 100 + float(rng.normal())) for i in range(6_000)]
+    rows = spark.createDataFrame([(i, "BTC", us, 0, x, True, 0) for i, us, x in points], "event_id long, coin string, us long, session long, spot double, binary_ok boolean, latency_ms long")
+
+    def columns(x):
+        return lambda i, j: {"n": np.full(j - i, j - i), "before": np.searchsorted(x["us"], x["us"][i:j])}
+
+    monkeypatch.setattr(timewin, "SLICE", 300)
+    found = timewin.with_halo(rows, "us", 600_000_000, columns, ["us"], ["event_id", "us"], "event_id long, us long, n long, before long").collect()
+    assert sorted(r.event_id for r in found) == list(range(6_000)) and max(r.n for r in found) <= 375
+    assert all(r.before == r.event_id // 3 * 3 for r in found)

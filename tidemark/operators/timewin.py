@@ -8,57 +8,76 @@ bound: the last row of all earlier buckets is carried into a bucket through a ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
 
+#: Rows of a bucket whose results are made at once, at least; larger buckets have 16 slices.
+SLICE = 20_000
 
-def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "coin") -> DataFrame:
-    """Rows of ``apply``, called with each bucket of ``lookback`` and the rows of that time before it, in order of time.
 
-    ``apply`` gives a row for each row it gets, in the same order; those of the halo are dropped after it.  A sliding
-    frame in SQL is worked out anew for every row; arrays with running sums and binary search take n log n.  A bucket is
-    bounded by the rate of the series, not by its length.
+def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[dict[str, np.ndarray]], Callable[[int, int], dict[str, np.ndarray]]], columns: list[str], keep: list[str], schema: str, key: str = "coin", tie: str = "event_id") -> DataFrame:
+    """Each row with its ``keep`` columns and those of ``apply``, which sees the rows of ``lookback`` before a bucket too.
+
+    ``apply`` gets ``columns`` of a bucket as arrays in order of time (then of ``tie``), and gives a function of the new
+    columns of rows i to j.  A sliding frame in SQL is worked out anew for every row; arrays with running sums and binary
+    search take n log n.  Only those arrays are held for a whole bucket; results are made and sent by slices of it.
     """
     first, last = F.floor(F.col(time) / lookback), F.floor((F.col(time) + lookback) / lookback)
-    spread = df.withColumn("bucket", F.explode(F.sequence(first, last)))
-    spread = spread.withColumn("in_halo", F.col("bucket") != first)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, "in_halo"], kind="stable", ignore_index=True)
-        return apply(pdf)[~pdf["in_halo"].to_numpy()]
+    spread = df.select(*dict.fromkeys([key, time, tie, *columns, *keep])).withColumn("bucket", F.explode(F.sequence(first, last)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        order = np.lexsort((table[tie].to_numpy(), table[time].to_numpy()))
+        at = table[time].to_numpy()[order]
+        own = int(np.searchsorted(at, table["bucket"][0].as_py() * lookback))
+        if own == len(order):
+            return
+        arrays = {c: at if c == time else table[c].to_numpy().astype(float)[order] for c in columns}
+        kept = table.select(keep).combine_chunks()
+        del table
+        of = apply(arrays)
+        size = max(SLICE, len(order) // 16)
+        for i in range(own, len(order), size):
+            j = min(i + size, len(order))
+            part = kept.take(pa.array(order[i:j]))
+            for c, x in of(i, j).items():
+                part = part.append_column(c, pa.array(x, from_pandas=True))
+            yield from part.combine_chunks().to_batches()
 
     ship(df.sparkSession)
-    return spread.groupBy(key, "bucket").applyInPandas(run, schema)
+    return spread.groupBy(key, "bucket").applyInArrow(run, schema)
 
 
 class Series:
     """A value over sorted times, with what trailing frames of it need; missing values are left out."""
 
-    def __init__(self, us: np.ndarray, value: np.ndarray) -> None:
+    def __init__(self, us: np.ndarray, value: np.ndarray, sums: bool = False) -> None:
         there = ~np.isnan(value)
-        self.at, self.us, self.value = us, us[there], value[there]
-        self.middle = self.value.mean() if len(self.value) else 0.0
-        shifted = self.value - self.middle
-        self.sums, self.squares = _running(shifted), _running(shifted**2)
+        self.us, self.value = (us, value) if there.all() else (us[there], value[there])
+        if sums:
+            self.middle = self.value.mean() if len(self.value) else 0.0
+            self.sums, self.squares = _running(self.value - self.middle), _running((self.value - self.middle) ** 2)
 
-    def before(self, horizon: int, tolerance: int) -> np.ndarray:
+    def before(self, at: np.ndarray, horizon: int, tolerance: int) -> np.ndarray:
         """The newest value at or before ``horizon`` ago, if no more than ``tolerance`` older."""
-        i = np.searchsorted(self.us, self.at - horizon, "right") - 1
-        out = np.full(len(self.at), np.nan)
+        i = np.searchsorted(self.us, at - horizon, "right") - 1
+        out = np.full(len(at), np.nan)
         ok = i >= 0
-        ok[ok] = self.us[i[ok]] >= self.at[ok] - horizon - tolerance
+        ok[ok] = self.us[i[ok]] >= at[ok] - horizon - tolerance
         out[ok] = self.value[i[ok]]
         return out
 
-    def trailing(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def trailing(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Over (t - window, t]: number, mean, sample deviation and first time; nan or -1 where there is none."""
-        a, b = np.searchsorted(self.us, self.at - window, "right"), np.searchsorted(self.us, self.at, "right")
+        a, b = np.searchsorted(self.us, at - window, "right"), np.searchsorted(self.us, at, "right")
         n = b - a
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = (self.sums[b] - self.sums[a]) / n
@@ -71,16 +90,40 @@ def _running(x: np.ndarray) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(x)))
 
 
-def realized_vol(us: np.ndarray, value: np.ndarray, window: int, least_n: int, least_span: int, gap: int, second: int) -> np.ndarray:
-    """Bps per square root of a minute over [t - window, t]; the first point's own return reaches out of it and is left out."""
-    step = np.concatenate(([0.0], np.diff(np.log(value)))) if len(value) else value
-    wide = _running(np.concatenate(([0], np.diff(us) > gap))) if len(us) else np.zeros(1)
-    sums = _running(step**2)
-    a, b = np.searchsorted(us, us - window, "left"), np.searchsorted(us, us, "right")
-    span = us - us[a] if len(us) else us
-    enough = (b - a >= least_n) & (span >= least_span) & (span > 0) & (wide[b] == wide[np.minimum(a + 1, len(us))])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(enough, np.sqrt(np.maximum(sums[b] - sums[np.minimum(a + 1, len(us))], 0) * 60 * second / span) * 10000, np.nan)
+class Volatility:
+    """Realized volatility over trailing frames of sorted times: squared log returns and gaps wider than ``gap``, summed up."""
+
+    def __init__(self, us: np.ndarray, value: np.ndarray, gap: int) -> None:
+        self.us = us
+        step = np.diff(np.log(value), prepend=np.log(value[:1])) if len(value) else value
+        self.sums = _running(np.square(step, out=step))
+        self.wide = np.concatenate(([0], np.cumsum(np.diff(us, prepend=us[:1]) > gap, dtype=np.int32)), dtype=np.int32)
+
+    def over(self, at: np.ndarray, window: int, least_n: int, least_span: int, second: int) -> np.ndarray:
+        """Bps per square root of a minute over [t - window, t]; the first point's own return reaches out of it and is left out."""
+        us, sums, wide = self.us, self.sums, self.wide
+        a, b = np.searchsorted(us, at - window, "left"), np.searchsorted(us, at, "right")
+        span, after = at - us[a] if len(us) else at, np.minimum(a + 1, len(us))
+        enough = (b - a >= least_n) & (span >= least_span) & (span > 0) & (wide[b] == wide[after])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(enough, np.sqrt(np.maximum(sums[b] - sums[after], 0) * 60 * second / span) * 10000, np.nan)
+
+
+class _Frames(BaseIndexer):
+    """Frames of pandas given by their bounds."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):  # noqa: ANN001, ANN201
+        return self.first, self.end
+
+
+def rolling_median(value: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Medians of ``value`` from ``first`` to before ``end``, both rising; nan for nothing."""
+    low = int(first[0])
+    values, more = value[low : int(end[-1])], int(end[-1]) - low - len(first)
+    # pandas wants a frame for each value: empty ones before, and values of no frame after
+    first, end = (np.concatenate((np.zeros(max(more, 0), np.int64), x - low)) for x in (first, end))
+    values = np.concatenate((values, np.zeros(max(-more, 0))))
+    return pd.Series(values).rolling(_Frames(first=first, end=end), min_periods=1).median().to_numpy()[max(more, 0) :]
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, time: str, width: int) -> DataFrame:
