@@ -44,3 +44,24 @@ def test_draws_are_the_same_in_numpy(spark):
     rows = rows.select("i", "r", Z.poisson_weight(C.SEED, F.col("i"), F.col("r")).alias("w")).collect()
     w = Z._poisson_weights(C.SEED, np.array(ids)[:, None], np.arange(1, 51))
     assert all(w[ids.index(r.i), r.r - 1] == r.w for r in rows)
+
+
+def test_later_rows_are_found_without_lists(spark):
+    """Crowded times with ties and gaps: the nearest later row of each horizon equals a plain search, in flat numbers only."""
+    from tidemark.operators import cohorts
+
+    rng = np.random.default_rng(8)
+    us = np.sort(rng.integers(0, 400, 600)) * 1_000_000 // 2
+    run = np.cumsum(np.concatenate(([0], np.diff(us) > 1_500_000)))
+    rows = [(1, "BTC", i, int(t), float(rng.integers(90, 110)), int(r), bool(rng.random() < 0.8)) for i, (t, r) in enumerate(zip(us, run))]
+    df = spark.createDataFrame(rows, "session long, coin string, event_id long, us long, spot double, run long, ready boolean")
+    found = cohorts.nearest_later(df, ["session", "coin"], (1, 5, 10), 3, 1_000_000)
+    assert not [k for _, k in found.dtypes if k.startswith("array")]
+    got = {(r.event_id, r.horizon): (r.label_us, r.later) for r in found.collect()}
+    expected = {}
+    for _, _, i, t, _, r, ready in rows:
+        for h in (1, 5, 10):
+            near = [(abs(u - t - h * 1_000_000), u, s) for _, _, _, u, s, q, _ in rows if q == r and t + max(1, (h - 3) * 1_000_000) <= u <= t + (h + 3) * 1_000_000]
+            if ready and near:
+                expected[i, h] = min(near)[1:]
+    assert got == expected and len(got) > 500

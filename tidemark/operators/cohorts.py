@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.operators import ordered, scans
+from tidemark.operators.timewin import SLICE
+from tidemark.shipping import ship
 from tidemark.sources.views import SECOND
 from tidemark.storage import written
 
@@ -75,6 +80,50 @@ def thin(times: list[int], spacing: int, usable: list[bool]) -> list[int]:
     return kept
 
 
+def nearest_later(rows: DataFrame, key: list[str], horizons: tuple[int, ...], tolerance: int, second: int) -> DataFrame:
+    """(key, event_id, us, horizon, label_us, later) of ready rows that have an observation about the horizon later.
+
+    That is the nearest to the target within ``tolerance``, strictly later and of the same ``run``; of two as near the
+    earlier one, of one time that with the lowest spot.  Rows are met by binary search in time buckets with what follows.
+    """
+    reach = (max(horizons) + tolerance) * second
+    own = F.floor(F.col("us") / (8 * reach))
+    spread = rows.select(*key, "event_id", "us", "spot", "run", "ready").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("us") - reach) / (8 * reach)), own))).withColumn("own", F.col("bucket") == own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        head = [pa.scalar(table[c][0].as_py(), table.schema.field(c).type) for c in key]
+        us, spot, part, mine = (table[c].to_numpy() for c in ("us", "spot", "run", "own"))
+        mine = mine.astype(bool) & np.array(table["ready"].fill_null(False).to_numpy(), bool)
+        order = np.lexsort((spot, us))
+        us, spot, part, mine, ids = us[order], spot[order].astype(float), part[order], mine[order], table["event_id"].to_numpy()[order]
+        del table
+        # runs are stretches of time, as rows of one time are of one run
+        at = np.nonzero(mine)[0]
+        for i in range(0, len(at), SLICE):
+            rows_at = at[i : i + SLICE]
+            t = us[rows_at]
+            low, high = np.searchsorted(part, part[rows_at], "left"), np.searchsorted(part, part[rows_at], "right")
+            for h in horizons:
+                a = np.maximum(np.searchsorted(us, t + max(1, (h - tolerance) * second), "left"), low)
+                b = np.minimum(np.searchsorted(us, t + (h + tolerance) * second, "right"), high)
+                target = np.searchsorted(us, t + h * second, "right")
+                # the last time up to the target and the first one after it
+                before, after = np.minimum(target, b) - 1, np.maximum(target, a)
+                has_before, has_after = before >= a, after < b
+                before, after = np.maximum(before, 0), np.minimum(after, len(us) - 1)
+                first = has_before & (~has_after | (t + h * second - us[before] <= us[after] - t - h * second))
+                found = has_before | has_after
+                pick = np.where(first, np.searchsorted(us, us[before], "left"), after)[found]
+                n = int(found.sum())
+                columns = [pa.repeat(x, n) for x in head] + [pa.array(x) for x in (ids[rows_at][found], t[found], np.full(n, h, np.int32), us[pick], spot[pick])]
+                yield pa.RecordBatch.from_arrays(columns, [*key, "event_id", "us", "horizon", "label_us", "later"])
+
+    ship(rows.sparkSession)
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (*key, "event_id"))
+    return spread.groupBy(*key, "bucket").applyInArrow(run, kinds + "us long, horizon int, label_us long, later double")
+
+
 def leadlag_anchors(features: DataFrame, horizons: tuple[int, ...], scale: int, tolerance: int = C.LEADLAG_TOLERANCE, gap: int = C.LEADLAG_GAP) -> DataFrame:
     """Ready rows with the spot return to an observation about each horizon later, thinned to one per horizon.
 
@@ -83,28 +132,15 @@ def leadlag_anchors(features: DataFrame, horizons: tuple[int, ...], scale: int,
     within time buckets, and all horizons thinned at once: times are stretched so that one spacing holds for all.
     """
     second, key = scale * SECOND, ["session", "coin"]
-    near = scans.with_halo(scans.numbered(features, key, ["us", "event_id"]), 1)
+    near = scans.with_halo(scans.numbered(features.select(*key, "us", "event_id", "spot", "ready"), key, ["us", "event_id"]), 1)
     before = F.lag("us").over(Window.partitionBy(*key, "bucket").orderBy("i"))
     gaps = near.withColumn("broken", F.coalesce((F.col("us") - before > gap * second).cast("int"), F.lit(0))).where(~F.col("in_halo")).drop("bucket", "i", "in_halo")
     rows = written(ordered.with_before(gaps, key, ["us", "event_id"], n="broken", name="run").withColumn("run", F.col("run") + F.col("broken")).drop("broken"))
-    # each bucket with what follows it within reach
-    reach = (max(horizons) + tolerance) * second
-    own = F.floor(F.col("us") / (8 * reach))
-    spread = rows.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("us") - reach) / (8 * reach)), own))).withColumn("in_halo", F.col("bucket") != own)
-    w = Window.partitionBy(*key, "bucket").orderBy("us")
-    for h in horizons:
-        ahead = F.collect_list(F.struct("us", "spot", "run")).over(w.rangeBetween(max(1, (h - tolerance) * second), (h + tolerance) * second))
-        spread = spread.withColumn(f"ahead_{h}", ahead)
-    seen = spread.where(~F.col("in_halo")).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
-    ahead = F.coalesce(*[F.when(F.col("horizon") == h, F.col(f"ahead_{h}")) for h in horizons])
-    target = F.col("us") + F.col("horizon").cast("long") * second
-    nearest = F.array_min(F.transform(F.filter("found", lambda x: x.run == F.col("run")), lambda x: F.struct(F.abs(x.us - target).alias("d"), x.us.alias("us"), x.spot.alias("spot"))))
-    labelled = seen.withColumn("found", ahead).withColumn("n", nearest).withColumn("usable", F.col("ready") & F.col("n").isNotNull())
+    met = nearest_later(rows, key, horizons, tolerance, second)
     columns = [c for c in (*C.LEADLAG_FEATURES, "premium_z_5m", *sorted(set(C.LEADLAG_CONTROL.values()))) if c in features.columns]
-    # one spacing for all horizons
+    # one spacing for all horizons; what is thinned is narrow, and the few rows kept get their columns back
     unit = math.lcm(*horizons)
-    paced = labelled.select(
-        "horizon", *key, (F.col("us") * (F.lit(unit) / F.col("horizon")).cast("long")).alias("pace"), "event_id", "us", "spot", F.col("n.us").alias("label_us"),
-        ((F.col("n.spot") / F.col("spot") - 1) * 10000).alias("y"), "usable", *columns,
-    )
-    return scans.thinned(paced, ["horizon", *key], "pace", unit * second, "usable").select(*key, "us", "event_id", "spot", "label_us", "y", *columns, "horizon")
+    pace = F.col("us") * (F.lit(unit) / F.col("horizon")).cast("long")
+    kept = scans.thinned(met.select("horizon", *key, pace.alias("pace"), "event_id", "label_us", "later", F.lit(True).alias("usable")), ["horizon", *key], "pace", unit * second, "usable")
+    out = features.select(*key, "us", "event_id", "spot", *columns).join(kept.select(*key, "event_id", "label_us", "later", "horizon"), [*key, "event_id"])
+    return out.select(*key, "us", "event_id", "spot", "label_us", ((F.col("later") / F.col("spot") - 1) * 10000).alias("y"), *columns, "horizon")

@@ -37,7 +37,8 @@ def interaction_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """(anchors of all horizons, time scale)."""
     _, _, scale = inputs(spark, sf_dir)
-    rows = written(features(spark, sf_dir))
+    columns = ["session", "coin", "us", "event_id", "spot", "ready", *C.LEADLAG_FEATURES, "premium_z_5m", *sorted(set(C.LEADLAG_CONTROL.values()))]
+    rows = written(features(spark, sf_dir).select(*dict.fromkeys(columns)))
     return cohorts.leadlag_anchors(rows, C.LEADLAG_HORIZONS, scale), scale
 
 
