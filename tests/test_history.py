@@ -157,3 +157,18 @@ def test_store_over_several_batches(spark, tmp_path):
     S2.accepted(stream, str(tmp_path / "out"), 50)
     got = {r.event_id: (r.taken, r.held) for r in cycles.read(spark, str(tmp_path / "out"), "rows").collect()}
     assert got == want
+
+
+def test_length_of_a_crowded_history(spark):
+    """Far more rows within the age than a history holds: lengths equal a plain count, over buckets of rows, not of time."""
+    from tidemark.operators import ordered
+
+    n = ordered.BUCKET + 900
+    rows = spark.range(n).selectExpr("id AS event_id", "'BTC' AS coin", "CAST(id >= 500 AS long) AS generation", "id * 1000 AS us")
+    found = H.held(rows, 1, rows=600, age=1)
+    assert found.columns == [*rows.columns, "held"]
+    got = {r.event_id: r.held for r in found.collect()}
+    assert got == {i: min(600, i + 1 if i < 500 else i - 499) for i in range(n)}
+    few = {r.event_id: r.held for r in H.held(rows.where("event_id % 10 = 0"), 1, rows=600, age=1).collect()}
+    assert few == {i: min(101, i // 10 + 1 if i < 500 else (i - 500) // 10 + 1) for i in range(0, n, 10)}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]

@@ -8,12 +8,16 @@ likes; what a cycle must remember (``remembered``) is bounded by age for each co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.operators import features as feat
 from tidemark.operators import scans
+from tidemark.shipping import ship
 from tidemark.sources.views import SECOND
 
 
@@ -43,12 +47,23 @@ def admitted(snapshots: DataFrame, order: list[str]) -> DataFrame:
 
 
 def held(taken: DataFrame, scale: int, rows: int = C.HISTORY_ROWS, age: int = C.HISTORY_AGE) -> DataFrame:
-    """Adds the length of the history after each taken snapshot: those of its generation within ``age``, at most ``rows``."""
-    span = age * scale * SECOND
-    own = F.floor(F.col("us") / (4 * span))
-    spread = taken.withColumn("bucket", F.explode(F.sequence(own, F.floor((F.col("us") + span) / (4 * span))))).withColumn("in_halo", F.col("bucket") != own)
-    w = Window.partitionBy("coin", "generation", "bucket").orderBy("us").rangeBetween(-span, 0)
-    return spread.withColumn("held", F.least(F.lit(rows).cast("long"), F.count("*").over(w))).where(~F.col("in_halo")).drop("bucket", "in_halo")
+    """Adds the length of the history after each taken snapshot: those of its generation within ``age``, at most ``rows``.
+
+    Times of a generation differ.  No more than ``rows`` before a row count, so buckets of rows with that many before
+    them do, however crowded ``age`` is; a sliding frame in SQL would be counted anew for every row.
+    """
+    span, by = age * scale * SECOND, ["coin", "generation"]
+    near = scans.with_halo(scans.numbered(taken, by, ["us"]), rows - 1).drop("i")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("us")
+        us, own = table["us"].to_numpy(), pc.invert(table["in_halo"])
+        length = np.minimum(rows, np.arange(1, len(us) + 1) - np.searchsorted(us, us - span))
+        return table.drop_columns(["bucket", "in_halo"]).append_column("held", pa.array(length)).filter(own)
+
+    ship(taken.sparkSession)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in taken.schema.fields)
+    return near.groupBy(*by, "bucket").applyInArrow(run, kinds + "held long")
 
 
 def remembered(taken: DataFrame, scale: int, age: int = C.HISTORY_AGE) -> DataFrame:
