@@ -21,7 +21,7 @@ def oof_conflicts(rows: DataFrame, by: list[str], control: str, feature: str, re
     A row stands at most once for each group.  Rows without a favoured side, and folds without enough training rows, are
     left out.
     """
-    predicted, _ = Z.out_of_fold(Z.nested_design(rows, by, control, feature, reliability), by)
+    predicted, _ = Z.out_of_fold(Z.placed(rows, by, [control, feature], reliability))
     known = rows.where(F.col("fav").isin("UP", "DOWN")).select(*by, "ticker", "coin", "fav", "up", F.col(feature).alias("feature_value"))
     p_b, p_c = M.favored(F.col("pb"), F.col("fav")), M.favored(F.col("pc"), F.col("fav"))
     return predicted.select(*by, "fold", "ticker", "pb", "pc").join(known, [*by, "ticker"]).select(
@@ -39,7 +39,7 @@ def evaluate_thresholds(rows: DataFrame, by: list[str], cluster: str = "ticker",
     blocked, lost, won = c("conflict") <= c("threshold"), c("win") == 0, c("win") == 1
     counts = {"nb": blocked, "lb": blocked & lost, "nk": ~blocked, "lk": ~blocked & lost, "wk": ~blocked & won, "w": won, "n": F.lit(True)}
     # a few thresholds for each group
-    per = rows.join(F.broadcast(grid), by).groupBy(*at, cluster).agg(*(F.count_if(x).alias(k) for k, x in counts.items()))
+    per = Z.by_cluster(rows, cluster).join(F.broadcast(grid), by).groupBy(*at, cluster).agg(*(F.count_if(x).alias(k) for k, x in counts.items()))
     sums = Z.resampled(per, at, cluster, list(counts), seed, reps)
     enrichment = F.when((c("nb") > 0) & (c("nk") > 0), 100 * (c("lb") / c("nb") - c("lk") / c("nk"))).otherwise(0.0)
     kept = F.when(c("nk") > 0, c("wk") / c("nk") - c("w") / c("n")).otherwise(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.operators.ordered import with_before
 from tidemark.functions.market import clamp_p
+from tidemark.storage import written
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -83,8 +84,18 @@ def walk_forward(df: DataFrame, key: str, by: list[str], bounds: tuple[float, ..
     return counts.withColumn("block", beyond.cast("int")).drop("before", "total")
 
 
+def fold_cuts(counts: DataFrame, key: str, by: list[str], bounds: tuple[float, ...] = C.FOLD_BOUNDS) -> DataFrame:
+    """(by, cuts): the keys at which a group's blocks after the first begin, from its counted keys (n); see ``walk_forward``.
+
+    A row's block is the number of cuts up to its key, as the rows before a key only grow; one row for each group.
+    """
+    beyond = [F.min(F.when(F.col("before") >= F.bround(F.col("total") * b), F.col(key))) for b in bounds[:-1]]
+    return _placed(counts, key, by).groupBy(*by).agg(F.array_compact(F.array(*beyond)).alias("cuts"))
+
+
 def _placed(counts: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Adds the rows before each key of a group and the group's total; groups are few."""
+    counts = written(counts)
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     return with_before(counts, by, [key], "n").join(totals, by)
 

@@ -193,7 +193,13 @@ def percentiles(rows: DataFrame, by: list[str], columns: Sequence[str], at: Sequ
     """
     key = [*by, "column"]
     long = rows.unpivot(list(by), list(columns), "column", "value").where("value IS NOT NULL")
-    counts = long.select(*key, F.col("value").cast("double").alias("value")).groupBy(*key, "value").agg(F.count("*").alias("__n"))
+    # written, as dealing out by ranges looks at the counts twice
+    counts = written(long.select(*key, F.col("value").cast("double").alias("value")).groupBy(*key, "value").agg(F.count("*").alias("__n")))
+    return counted_percentiles(counts, key, at)
+
+
+def counted_percentiles(counts: DataFrame, key: list[str], at: Sequence[float]) -> DataFrame:
+    """(key, n, q): the percentiles of values that are counted already (value, __n)."""
     ahead = written(ordered.with_before(counts, key, ["value"], n="__n", name="__before"))
     totals = ahead.groupBy(*key).agg(F.sum("__n").alias("n"))
     placed = ahead.join(totals, key)

@@ -11,6 +11,7 @@ from tidemark.operators import cohorts
 from tidemark.operators import metrics as X
 from tidemark.operators import scans
 from tidemark.sources import views as V
+from tidemark.storage import written
 
 AS_OF = "1998-01-01"
 
@@ -74,6 +75,12 @@ def horizon_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("grp", F.explode(F.array(F.lit("ALL"), "coin")))
 
 
+def written_cohort(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``columns`` of the cohort for queries that go through it several times: a row is written once for all its groups."""
+    rows = written(cohorts.horizon_rows(observed(spark, sf_dir)).select("horizon", *dict.fromkeys(["coin", *columns])))
+    return rows.withColumn("grp", F.explode(F.array(F.lit("ALL"), "coin")))
+
+
 BY = ["grp", "horizon"]
 
 

@@ -9,7 +9,7 @@ from tidemark import config as C
 from tidemark.operators import cohorts
 from tidemark.operators import metrics as X
 from tidemark.operators import models as Z
-from tidemark.plans.evaluation import GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, horizon_cohort, with_market
+from tidemark.plans.evaluation import GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, horizon_cohort, with_market, written_cohort
 from tidemark.plans import sql_features as S
 from tidemark.plans.policies import SCORED_SQL, scored
 from tidemark.plans.telemetry import features, inputs
@@ -23,13 +23,14 @@ RELIABILITY = ("f2",)
 
 def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature adds to the base forecast and a control, by group and horizon, with statuses."""
-    rows = horizon_cohort(spark, sf_dir).unpivot([*BY, "ticker", "coin", "close_us", "up", "base_logit", "f3"], list(FEATURES), "feature", "x")
+    rows = written_cohort(spark, sf_dir, "ticker", "coin", "close_us", "up", "base_logit", "f3", *FEATURES)
+    rows = rows.unpivot([*BY, "ticker", "coin", "close_us", "up", "base_logit", "f3"], list(FEATURES), "feature", "x")
     return Z.classify(Z.screen(rows, [*BY, "feature"], "f3", "x", F.col("feature").isin(*RELIABILITY)), BY)
 
 
 def interaction_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the product of a feature and a modifier adds to both and to control x modifier, for the pairs laid down beforehand."""
-    rows = horizon_cohort(spark, sf_dir).withColumnRenamed("f4", "modifier")
+    rows = written_cohort(spark, sf_dir, "ticker", "coin", "close_us", "up", "base_logit", "f1", "f2", "f3", "f4").withColumnRenamed("f4", "modifier")
     rows = rows.unpivot([*BY, "ticker", "coin", "close_us", "up", "base_logit", "f3", "modifier"], ["f1", "f2"], "feature", "x")
     return Z.classify(Z.screen_interaction(rows, [*BY, "feature"], "f3", "x", "modifier"), BY)
 
@@ -117,7 +118,7 @@ def threshold_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss enrichment of what the policy would block, resampled by market; an empty side counts as no enrichment."""
     rows = scored(spark, sf_dir).where("conflict IS NOT NULL").withColumn("grp", F.explode(F.array(F.lit("ALL"), "coin")))
     blocked, lost = F.col("decision") == "WOULD_BLOCK", F.col("win") == 0
-    per = rows.groupBy("grp", "ticker").agg(F.count_if(blocked).alias("nb"), F.count_if(blocked & lost).alias("lb"), F.count_if(~blocked).alias("nk"), F.count_if(~blocked & lost).alias("lk"))
+    per = Z.by_cluster(rows, "ticker").groupBy("grp", "ticker").agg(F.count_if(blocked).alias("nb"), F.count_if(blocked & lost).alias("lb"), F.count_if(~blocked).alias("nk"), F.count_if(~blocked & lost).alias("lk"))
     sums = Z.resampled(per, ["grp"], "ticker", ["nb", "lb", "nk", "lk"], C.SEED + 1, Z.REPS)
     e = F.when((F.col("nb") > 0) & (F.col("nk") > 0), 100 * (F.col("lb") / F.col("nb") - F.col("lk") / F.col("nk"))).otherwise(0.0)
     stats = sums.withColumn("e", e)
