@@ -35,3 +35,11 @@ def test_draws_equal_plain_remainders():
     u = (h * Z.FACTOR) % Z.PRIME / float(Z.PRIME)
     below = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800.0]))
     assert (Z._poisson_weights(7, cluster, rep) == np.searchsorted(below, u, side="right")).all()
+
+
+def test_blocks_by_cuts_equal_the_walk_forward_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame(pd.DataFrame({"g": rng.choice(["a", "b"], 700), "t": (rng.random(700) ** 3 * 40).astype(int)})).unionByName(spark.createDataFrame([("c", 9)], "g string, t long"))
+    cuts = X.fold_cuts(rows.groupBy("g", "t").count().withColumnRenamed("count", "n"), "t", ["g"])
+    got = {(r.g, r.t, r.block) for r in X.blocked(rows, cuts, ["g"], "t").collect()}
+    assert got == {(r.g, r.t, r.block) for r in X.walk_forward(rows, "t", ["g"]).collect()}

@@ -93,6 +93,11 @@ def fold_cuts(counts: DataFrame, key: str, by: list[str], bounds: tuple[float, .
     return _placed(counts, key, by).groupBy(*by).agg(F.array_compact(F.array(*beyond)).alias("cuts"))
 
 
+def blocked(rows: DataFrame, cuts: DataFrame, by: list[str], key: str) -> DataFrame:
+    """``rows`` with their block of the walk-forward folds, by the ``cuts`` of their group (``fold_cuts``)."""
+    return rows.join(F.broadcast(cuts), by).withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(key)))).drop("cuts")
+
+
 def _placed(counts: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Adds the rows before each key of a group and the group's total; groups are few."""
     counts = written(counts)

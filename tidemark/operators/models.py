@@ -155,14 +155,9 @@ def coefficients(rows: DataFrame, fits: dict[tuple, dict[str, np.ndarray]], by:
     return rows.sparkSession.createDataFrame([(*k, *[v[m].tolist() for m in models]) for k, v in fits.items()], kinds + "".join(f", beta_{m} array<double>" for m in models))
 
 
-def _blocked(rows: DataFrame, cuts: DataFrame, by: list[str], key: str) -> DataFrame:
-    """``rows`` with their block, by the times in ``cuts`` at which a group's blocks after the first begin."""
-    return rows.join(F.broadcast(cuts), by).withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(key)))).drop("cuts")
-
-
 def fold_rows(rows: DataFrame, by: list[str], key: str = "close_us") -> DataFrame:
     """Each row once as test of its own fold and once as training row of every later fold."""
-    placed = _blocked(rows, X.fold_cuts(rows.groupBy(*by, key).agg(F.count("*").alias("n")), key, by), by, key)
+    placed = X.blocked(rows, X.fold_cuts(rows.groupBy(*by, key).agg(F.count("*").alias("n")), key, by), by, key)
     last = len(C.FOLD_BOUNDS) - 1
     as_test = F.when(F.col("block") > 0, F.array(F.struct(F.col("block").alias("fold"), F.lit(True).alias("is_test"))))
     as_train = F.when(F.col("block") < last, F.transform(F.sequence(F.col("block") + 1, F.lit(last)), lambda f: F.struct(f.alias("fold"), F.lit(False).alias("is_test"))))
@@ -213,7 +208,7 @@ def placed(rows: DataFrame, by: list[str], columns: list[str], reliability: Colu
         reliable[cells[i]] = reliable.get(cells[i], False) or r["reliability"]
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (*by, "coin"))
     table = rows.sparkSession.createDataFrame([(*cells[i], r["coin"], i, r["cuts"]) for i, r in enumerate(found)], f"{kinds}cell int, cuts array<long>")
-    base = written(_blocked(ready, table, [*by, "coin"], "close_us").select("cell", "block", "ticker", "y", "base_logit", "reliability", *values))
+    base = written(X.blocked(ready, table, [*by, "coin"], "close_us").select("cell", "block", "ticker", "y", "base_logit", "reliability", *values))
     return Placed(base, by, {c: rows.schema[c].dataType.simpleString() for c in by}, cells, reliable, _scalers(base, values))
 
 

@@ -84,6 +84,12 @@ def written_cohort(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
 BY = ["grp", "horizon"]
 
 
+def blocked_cohort(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``columns`` of the cohort with each row's block of the walk-forward folds."""
+    rows = written_cohort(spark, sf_dir, "close_us", *columns)
+    return X.blocked(rows, X.fold_cuts(rows.groupBy(*BY, "close_us").agg(F.count("*").alias("n")), "close_us", BY), BY, "close_us")
+
+
 def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, p, y = horizon_cohort(spark, sf_dir), F.col("p"), F.col("up")
     base = rows.groupBy(*BY).agg(
@@ -148,8 +154,7 @@ def tuning_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regime_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by tercile of a feature; the cuts come from the first training block, the metrics from what follows."""
-    rows = horizon_cohort(spark, sf_dir)
-    placed = rows.join(X.walk_forward(rows, "close_us", BY).drop("n"), [*BY, "close_us"])
+    placed = blocked_cohort(spark, sf_dir, "f4", "p", "up")
     cuts = scans.percentiles(placed.where("block = 0"), BY, ["f4"], (1 / 3, 2 / 3)).select(*BY, F.col("q")[0].alias("c1"), F.col("q")[1].alias("c2"))
     later = placed.where("block > 0").join(cuts, BY)
     name = F.when(F.col("f4") < F.col("c1"), "low").when(F.col("f4") < F.col("c2"), "medium").otherwise("high")

@@ -14,7 +14,7 @@ from tidemark.operators import policy as P
 from tidemark.operators import trading as Y
 from tidemark.operators.ordered import with_before
 from tidemark.plans import policies
-from tidemark.plans.evaluation import BLOCKS_SQL, GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, horizon_cohort, observed, with_market
+from tidemark.plans.evaluation import BLOCKS_SQL, GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, blocked_cohort, observed, with_market
 from tidemark.plans.policies import OVERLAID_SQL, SCORED_SQL, scored
 from tidemark.plans.trading import AS_OF_US, HOURLY_SQL, SETTLED_SQL, STEP, hourly, settled
 from tidemark.plans.trading import oracle_sql as trading_sql
@@ -37,8 +37,7 @@ def _cut_sql(x: str, digits: int = 6) -> str:
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = horizon_cohort(spark, sf_dir)
-    placed = rows.join(X.walk_forward(rows, "close_us", BY).drop("n"), [*BY, "close_us"])
+    placed = blocked_cohort(spark, sf_dir, "f4", "p", "up", "fav")
     return placed, placed.where("block > 0").withColumnRenamed("block", "fold")
 
 
