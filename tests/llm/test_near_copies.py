@@ -43,6 +43,26 @@ def test_planted_near_copies(make, monkeypatch, block):
     assert kept == [i for i in range(len(texts)) if root[i] == i] and len(kept) < len(texts) / 2
 
 
+def test_simhash_families_are_compared(make, monkeypatch):
+    """By the SimHash step alone: of texts whose fingerprints lie within two bits, and that are alike, one stays."""
+    monkeypatch.setattr(near_copies, "STEPS", near_copies.STEPS[:1])
+    rng, texts = random.Random(8), []
+    for n in (60, 300, 900):
+        for _ in range(6):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts += [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in rng.sample(range(n), 8)]
+    fps = [near_copies.simhash(near_copies._hashes(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and similarity(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    kept = {r.doc_id for r in simhash_dedup.drop_near_duplicates(make(texts)).collect()}
+    # members of a family are all compared, so that a chain of fingerprints may tie more
+    assert kept <= set(root) and len(set(root)) < len(texts) - 40 and len(kept) > 20
+
+
 def pages(n, shared, own, seed=5):
     """Pages of one template: ``shared`` words in common, ``own`` words of their own, in runs of ten."""
     rng = random.Random(seed)

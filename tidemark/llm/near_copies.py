@@ -1,12 +1,15 @@
-"""Near copies by shingle similarity: banded min-hashes find candidates, an exact count of shared shingles decides.
+"""Near copies: SimHash and banded min-hashes find candidates, an exact count of shared shingles decides.
 
-A 64-bit SimHash tells texts of similarity 0.8 apart from others only at some ten bits, where no key is selective.
-So each text gets BANDS fingerprints of ROWS min-hashes each instead.  Two texts of similarity s agree on one of them
-with probability 1 - (1 - s^ROWS)^BANDS (0.9996 at s = 0.8), and every pair that does is a candidate.
+The SimHash of a text's set of shingles comes first: fingerprints that link at two bits or less (by the Golay-code keys
+of ``simhash_dedup``) are a family, and texts of one family are candidates.  Two texts of similarity 0.8 differ by some
+ten bits, where no key is selective.  So beside it each text gets BANDS fingerprints of ROWS min-hashes each.  Two texts
+of similarity s agree on one of them with probability 1 - (1 - s^ROWS)^BANDS (0.9996 at s = 0.8), and every pair that
+does is a candidate, too.
 
 Candidates are settled without listing the pairs of a large group, and a text travels once for each block that it is in:
 
-* Bands are taken a few at a time, and of each only fingerprints whose members are not yet of one component.
+* SimHash families are taken first, then bands a few at a time, and of each only fingerprints whose members are not
+  yet of one component.
 * The members of a fingerprint that up to BLOCK texts share form one block, in which all pairs are compared.
 * Of a more crowded one each component sends one member, dealt into blocks of about BLOCK, again and again until nothing
   more is found.  Copies, however many, end up in one component after a few rounds.
@@ -31,11 +34,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean, pieces, sized, unused, written
 from tidemark.llm.graph import components
+from tidemark.llm.wordhash import simhash
 from tidemark.shipping import ship
 
 BANDS, ROWS = 20, 5
+#: Band of the SimHash families.
+SIMHASH = -1
 #: Bands that are settled together: most copies agree on the first few.
-STEPS = ((0, 1), (1, 3), (3, 8), (8, BANDS))
+STEPS = ((SIMHASH, 0), (0, 1), (1, 3), (3, 8), (8, BANDS))
 #: Texts that are compared with each other in one task.
 BLOCK = 64
 SEED = 42
@@ -52,29 +58,30 @@ def shingles(text: str | None, size: int) -> set[bytes]:
     return {whole[a : b - 1] for a, b in zip(starts, starts[size:])}
 
 
-def marks(text: str | None, size: int, factors: np.ndarray) -> tuple[bytes, list[int]]:
-    """(digest of the shingle set, its BANDS fingerprints as signed 64-bit values)."""
+def marks(text: str | None, size: int, factors: np.ndarray) -> tuple[bytes, list[int], int]:
+    """(digest of the shingle set, its BANDS fingerprints, its SimHash), the latter as signed 64-bit values."""
     h = np.sort(np.array([xxhash.xxh64_intdigest(p, SEED) for p in shingles(text, size)], np.uint64))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(h), 4096):
         least = np.minimum(least, (h[i : i + 4096, None] * factors).min(axis=0))
     keys = np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
-    return xxhash.xxh3_128_digest(h.tobytes()), keys.view(np.int64).tolist()
+    return xxhash.xxh3_128_digest(h.tobytes()), keys.view(np.int64).tolist(), int(np.uint64(simhash(h)).view(np.int64))
 
 
 def marked(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, text, node, keys) of every row; rows of equal shingle sets share a node."""
+    """(doc_id, text, node, keys, fp) of every row; rows of equal shingle sets share a node."""
     factors = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [marks(t.as_py(), size, factors) for t in b.column(1)]
             node, keys = pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, keys], ["doc_id", "text", "node", "keys"])
+            fp = pa.array([x[2] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, keys, fp], ["doc_id", "text", "node", "keys", "fp"])
 
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(work), f"doc_id {kind}, text string, node binary, keys array<long>")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(work), f"doc_id {kind}, text string, node binary, keys array<long>, fp long")
 
 
 def _hashes(text: str | None, size: int) -> np.ndarray:
@@ -137,9 +144,13 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return written(with_label.join(spread, "key").select("key", "node", "held", "label"))
 
 
-def groups(rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, label) of the nodes that are near copies of others: label is the smallest node of the component."""
-    keyed = rows.select("node", F.posexplode("keys").alias("band", "key")).distinct()
+def groups(rows: DataFrame, families: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, label) of the nodes that are near copies of others: label is the smallest node of the component.
+
+    ``families`` are (fp, family) of the SimHash fingerprints that link with others.
+    """
+    alike = rows.select("node", "fp").join(families, "fp", "left").select("node", F.lit(SIMHASH).alias("band"), F.coalesce("family", "fp").alias("key"))
+    keyed = rows.select("node", F.posexplode("keys").alias("band", "key")).unionByName(alike).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     members = written(keyed.join(shared, "key"))
     texts = _texts(rows, members.select("node"))
@@ -246,15 +257,16 @@ def crowded_links(members: DataFrame, texts: DataFrame, size: int, similarity: f
     return near.select(F.col("node").alias("a"), F.col("c.node").alias("b")).unionByName(_meetings(rows, share))
 
 
-def drop_near_copies(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, families: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its component; rows with a null id stay.
 
+    ``families`` gives (fp, family) of the distinct SimHash fingerprints (fp) that link with others.
     Null and blank texts are alike.  Rows with a null id link others but name no component.  Repeated rows of an id stay
     or go together.  Very long texts are read whole.  An empty table gives an empty result; clashing columns do no harm.
     """
     own = unused(df, "__id")
     rows = written(marked(df, id_col, text_col, size))
-    named = rows.join(groups(rows, size, similarity), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    named = rows.join(groups(rows, families(rows.select("fp").distinct()), size, similarity), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     kept = named.groupBy("label").agg(F.min("doc_id").alias(own)).where(F.col(own).isNotNull()).select(own).distinct()
     lone = df.where(F.col(id_col).isNull())
     return df.join(kept, df[id_col] == kept[own], "left_semi").unionByName(lone)

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import near_copies
 from tidemark.llm.common import lean, written
 from tidemark.llm.graph import components
+from tidemark.llm.wordhash import simhash
 from tidemark.shipping import ship
+from tidemark.storage import discard, mark
 
 #: Fingerprints under a key up to which its pairs are verified within one row.
 SMALL_KEY = 24
@@ -51,11 +53,7 @@ def fingerprint(text: str | None) -> int:
         ends = np.cumsum([len(x) + 1 for x in w]).tolist()
         starts = [0, *ends]
         parts = [whole[a : b - 1] for a, b in zip(starts, ends[SHINGLE - 1 :])]
-    total, n, digest = np.zeros(64, np.int64), len(parts), xxhash.xxh64_intdigest
-    for i in range(0, n, 65536):
-        h = np.array([digest(p, SEED) for p in parts[i : i + 65536]], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+    return simhash(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,10 +184,20 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def families(fps: DataFrame) -> DataFrame:
+    """(fp, family) of the distinct fingerprints (fp) that link with others: family is the smallest one reachable."""
+    since = mark(fps.sparkSession)
+    nodes = written(fps.select("fp", F.col("fp").alias("node")))
+    found = written(components(links(nodes)).select(F.col("node").alias("fp"), F.col("label").alias("family")))
+    discard(fps.sparkSession, since, keep=1)
+    return found
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group of near copies; rows with a null id stay.
 
-    Near copies share ``similarity`` or more of their shingles, which is far beyond two bits of one fingerprint; see
-    ``near_copies``.  The distance and shingles of ``cluster`` are those of op5 alone.
+    Near copies share ``similarity`` or more of their shingles.  Texts whose SimHash fingerprints (over ``shingle``
+    words) link at two or fewer bits by the Golay-code keys are compared first; as that bound of shared shingles is
+    far beyond two bits, min-hash bands add the candidates further apart.  See ``near_copies``, which compares.
     """
-    return near_copies.drop_near_copies(df, id_col, text_col, shingle, similarity)
+    return near_copies.drop_near_copies(df, id_col, text_col, shingle, similarity, families)

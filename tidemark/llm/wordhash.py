@@ -1,4 +1,4 @@
-"""Hashes of words and of word windows over byte buffers, without a Python loop over words."""
+"""Hashes of words and of word windows over byte buffers, without a Python loop over words; the SimHash of hashes."""
 
 from __future__ import annotations
 
@@ -56,3 +56,12 @@ def windows(hashes: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarray:
         return np.empty(0, np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, len(hashes)), dtype=np.uint64)))
     return _mix((sums[size:] - sums[:n]) * _powers(pow(base, -1, 1 << 64), n))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of 64-bit hashes: a bit is set if it is set in over half of them."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)].astype("<u8", copy=False)
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
