@@ -2,58 +2,92 @@
 
 There may be few keys (coins) and very long series, so partitioning by key alone would leave a handful of huge tasks.
 Series are cut into (key, time bucket) groups.  Windows look back a bounded time, so each bucket also gets the rows of
-that time before it (a halo), which are dropped after the window is computed.  As-of joins may look back without
+that time before it (a halo), which are not given back; a task reads a bucket in order of time.  As-of joins may look back without
 bound: the last row of all earlier buckets is carried into a bucket through a table with one row per bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pandas.api.indexers import BaseIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
 
-#: Rows of a bucket whose results are made at once, at least; larger buckets have 16 slices.
+#: Rows of a bucket that are taken up at once, at least; where more rows are held, an eighth of those.
 SLICE = 20_000
 
 
 def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[dict[str, np.ndarray]], Callable[[int, int], dict[str, np.ndarray]]], columns: list[str], keep: list[str], schema: str, key: str = "coin", tie: str = "event_id") -> DataFrame:
-    """Each row with its ``keep`` columns and those of ``apply``, which sees the rows of ``lookback`` before a bucket too.
+    """Each row with its ``keep`` columns and those of ``apply``, which sees the rows of ``lookback`` before it too.
 
-    ``apply`` gets ``columns`` of a bucket as arrays in order of time (then of ``tie``), and gives a function of the new
-    columns of rows i to j.  A sliding frame in SQL is worked out anew for every row; arrays with running sums and binary
-    search take n log n.  Only those arrays are held for a whole bucket; results are made and sent by slices of it.
+    ``apply`` gets ``columns`` of consecutive rows as arrays in order of time (then of ``tie``), and gives a function of
+    the new columns of rows i to j.  A sliding frame in SQL is worked out anew for every row; arrays with running sums
+    and binary search take n log n.  Spark sorts the buckets and a task reads them in order: it holds the arrays of
+    ``lookback`` and of the rows just taken up, never a bucket.
     """
     first, last = F.floor(F.col(time) / lookback), F.floor((F.col(time) + lookback) / lookback)
     spread = df.select(*dict.fromkeys([key, time, tie, *columns, *keep])).withColumn("bucket", F.explode(F.sequence(first, last)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        order = np.lexsort((table[tie].to_numpy(), table[time].to_numpy()))
-        at = table[time].to_numpy()[order]
-        own = int(np.searchsorted(at, table["bucket"][0].as_py() * lookback))
-        if own == len(order):
-            return
-        arrays = {c: at if c == time else table[c].to_numpy().astype(float)[order] for c in columns}
-        kept = table.select(keep).combine_chunks()
-        del table
-        of = apply(arrays)
-        size = max(SLICE, len(order) // 16)
-        for i in range(own, len(order), size):
-            j = min(i + size, len(order))
-            part = kept.take(pa.array(order[i:j]))
-            for c, x in of(i, j).items():
-                part = part.append_column(c, pa.array(x, from_pandas=True))
-            yield from part.combine_chunks().to_batches()
+        for (_, bucket), parts in groupby(_runs(batches, key), lambda x: x[0]):
+            past = {c: np.empty(0, np.int64 if c == time else float) for c in {time, *columns}}
+            for rows in _taken(parts, time, lambda: max(SLICE, len(past[time]) // 8)):
+                held, at = len(past[time]), rows[time].to_numpy()
+                arrays = {c: np.concatenate((past.pop(c), at if c == time else rows[c].to_numpy().astype(float))) for c in list(past)}
+                i = int(np.searchsorted(arrays[time], bucket * lookback))
+                end = held + len(at)
+                of = apply(arrays) if i < end else None  # else all rows are of the halo
+                size = max(SLICE, end // 16)
+                for i in range(max(i, held), end, size):
+                    j = min(i + size, end)
+                    part = rows.slice(i - held, j - i).select(keep)
+                    for c, x in of(i, j).items():
+                        part = part.append_column(c, pa.array(x, from_pandas=True))
+                    yield from part.combine_chunks().to_batches()
+                del of
+                low = int(np.searchsorted(arrays[time], at[-1] - lookback))
+                past = {c: x[low:].copy() for c, x in arrays.items()}
 
     ship(df.sparkSession)
-    return spread.groupBy(key, "bucket").applyInArrow(run, schema)
+    return spread.repartition(key, "bucket").sortWithinPartitions(key, "bucket", time, tie).mapInArrow(run, schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """((key, bucket), rows) of sorted batches, cut where either changes."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows + 1, bool)
+        new[[0, -1]] = True
+        for c in (b[key], b["bucket"]):
+            new[1:-1] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(new).tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            yield (b[key][i].as_py(), b["bucket"][i].as_py()), b.slice(i, j - i)
+
+
+def _taken(parts: Iterator[tuple[tuple, pa.RecordBatch]], time: str, size: Callable[[], int]) -> Iterator[pa.Table]:
+    """The rows of a bucket by ``size`` or a few more at a time, never parting rows of equal time."""
+    waiting, n = [], 0
+    for _, part in parts:
+        waiting.append(part)
+        n += part.num_rows
+        if n >= size() and waiting[0][time][0] != part[time][-1]:
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            at = rows[time].to_numpy()
+            j = int(np.searchsorted(at, at[-1]))
+            waiting, n = rows.take(pa.array(range(j, len(at)))).to_batches(), len(at) - j  # a copy: a slice would hold all rows
+            yield rows.slice(0, j)
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
 
 
 class Series:
