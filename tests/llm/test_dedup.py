@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -195,3 +196,16 @@ def test_line_dedup_edges(make):
     df = make([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None)])
     assert sorted((r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup(df, min_docs=3).collect()) == [(1, 0, ""), (1, 1, ""), (1, 1, ""), (1, 1, "")]
     assert line_dedup.dedup(df.limit(0)).collect() == []
+
+
+def test_line_dedup_of_one_long_document(make):
+    """The lines of a document are not compared with each other: 120,000 different ones are done in time (old form: minutes)."""
+    letters = "abcdefghij"
+    name = lambda i: "".join(letters[int(d)] for d in str(i))
+    long = "\n".join(f"the entry {name(i)} is\there" for i in range(120_000))
+    docs = [(0, long), *((i, f"All rights reserved {i}\n{name(i)}") for i in range(1, 12))]
+    line_dedup.dedup(make(docs[1:]), min_docs=10).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup(make(docs), min_docs=10).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0] == (120_000, 0, long) and all(got[i] == (2, 1, name(i)) for i in range(1, 12))

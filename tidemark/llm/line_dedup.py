@@ -10,40 +10,42 @@ frequent leaves are looked at closely, and each distinct masked line once, with
 counts a document twice where it holds several different lines of one leaf; such lines are few, and what they count too
 often is taken off again.  So no token moves with its document but theirs.
 
-Texts are parsed into hashes once, and once more for the tokens of frequent leaves.  Counts combine on the map side.
-What is joined to all lines is a pair of hashes; it is broadcast only where a count has shown it to be small.
+Texts are read once for the leaves of their lines, which takes no more than the number of tokens and the first few, and
+once more for the lines of frequent leaves; only these are masked whole.  Counts combine on the map side.  What is joined
+to all lines is a leaf's hash; it is broadcast only where a count has shown it to be small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, sized, words, written
+from tidemark.llm.common import let, sized, written
 
 LEADING = 3
 MIN_DOCS = 10
 FIELD = "<*>"
-#: A word with a digit; it is looked for at word beginnings only, so that the search is linear.
-_VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: White space inside a line, but for the space itself.
+_BLANK = r"[\t\x0B\f\r]"
 
 
-def _masked_lines(text: Column) -> Column:
-    """The tokens of each line, variable fields masked."""
-    masked = F.regexp_replace(F.coalesce(text, F.lit("")), _VARIABLE, FIELD)
-    return F.transform(F.split(masked, "\n"), words)
+def _lines(text: Column) -> Column:
+    """The lines of a text, with spaces as their only white space, so that tokens are split off without a search."""
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _BLANK, " "), "\n")
 
 
-def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))
+def _tokens(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (of the text), row, and per line its leaf and line hashes (null for blank lines)."""
-    entry = lambda t: F.when(F.size(t) > 0, F.struct(_leaf(t).alias("leaf"), F.xxhash64(t).alias("line")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"), F.transform(_masked_lines(text), entry).alias("entries"))
-    return written(rows)
+def _masked(tokens: Column) -> Column:
+    """Tokens with variable fields masked."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
+def _leaf(line: Column) -> Column:
+    """A hash of the number of tokens and the masked first ones; null for a blank line."""
+    return let(_tokens(line), lambda t: F.when(F.size(t) > 0, F.xxhash64(F.size(t), _masked(F.slice(t, 1, LEADING)))))
 
 
 def _excess(several: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,21 +61,29 @@ def _often(counted: DataFrame, several: DataFrame, keys: list[str], min_docs: in
     return sums.where(F.col("n") - F.coalesce("excess", F.lit(0)) >= min_docs).select(*keys)
 
 
-def recurring_lines(parsed: DataFrame, df: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(leaf, line) hashes of the masked lines whose template recurs; a row of ``df`` is a document."""
-    known = F.array_distinct(F.filter("entries", lambda e: e.isNotNull()))
-    leaves = parsed.select(F.explode(F.array_distinct(F.transform(known, lambda e: e.leaf))).alias("leaf"))
+def frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, key (of the text), row, i, leaf, line (hash), masked: the lines of leaves seen in ``min_docs`` documents.
+
+    A row of ``df`` is a document.
+    """
+    leaves = df.select(F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), _leaf))).alias("leaf")).where("leaf IS NOT NULL")
     leaves = written(leaves.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    frequent = sized(leaves)
-    # distinct masked lines of frequent leaves with their documents
-    entry = lambda t: F.when(F.size(t) > 0, F.struct(_leaf(t).alias("leaf"), F.array_join(t, " ").alias("text")))
-    seen = df.select(F.explode(F.array_distinct(F.filter(F.transform(_masked_lines(F.col(text_col)), entry), lambda e: e.isNotNull()))).alias("k")).select("k.leaf", "k.text")
-    distinct = seen.join(frequent, "leaf", "left_semi").groupBy("leaf", "text").agg(F.count("*").alias("docs"))
-    distinct = written(distinct.withColumn("tokens", F.split("text", " ")).select("leaf", F.xxhash64("tokens").alias("line"), "docs", "tokens"))
-    # lines of documents that hold more than one line of the leaf
-    beside = lambda s: F.filter(s, lambda x, j: F.coalesce((F.get(s, j - 1).leaf == x.leaf) | (F.get(s, j + 1).leaf == x.leaf), F.get(s, j - 1).leaf == x.leaf, F.get(s, j + 1).leaf == x.leaf, F.lit(False)))
-    several = parsed.select("row", F.explode(let(F.array_sort(known), beside)).alias("e")).select("row", "e.*")
-    several = written(several.join(frequent, "leaf", "left_semi"))
+    # the row's number is given before its lines are dealt out
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.monotonically_increasing_id().alias("row"), _lines(F.col(text_col)).alias("lines"))
+    places = rows.select("doc_id", "key", "row", F.posexplode("lines").alias("i", "text")).withColumn("leaf", _leaf(F.col("text")))
+    found = places.join(sized(leaves), "leaf", "left_semi").withColumn("masked", F.array_join(_masked(_tokens(F.col("text"))), " "))
+    return written(found.select("doc_id", "key", "row", "i", "leaf", F.xxhash64("masked").alias("line"), "masked"))
+
+
+def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(leaf, line) hashes of the masked lines of ``frequent_lines`` whose template recurs."""
+    # each document's different lines, with their number in the leaf
+    held = found.select("row", "leaf", "line").repartition("row").distinct()
+    held = written(held.withColumn("beside", F.count("*").over(Window.partitionBy("row", "leaf"))))
+    several = held.where("beside > 1").drop("beside")
+    docs = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    distinct = found.select("leaf", "line", "masked").distinct().join(docs, ["leaf", "line"])
+    distinct = written(distinct.select("leaf", "line", "docs", F.split("masked", " ").alias("tokens")))
     place = F.posexplode(F.slice("tokens", LEADING + 1, 1 << 30)).alias("place", "token")
     placed = distinct.select("leaf", "line", "docs", place).where(F.col("token") != FIELD)
     several_placed = several.join(distinct.drop("docs"), ["leaf", "line"]).select("row", "leaf", place).where(F.col("token") != FIELD)
@@ -98,11 +108,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_doc
     are equal.  Very long texts and lines are read whole.  An empty table gives an empty result; other columns are not
     read.
     """
-    parsed = _parsed(df, id_col, text_col)
-    dropped = written(recurring_lines(parsed, df, text_col, min_docs))
+    places = frequent_lines(df, id_col, text_col, min_docs)
+    dropped = written(recurring_lines(places, min_docs))
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
-    places = parsed.select("doc_id", "key", F.posexplode("entries").alias("i", "e")).select("doc_id", "key", "i", "e.*").where("line IS NOT NULL")
     # repeated rows of one id and text would name a line twice: a set
     gone = places.join(sized(dropped), ["leaf", "line"], "left_semi").groupBy("doc_id", "key").agg(F.collect_set("i").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "gone")
