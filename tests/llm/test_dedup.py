@@ -199,7 +199,7 @@ def test_line_dedup_edges(make):
 
 
 def test_line_dedup_of_one_long_document(make):
-    """The lines of a document are not compared with each other: 120,000 different ones are done in time (old form: minutes)."""
+    """The lines of a document are not compared with each other: 120,000 different ones are done in time."""
     letters = "abcdefghij"
     name = lambda i: "".join(letters[int(d)] for d in str(i))
     long = "\n".join(f"the entry {name(i)} is\there" for i in range(120_000))
