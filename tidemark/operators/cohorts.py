@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark import config as C
-from tidemark.operators import ordered, scans
+from tidemark.operators import scans
 from tidemark.operators.timewin import SLICE
 from tidemark.shipping import ship
 from tidemark.sources.views import SECOND
-from tidemark.storage import written
 
 
 def inconsistent_tickers(observed: DataFrame) -> DataFrame:
@@ -80,6 +80,25 @@ def thin(times: list[int], spacing: int, usable: list[bool]) -> list[int]:
     return kept
 
 
+def _later(us: np.ndarray, part: np.ndarray, at: np.ndarray, h: int, tolerance: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether, where) rows ``at`` of those at ``us``, which rise, have a row ``h`` later in the same ``part``."""
+    found, pick = np.empty(len(at), bool), np.empty(len(at), np.int64)
+    for i in range(0, len(at), SLICE):
+        own = at[i : i + SLICE]
+        t = us[own]
+        a = np.maximum(np.searchsorted(us, t + max(1, (h - tolerance) * second), "left"), np.searchsorted(part, part[own], "left"))
+        b = np.minimum(np.searchsorted(us, t + (h + tolerance) * second, "right"), np.searchsorted(part, part[own], "right"))
+        target = np.searchsorted(us, t + h * second, "right")
+        # the last time up to the target and the first one after it
+        before, after = np.minimum(target, b) - 1, np.maximum(target, a)
+        has_before, has_after = before >= a, after < b
+        before, after = np.maximum(before, 0), np.minimum(after, len(us) - 1)
+        first = has_before & (~has_after | (t + h * second - us[before] <= us[after] - t - h * second))
+        found[i : i + SLICE] = has_before | has_after
+        pick[i : i + SLICE] = np.where(first, np.searchsorted(us, us[before], "left"), after)
+    return found, pick
+
+
 def nearest_later(rows: DataFrame, key: list[str], horizons: tuple[int, ...], tolerance: int, second: int) -> DataFrame:
     """(key, event_id, us, horizon, label_us, later) of ready rows that have an observation about the horizon later.
 
@@ -102,21 +121,10 @@ def nearest_later(rows: DataFrame, key: list[str], horizons: tuple[int, ...], to
         at = np.nonzero(mine)[0]
         for i in range(0, len(at), SLICE):
             rows_at = at[i : i + SLICE]
-            t = us[rows_at]
-            low, high = np.searchsorted(part, part[rows_at], "left"), np.searchsorted(part, part[rows_at], "right")
             for h in horizons:
-                a = np.maximum(np.searchsorted(us, t + max(1, (h - tolerance) * second), "left"), low)
-                b = np.minimum(np.searchsorted(us, t + (h + tolerance) * second, "right"), high)
-                target = np.searchsorted(us, t + h * second, "right")
-                # the last time up to the target and the first one after it
-                before, after = np.minimum(target, b) - 1, np.maximum(target, a)
-                has_before, has_after = before >= a, after < b
-                before, after = np.maximum(before, 0), np.minimum(after, len(us) - 1)
-                first = has_before & (~has_after | (t + h * second - us[before] <= us[after] - t - h * second))
-                found = has_before | has_after
-                pick = np.where(first, np.searchsorted(us, us[before], "left"), after)[found]
-                n = int(found.sum())
-                columns = [pa.repeat(x, n) for x in head] + [pa.array(x) for x in (ids[rows_at][found], t[found], np.full(n, h, np.int32), us[pick], spot[pick])]
+                found, pick = _later(us, part, rows_at, h, tolerance, second)
+                n, kept = int(found.sum()), rows_at[found]
+                columns = [pa.repeat(x, n) for x in head] + [pa.array(x) for x in (ids[kept], us[kept], np.full(n, h, np.int32), us[pick[found]], spot[pick[found]])]
                 yield pa.RecordBatch.from_arrays(columns, [*key, "event_id", "us", "horizon", "label_us", "later"])
 
     ship(rows.sparkSession)
@@ -125,22 +133,62 @@ def nearest_later(rows: DataFrame, key: list[str], horizons: tuple[int, ...], to
 
 
 def leadlag_anchors(features: DataFrame, horizons: tuple[int, ...], scale: int, tolerance: int = C.LEADLAG_TOLERANCE, gap: int = C.LEADLAG_GAP) -> DataFrame:
-    """Ready rows with the spot return to an observation about each horizon later, thinned to one per horizon.
+    """Ready rows with the spot return to an observation about each horizon later, thinned to one per horizon; other columns stay.
 
     The later observation is the nearest to the target within ``tolerance``, strictly later, in the same session and
-    coin, with no gap over ``gap`` in between; an earlier one wins ties.  Gaps are counted by range sums, later rows met
-    within time buckets, and all horizons thinned at once: times are stretched so that one spacing holds for all.
+    coin, with no gap over ``gap`` in between; an earlier one wins ties.  Rows go by time buckets with what follows as far
+    as a horizon reaches, so gaps, later rows and what a bucket does to the thinning (``scans.doors``) are found there
+    for all horizons.  Only doors leave the first pass, only the rows kept the second one, in which a bucket knows where it
+    is entered.  ``features`` are read twice and should be written.
     """
     second, key = scale * SECOND, ["session", "coin"]
-    near = scans.with_halo(scans.numbered(features.select(*key, "us", "event_id", "spot", "ready"), key, ["us", "event_id"]), 1)
-    before = F.lag("us").over(Window.partitionBy(*key, "bucket").orderBy("i"))
-    gaps = near.withColumn("broken", F.coalesce((F.col("us") - before > gap * second).cast("int"), F.lit(0))).where(~F.col("in_halo")).drop("bucket", "i", "in_halo")
-    rows = written(ordered.with_before(gaps, key, ["us", "event_id"], n="broken", name="run").withColumn("run", F.col("run") + F.col("broken")).drop("broken"))
-    met = nearest_later(rows, key, horizons, tolerance, second)
-    columns = [c for c in (*C.LEADLAG_FEATURES, "premium_z_5m", *sorted(set(C.LEADLAG_CONTROL.values()))) if c in features.columns]
-    # one spacing for all horizons; what is thinned is narrow, and the few rows kept get their columns back
-    unit = math.lcm(*horizons)
-    pace = F.col("us") * (F.lit(unit) / F.col("horizon")).cast("long")
-    kept = scans.thinned(met.select("horizon", *key, pace.alias("pace"), "event_id", "label_us", "later", F.lit(True).alias("usable")), ["horizon", *key], "pace", unit * second, "usable")
-    out = features.select(*key, "us", "event_id", "spot", *columns).join(kept.select(*key, "event_id", "label_us", "later", "horizon"), [*key, "event_id"])
-    return out.select(*key, "us", "event_id", "spot", "label_us", ((F.col("later") / F.col("spot") - 1) * 10000).alias("y"), *columns, "horizon")
+    reach = (max(horizons) + tolerance) * second
+    width = 2 * reach
+    others = [c for c in features.columns if c not in (*key, "us", "event_id", "spot", "ready")]
+    spread = features.withColumn("bucket", F.explode(F.sequence(scans.begin(F.col("us") - reach, width), scans.begin(F.col("us"), width), F.lit(width))))
+
+    def usable(table: pa.Table) -> tuple[pa.Table, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """(rows by time and spot; by horizon the rows of the bucket that count, one a time, and their later rows)."""
+        table = table.take(pa.array(np.lexsort((table["spot"].to_numpy(), table["us"].to_numpy())))).combine_chunks()
+        us, start = table["us"].to_numpy(), table["bucket"][0].as_py()
+        part = np.cumsum(np.diff(us, prepend=us[:1]) > gap * second)
+        at = np.nonzero(table["ready"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool) & (us >= start) & (us < start + width))[0]
+        at = at[np.lexsort((table["event_id"].to_numpy()[at], us[at]))]
+        at = at[np.concatenate((np.ones(min(len(at), 1), bool), np.diff(us[at]) > 0))]
+        met = {}
+        for h in horizons:
+            found, pick = _later(us, part, at, h, tolerance, second)
+            met[h] = at[found], pick[found]
+        return table, met
+
+    def whole(table: pa.Table) -> pa.Table:
+        table, met = usable(table)
+        us, start, parts = table["us"].to_numpy(), table["bucket"][0].as_py(), []
+        for h, (at, _) in met.items():
+            entry, out = scans.doors(us[at], h * second, start)
+            head = {c: pa.repeat(pa.scalar(table[c][0].as_py(), table.schema.field(c).type), len(entry)) for c in (*key, "bucket")}
+            parts.append(pa.table({"horizon": pa.array(np.full(len(entry), h, np.int32)), **head, "entry": pa.array(entry), "reach": pa.array(out)}))
+        return pa.concat_tables(parts)
+
+    def follow(table: pa.Table, opened: pa.Table) -> pa.Table:
+        parts = [empty]
+        if len(table) and len(opened):
+            table, met = usable(table)
+            us = table["us"].to_numpy()
+            for h, begun in zip(opened["horizon"].to_pylist(), opened["reach"].to_pylist()):
+                at, pick = met[h]
+                i = scans.kept(us[at], h * second, begun)
+                rows, later = table.take(pa.array(at[i])), table.take(pa.array(pick[i]))
+                added = {"horizon": pa.array(np.full(len(i), h, np.int32)), "label_us": later["us"], "later": later["spot"]}
+                parts.append(pa.table({c: added[c] if c in added else rows[c] for c in empty.column_names}).cast(empty.schema))
+        return pa.concat_tables(parts)
+
+    ship(features.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema.fields}
+    head = "".join(f"`{c}` {kinds[c]}, " for c in key)
+    found = spread.select(*key, "bucket", "us", "event_id", "spot", "ready").groupBy(*key, "bucket").applyInArrow(whole, f"horizon int, {head}bucket long, entry long, reach long")
+    opened = scans.entered(found, ["horizon", *key], width)
+    schema = f"horizon int, {head}us long, event_id {kinds['event_id']}, spot double, label_us long, later double" + "".join(f", `{c}` {kinds[c]}" for c in others)
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    out = spread.groupBy(*key, "bucket").cogroup(opened.groupBy(*key, "bucket")).applyInArrow(follow, schema)
+    return out.select(*key, "us", "event_id", "spot", "label_us", ((F.col("later") / F.col("spot") - 1) * 10000).alias("y"), *others, "horizon")

@@ -89,82 +89,96 @@ def with_halo(rows: DataFrame, lookback: int) -> DataFrame:
     return rows.withColumn("__own", own).withColumn("bucket", F.explode(F.sequence(own, last))).withColumn("in_halo", F.col("bucket") != F.col("__own")).drop("__own")
 
 
+def begin(time: Column, width: int) -> Column:
+    """Where the time bucket of ``time`` begins, in whole numbers."""
+    return time - F.pmod(time, F.lit(width))
+
+
+def doors(t: np.ndarray, spacing: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, reach) of a time bucket with rows at ``t``, which rise, that begins at ``start`` and is no shorter than ``spacing``.
+
+    A bucket is entered up to ``spacing`` after it begins.  Entered up to a time ``entry`` (after the one before), its last
+    kept row lets the next one come from ``reach`` on; of entries with one reach the last stands for all.
+    """
+    after = np.searchsorted(t, t + spacing)
+    last = np.where(after < len(t), after, np.arange(len(t)))
+    while (last[last] != last).any():
+        last = last[last]
+    n = min(len(t), 1 + int(np.searchsorted(t, start + spacing)))
+    reach = t[last[:n]] + spacing
+    stands = np.append(reach[1:] != reach[:-1], np.ones(min(n, 1), bool))
+    return t[:n][stands], reach[stands]
+
+
+def kept(t: np.ndarray, spacing: int, reach: int) -> np.ndarray:
+    """Positions kept of rows at ``t``, which rise: the first from ``reach`` on, then always the next one ``spacing`` later."""
+    out, i = [], int(np.searchsorted(t, reach))
+    while i < len(t):
+        out.append(i)
+        i = int(np.searchsorted(t, t[i] + spacing))
+    return np.array(out, np.int64)
+
+
+def entered(found: DataFrame, by: list[str], width: int) -> DataFrame:
+    """(by, bucket, reach): the buckets that are gone through from the first row of each group, and from when on rows count there.
+
+    ``found`` (by, bucket, entry, reach) has the ``doors`` of all buckets of ``width`` with rows.  A door leads to the first
+    one from its reach on, which is met in order of time within the bucket of that time, else to the first of the next
+    bucket with rows, which is carried through a table with one row per bucket.  The path is then followed by doubling.
+    """
+    found = written(found)
+    into = found.select(*by, begin(F.col("reach"), width).alias("bucket"), F.col("reach").alias("__t"), F.lit(0).alias("__side"), F.col("bucket").alias("__from"), F.col("entry").alias("__entry"))
+    stand = found.select(*by, "bucket", F.col("entry").alias("__t"), F.lit(1).alias("__side"))
+    first = found.groupBy(*by, "bucket").agg(F.min("entry").alias("__first"))
+    onward = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = into.select(*by, "bucket").union(stand.select(*by, "bucket")).distinct().join(first, [*by, "bucket"], "left")
+    carried = buckets.select(*by, "bucket", F.last("__first", ignorenulls=True).over(onward).alias("__next"))
+    w = Window.partitionBy(*by, "bucket").orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = into.unionByName(stand, allowMissingColumns=True).withColumn("__to", F.last(F.when(F.col("__side") == 1, F.col("__t")), ignorenulls=True).over(w)).where("__side = 0")
+    to = F.coalesce("__to", "__next")
+    links = written(ahead.join(carried, [*by, "bucket"], "left").select(*by, F.col("__entry").alias("entry"), F.col("__t").alias("reach"), to.alias("to")).where("to IS NOT NULL"))
+    # the doors that are gone through: from the first of each group along the links, doubling their reach
+    steps, gone = links.drop("reach"), written(found.groupBy(*by).agg(F.min("entry").alias("entry")))
+    begun, held = gone, gone.count()
+    while True:
+        gone = written(gone.unionByName(gone.join(steps, [*by, "entry"]).select(*by, F.col("to").alias("entry"))).distinct())
+        now = gone.count()
+        if now == held:
+            break
+        held = now
+        then = steps.select(*by, F.col("entry").alias("to"), F.col("to").alias("__then"))
+        steps = written(steps.join(then, [*by, "to"]).select(*by, "entry", F.col("__then").alias("to")))
+    passed = links.join(gone, [*by, "entry"], "left_semi").select(*by, begin(F.col("to"), width).alias("bucket"), "reach")
+    return passed.unionByName(begun.select(*by, begin(F.col("entry"), width).alias("bucket"), begin(F.col("entry"), width).alias("reach")))
+
+
 def thinned(rows: DataFrame, by: list[str], time: str, spacing: int, usable: str) -> DataFrame:
     """The rows kept greedily in each group: the first usable one, then always the next usable one at least ``spacing`` later.
 
-    Of rows of one time one counts, whichever is first by the other columns.  A row's successor is the first usable row
-    ``spacing`` after it.  Within a bucket successors are followed by doubling; a bucket can only be entered at one of the
-    rows at its beginning (up to ``spacing`` after its first, and the next), and for each of those the time that the next
-    bucket must reach is worked out.  These few rows make the links along which the first row of a group is followed, again
-    by doubling, and each bucket then follows its rows from where it is entered.
+    Of rows of one time one counts, whichever is first by the other columns.  Groups are cut into time buckets longer than
+    ``spacing``.  What a bucket does to any time from which it is entered is worked out for each bucket on its own
+    (``doors``), the way from bucket to bucket is found (``entered``), and each bucket then follows its rows from there.
     """
     ship(rows.sparkSession)
-    names = rows.columns
+    names, width = rows.columns, 8 * spacing
     others = [c for c in names if c not in (*by, time)]
     one = rows.where(F.col(usable)).groupBy(*by, time).agg(F.min(F.struct(*others)).alias("__row")).select(*by, time, "__row.*")
-    placed = written(numbered(one, by, [time]))
+    placed = written(one.withColumn("bucket", begin(F.col(time).cast("long"), width)))
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     head = ", ".join(f"`{c}` {kinds[c]}" for c in by)
 
-    def ends(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(successor within the bucket or n, last row of the chain) of each row."""
-        after = np.searchsorted(t, t + spacing)
-        last = np.where(after < len(t), after, np.arange(len(t)))
-        while (last[last] != last).any():
-            last = last[last]
-        return after, last
-
-    def doors(table: pa.Table) -> pa.Table:
-        t = np.sort(table[time].to_numpy())
-        _, last = ends(t)
-        n = min(len(t), 1 + int(np.searchsorted(t, t[0] + spacing)))
-        out = pa.Table.from_arrays([pa.array([table[c][0].as_py()] * n, table.schema.field(c).type) for c in (*by, "bucket")], [*by, "bucket"])
-        return out.append_column("entry", pa.array(t[:n])).append_column("reach", pa.array(t[last[:n]] + spacing)).append_column("last", pa.array([t[-1]] * n))
-
-    entries = written(placed.select(*by, "bucket", time).groupBy(*by, "bucket").applyInArrow(doors, f"{head}, bucket long, entry long, reach long, last long"))
-    links = written(_linked(entries, by))
-    # the doors that are gone through: from the first of each group along the links, doubling their reach
-    gone = written(entries.groupBy(*by).agg(F.min("entry").alias("entry")))
-    held = gone.count()
-    while True:
-        further = gone.join(links, [*by, "entry"]).select(*by, F.col("to").alias("entry"))
-        gone = written(gone.unionByName(further).distinct())
-        now = gone.count()
-        if now == held:
-            break
-        held = now
-        ahead = links.select(*by, F.col("entry").alias("to"), F.col("to").alias("__then"))
-        links = written(links.join(ahead, [*by, "to"], "inner").select(*by, "entry", F.col("__then").alias("to")))
-    opened = entries.join(gone, [*by, "entry"], "left_semi").select(*by, "bucket", F.col("entry").alias("__entry"))
+    def of_bucket(table: pa.Table) -> pa.Table:
+        entry, reach = doors(np.sort(table[time].to_numpy()), spacing, table["bucket"][0].as_py())
+        out = pa.Table.from_arrays([pa.array([table[c][0].as_py()] * len(entry), table.schema.field(c).type) for c in (*by, "bucket")], [*by, "bucket"])
+        return out.append_column("entry", pa.array(entry, pa.int64())).append_column("reach", pa.array(reach, pa.int64()))
 
     def follow(table: pa.Table) -> pa.Table:
         table = table.sort_by(time)
-        t = table[time].to_numpy()
-        after, _ = ends(t)
-        kept, i = [], int(np.searchsorted(t, table["__entry"][0].as_py()))
-        while i < len(t):
-            kept.append(i)
-            i = int(after[i])
-        return table.take(pa.array(kept, pa.int64())).select(names)
-
-    inside = placed.join(opened, [*by, "bucket"])
-    return inside.groupBy(*by, "bucket").applyInArrow(follow, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+        return table.take(pa.array(kept(table[time].to_numpy(), spacing, table["__reach"][0].as_py()))).select(names)
 
-
-def _linked(entries: DataFrame, by: list[str]) -> DataFrame:
-    """(by, entry, to): the door by which a later bucket is entered after one was entered at ``entry``."""
-    doors = entries.select(*by, F.col("bucket").alias("of"), F.col("entry").alias("door"), F.col("last").alias("until"))
-    left = entries.select(*by, "entry", "reach", (F.col("bucket") + 1).alias("of"))
-    out, ends = None, entries.groupBy(*by).agg(F.max("bucket").alias("__end"))
-    left = written(left.join(ends, by).where(F.col("of") <= F.col("__end")))
-    while not left.isEmpty():
-        met = left.join(doors, [*by, "of"]).groupBy(*by, "of", "entry", "reach", "__end").agg(F.min(F.when(F.col("door") >= F.col("reach"), F.col("door"))).alias("to"))
-        met = written(met)
-        found = met.where("to IS NOT NULL").select(*by, "entry", "to")
-        out = found if out is None else out.unionByName(found)
-        # a bucket shorter than the spacing may end before the reach
-        left = written(met.where("to IS NULL").withColumn("of", F.col("of") + 1).where(F.col("of") <= F.col("__end")).select(left.columns))
-    return out if out is not None else entries.select(*by, "entry", F.col("entry").alias("to")).where("false")
+    found = placed.select(*by, "bucket", time).groupBy(*by, "bucket").applyInArrow(of_bucket, f"{head}, bucket long, entry long, reach long")
+    inside = placed.join(entered(found, by, width).withColumnRenamed("reach", "__reach"), [*by, "bucket"])
+    return inside.groupBy(*by, "bucket").applyInArrow(follow, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def run_lengths(rows: DataFrame, by: list[str], order: list[str], flag: Column, reset: Column, name: str = "run") -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark import config as C
 from tidemark.operators import cohorts
 from tidemark.operators import metrics as X
 from tidemark.operators import models as Z
+from tidemark.operators.features import ready_rows
 from tidemark.plans.evaluation import GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, horizon_cohort, with_market, written_cohort
 from tidemark.plans import sql_features as S
 from tidemark.plans.policies import SCORED_SQL, scored
@@ -44,7 +45,9 @@ def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def leadlag_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = _anchors(spark, sf_dir)
+    """Thinned anchors of all horizons; of a feature row they need the spot and whether it is ready."""
+    spots, snapshots, scale = inputs(spark, sf_dir)
+    out = cohorts.leadlag_anchors(written(ready_rows(spots, snapshots, scale)), C.LEADLAG_HORIZONS, scale)
     return out.select("horizon", "session", "coin", "us", "event_id", "label_us", F.round("y", 4).alias("y"))
 
 
