@@ -1,4 +1,4 @@
-"""Lead/lag anchors of crowded series: joins that stay in proportion to the rows."""
+"""Lead/lag anchors of crowded series: joins that stay in proportion to the rows, and features for the anchors only."""
 
 import random
 
@@ -63,7 +63,9 @@ def of_market(spark, rows, scale):
     return V.spots(ticks), V.snapshots(perps, scale)
 
 
-def test_anchors_equal_those_of_all_rows(spark):
+def test_anchors_and_their_features_equal_those_of_all_rows(spark):
+    from pyspark.sql import functions as F
+
     spots, snapshots = of_market(spark, market(np.random.default_rng(2), 6000, V.SECOND), 1)
     spots, snapshots = spots.localCheckpoint(), snapshots.localCheckpoint()
     ready = features.ready_rows(spots, snapshots, 1).localCheckpoint()
@@ -87,6 +89,13 @@ def test_anchors_equal_those_of_all_rows(spark):
                     expected.add((h, *key, r.us, r.event_id, min(near)[1], round((min(near)[2] / r.spot - 1) * 10000, 4)))
     got = {(r.horizon, r.session, r.coin, r.us, r.event_id, r.label_us, round(r.y, 4)) for r in found.collect()}
     assert got == expected and len(got) > 300 and {g[0] for g in got} == set(C.LEADLAG_HORIZONS)
+    told = features.lead_features(found.select("event_id", "snapshot_id").distinct(), spots, snapshots, 1).collect()
+    assert len(told) == len({g[4] for g in got}) == found.select(F.count_distinct("event_id")).first()[0]
+    for r in told:
+        for c in r.__fields__:
+            a, b = r[c], whole[r.event_id][c]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 2e-4), (c, r, b)
+    assert any(r.gap_z_60 is not None for r in told)
 
 
 def test_anchors_need_no_trailing_features(spark, monkeypatch):

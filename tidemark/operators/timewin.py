@@ -25,16 +25,19 @@ from tidemark.shipping import ship
 SLICE = 20_000
 
 
-def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[dict[str, np.ndarray]], Callable[[int, int], dict[str, np.ndarray]]], columns: list[str], keep: list[str], schema: str, key: str = "coin", tie: str = "event_id") -> DataFrame:
+def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[dict[str, np.ndarray]], Callable[[int, int], dict[str, np.ndarray]]], columns: list[str], keep: list[str], schema: str, key: str = "coin", tie: str = "event_id", only: DataFrame | None = None) -> DataFrame:
     """Each row with its ``keep`` columns and those of ``apply``, which sees the rows of ``lookback`` before it too.
 
     ``apply`` gets ``columns`` of consecutive rows as arrays in order of time (then of ``tie``), and gives a function of
     the new columns of rows i to j.  A sliding frame in SQL is worked out anew for every row; arrays with running sums
     and binary search take n log n.  Spark sorts the buckets and a task reads them in order: it holds the arrays of
-    ``lookback`` and of the rows just taken up, never a bucket.
+    ``lookback`` and of the rows just taken up, never a bucket.  With ``only`` (``tie``, each once) just those rows are given back.
     """
     first, last = F.floor(F.col(time) / lookback), F.floor((F.col(time) + lookback) / lookback)
-    spread = df.select(*dict.fromkeys([key, time, tie, *columns, *keep])).withColumn("bucket", F.explode(F.sequence(first, last)))
+    rows, few = df.select(*dict.fromkeys([key, time, tie, *columns, *keep])), only is not None
+    if few:
+        rows = rows.join(only.select(tie, F.lit(True).alias("__wanted")), tie, "left")
+    spread = rows.withColumn("bucket", F.explode(F.sequence(first, last)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, bucket), parts in groupby(_runs(batches, key), lambda x: x[0]):
@@ -49,8 +52,13 @@ def with_halo(df: DataFrame, time: str, lookback: int, apply: Callable[[dict[str
                 for i in range(max(i, held), end, size):
                     j = min(i + size, end)
                     part = rows.slice(i - held, j - i).select(keep)
+                    wanted = rows["__wanted"].slice(i - held, j - i) if few else None
+                    if few and wanted.null_count == len(wanted):
+                        continue
                     for c, x in of(i, j).items():
                         part = part.append_column(c, pa.array(x, from_pandas=True))
+                    if few:
+                        part = part.filter(wanted)
                     yield from part.combine_chunks().to_batches()
                 del of
                 low = int(np.searchsorted(arrays[time], at[-1] - lookback))

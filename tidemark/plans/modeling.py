@@ -9,11 +9,11 @@ from tidemark import config as C
 from tidemark.operators import cohorts
 from tidemark.operators import metrics as X
 from tidemark.operators import models as Z
-from tidemark.operators.features import ready_rows
+from tidemark.operators.features import lead_features, ready_rows
 from tidemark.plans.evaluation import GROUPED_SQL, HORIZON_SQL, SIGNAL_SQL, horizon_cohort, with_market, written_cohort
 from tidemark.plans import sql_features as S
 from tidemark.plans.policies import SCORED_SQL, scored
-from tidemark.plans.telemetry import features, inputs
+from tidemark.plans.telemetry import inputs
 from tidemark.sources import views as V
 from tidemark.storage import written
 
@@ -36,14 +36,6 @@ def interaction_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.classify(Z.screen_interaction(rows, [*BY, "feature"], "f3", "x", "modifier"), BY)
 
 
-def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """(anchors of all horizons, time scale)."""
-    _, _, scale = inputs(spark, sf_dir)
-    columns = ["session", "coin", "us", "event_id", "spot", "ready", *C.LEADLAG_FEATURES, "premium_z_5m", *sorted(set(C.LEADLAG_CONTROL.values()))]
-    rows = written(features(spark, sf_dir).select(*dict.fromkeys(columns)))
-    return cohorts.leadlag_anchors(rows, C.LEADLAG_HORIZONS, scale), scale
-
-
 def leadlag_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thinned anchors of all horizons; of a feature row they need the spot and whether it is ready."""
     spots, snapshots, scale = inputs(spark, sf_dir)
@@ -54,10 +46,12 @@ def leadlag_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leadlag_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature adds to the past spot return in forecasting the future one, by group, horizon and feature.
 
-    Each result stands in the output, with null figures where there is too little data.
+    Features are worked out for the anchors only.  Each result stands in the output, with null figures where there is too little data.
     """
-    anchors, scale = _anchors(spark, sf_dir)
-    return leadlag_screen(anchors, scale)
+    spots, snapshots, scale = inputs(spark, sf_dir)
+    anchors = written(cohorts.leadlag_anchors(written(ready_rows(spots, snapshots, scale)), C.LEADLAG_HORIZONS, scale))
+    known = lead_features(anchors.select("event_id", "snapshot_id").distinct(), spots, snapshots, scale)
+    return leadlag_screen(written(anchors.drop("snapshot_id").join(known, "event_id")), scale)
 
 
 def leadlag_screen(anchors: DataFrame, scale: int, least: int = 300, least_folds: int = 3, q_max: float = 0.05, sign_pct: float = 75) -> DataFrame:
